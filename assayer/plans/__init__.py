@@ -1,3 +1,3 @@
 """Query catalogue; importing this package registers every query."""
 
-from assayer.plans import comparison, decision_support, evaluation, relational  # noqa: F401
+from assayer.plans import comparison, decision_support, evaluation, relational, tasks  # noqa: F401
