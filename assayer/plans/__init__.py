@@ -1,3 +1,3 @@
 """Query catalogue; importing this package registers every query."""
 
-from assayer.plans import comparison, decision_support, evaluation, patterns, relational, tasks  # noqa: F401
+from assayer.plans import comparison, data_in_out, decision_support, evaluation, patterns, relational, synthesis, tasks  # noqa: F401
