@@ -22,15 +22,22 @@ def numbers_close(a: Column, b: Column) -> Column:
     return F.abs(a - b) <= F.greatest(REL_TOLERANCE * widest, F.lit(ABS_TOLERANCE))
 
 
-def cells_equal(a: Column, b: Column) -> Column:
-    """Both missing, or the same text, or two numbers (also written as text) within the tolerance."""
-    close = F.coalesce(numbers_close(number_of(a), number_of(b)), F.lit(False))
+def cells_equal(a: Column, b: Column, a_num: Column | None = None, b_num: Column | None = None) -> Column:
+    """Both missing, or the same text, or two numbers (also written as text) within the tolerance.
+
+    The numeric readings can be handed in when they are at hand, so that they are not formed per pair.
+    """
+    x = number_of(a) if a_num is None else a_num
+    y = number_of(b) if b_num is None else b_num
+    close = F.coalesce(numbers_close(x, y), F.lit(False))
     return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise((a == b) | close)
 
 
 def float_text(x: Column) -> Column:
     """Plain decimal text of a double with at least one digit after the point, as 10.0 or 12345678.25."""
+    size = F.abs(x)
     wide = F.rtrim(x.cast("decimal(38,21)").cast("string"), F.lit("0"))
     plain = F.when(wide.endswith("."), F.concat(wide, F.lit("0"))).otherwise(wide)
-    size = F.abs(x)
-    return F.when(size == 0, F.lit("0.0")).when((size >= 1e-4) & (size < 1e16), plain).otherwise(x.cast("string"))
+    # between a thousandth and ten million the cast is plain already
+    outside = ((size >= 1e7) & (size < 1e16)) | ((size >= 1e-4) & (size < 1e-3))
+    return F.when(outside, plain).when(size == 0, F.lit("0.0")).otherwise(x.cast("string"))

@@ -18,23 +18,30 @@ GOLD, PRED = ["task", "snapshot", "gold_ix"], ["task", "attempt", "snapshot"]
 PAIR = ["task", "attempt", "snapshot", "gold_ix"]
 
 
-def cell(value: Column, dtype: str) -> Column:
-    """``(kind, val)`` of a value of the given Spark type. Booleans count as 1 and 0, as numbers do elsewhere."""
-    if dtype == "boolean":
-        text, kind = float_text(value.cast("int").cast("double")), "num"
-    elif dtype in ("tinyint", "smallint", "int", "bigint", "float", "double") or dtype.startswith("decimal"):
-        text, kind = float_text(value.cast("double")), "num"
-    else:
-        text, kind = value.cast("string"), "str"
-    return F.struct(F.when(value.isNull(), "null").otherwise(kind).alias("kind"), text.alias("val"))
+NUMERIC = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def raw_cell(value: Column, dtype: str) -> Column:
+    """``(num, txt)`` of a value of the given Spark type. Booleans count as 1 and 0, as numbers do elsewhere."""
+    numeric = dtype in NUMERIC or dtype.startswith("decimal")
+    number = (value.cast("int") if dtype == "boolean" else value).cast("double") if numeric else F.lit(None).cast("double")
+    text = F.lit(None).cast("string") if numeric else value.cast("string")
+    return F.struct(number.alias("num"), text.alias("txt"))
+
+
+def cell_columns(raw: str) -> list[Column]:
+    """``kind`` and ``val`` from an unfolded raw cell; the text form is built once per cell, after unfolding."""
+    num, txt = c(f"{raw}.num"), c(f"{raw}.txt")
+    kind = F.when(num.isNotNull(), "num").when(txt.isNotNull(), "str").otherwise("null")
+    return [kind.alias("kind"), F.coalesce(txt, float_text(num)).alias("val")]
 
 
 def to_cells(rows: DataFrame, keys: list[str], columns: list[str], row_ix: str = "row_ix") -> DataFrame:
     """Unfold the result columns of ``rows`` into cells; ``row_ix`` numbers the rows of a result from 0."""
     types = dict(rows.dtypes)
-    values = [F.struct(F.lit(i).alias("col_ix"), cell(c(n), types[n]).alias("x")) for i, n in enumerate(columns)]
-    long = rows.select(*keys, c(row_ix).alias("row_ix"), F.explode(F.array(*values)).alias("e"))
-    return long.select(*keys, "row_ix", "e.col_ix", c("e.x.kind").alias("kind"), c("e.x.val").alias("val"))
+    values = F.array(*[raw_cell(c(n), types[n]) for n in columns])
+    long = rows.select(*keys, c(row_ix).alias("row_ix"), F.posexplode(values).alias("col_ix", "x"))
+    return long.select(*keys, "row_ix", "col_ix", *cell_columns("x"))
 
 
 def shapes_of(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -54,8 +61,8 @@ def null_to_zero(cells: DataFrame, blank_too: bool) -> DataFrame:
 
 def profile(cells: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     """Per column: missing values, numbers and their sum. Columns that match must agree on these."""
-    x = number_of(c("val"))
-    return cells.groupBy(*keys, c("col_ix").alias(f"{prefix}_col")).agg(
+    x = c("_x")
+    return cells.withColumn("_x", number_of(c("val"))).groupBy(*keys, c("col_ix").alias(f"{prefix}_col")).agg(
         F.count_if(c("kind") == "null").alias(f"{prefix}_nulls"),
         F.count(x).alias(f"{prefix}_nums"),
         F.coalesce(F.sum(x), F.lit(0.0)).alias(f"{prefix}_sum"),
@@ -80,7 +87,8 @@ def placed(cells: DataFrame, keys: list[str], unordered: DataFrame) -> DataFrame
     strict = cells.join(unordered, "task", "left_anti")
     ranked = number_rows(loose, [*keys, "col_ix"], [(c("kind") == "null"), c("val"), c("row_ix")], "place")
     wanted = [*keys, "col_ix", "place", "val"]
-    return ranked.select(*wanted).unionByName(strict.select(*keys, "col_ix", (c("row_ix") + 1).alias("place"), "val"))
+    both = ranked.select(*wanted).unionByName(strict.select(*keys, "col_ix", (c("row_ix") + 1).alias("place"), "val"))
+    return both.withColumn("num", number_of(c("val")))
 
 
 def sized_pairs(gold_shape: DataFrame, pred_shape: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -121,10 +129,10 @@ def column_matches(gold: DataFrame, pred: DataFrame, pairs: DataFrame, tasks: Da
         .select(*PAIR, "g_col", "p_col")
     )
     unordered = tasks.where("ignore_order").select("task")
-    g = placed(gold, GOLD, unordered).withColumnsRenamed({"col_ix": "g_col", "val": "g_val"})
-    p = placed(pred, PRED, unordered).withColumnsRenamed({"col_ix": "p_col", "val": "p_val"})
+    g = placed(gold, GOLD, unordered).withColumnsRenamed({"col_ix": "g_col", "val": "g_val", "num": "g_num"})
+    p = placed(pred, PRED, unordered).withColumnsRenamed({"col_ix": "p_col", "val": "p_val", "num": "p_num"})
     side_by_side = candidates.join(p, [*PRED, "p_col"]).join(g, [*GOLD, "g_col", "place"])
-    agreed = F.bool_and(cells_equal(c("g_val"), c("p_val")))
+    agreed = F.bool_and(cells_equal(c("g_val"), c("p_val"), c("g_num"), c("p_num")))
     return side_by_side.groupBy(*PAIR, "g_col", "p_col").agg(agreed.alias("ok")).where("ok").drop("ok")
 
 

@@ -10,18 +10,20 @@ c = F.col
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
-def shingles(text: Column, width: int = 8) -> tuple[Column, Column]:
-    """The words of the whole text, and from a column ``words`` all distinct runs of ``width`` of them."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(text), WORD_BREAK, " ")), " ")
-    starts = F.sequence(F.lit(1), F.size("words") - (width - 1))
-    runs = F.transform(starts, lambda i: F.array_join(F.slice(F.col("words"), i, width), " "))
-    none = F.array().cast("array<string>")
-    return words, F.when(F.size("words") >= width, F.array_distinct(runs)).otherwise(none)
-
-
-def with_shingles(df: DataFrame, key: str, text: str, width: int = 8) -> DataFrame:
-    words, runs = shingles(c(text), width)
-    return df.select(key, words.alias("words")).select(key, runs.alias("runs"))
+def shingles(text: Column, width: int = 8) -> Column:
+    """All distinct runs of ``width`` words of the whole text, in one pass of a look-ahead over the word starts."""
+    words = F.trim(F.regexp_replace(F.lower(text), WORD_BREAK, " "))
+    run = rf"(?<![^ ])(?=([^ ]+(?: [^ ]+){{{width - 1}}}))"
+    return F.array_distinct(F.regexp_extract_all(words, F.lit(run), F.lit(1)))
+
+
+def hashed_runs(df: DataFrame, key: str, width: int) -> DataFrame:
+    """One row per distinct run of a text, as two hashes; a text without runs has one row of missing hashes."""
+    runs = df.select(key, F.explode_outer(shingles(c("text"), width)).alias("run"))
+    found = c("run").isNotNull()
+    return runs.select(
+        key, F.when(found, F.xxhash64("run")).alias("h1"), F.when(found, F.hash("run")).alias("h2")
+    )
 
 
 def shared_text(texts: DataFrame, key: str, seen: DataFrame, seen_key: str, width: int = 8) -> DataFrame:
@@ -30,19 +32,19 @@ def shared_text(texts: DataFrame, key: str, seen: DataFrame, seen_key: str, widt
     The seen side is one row per distinct shingle, so each shingle of a text meets at most one row and
     no pairs of texts are formed. Rows travel as two hashes, not as words.
     """
-    runs = with_shingles(texts, key, "text", width)
     known = (
-        with_shingles(seen, seen_key, "text", width)
-        .select(F.explode("runs").alias("run"))
-        .select(F.xxhash64("run").alias("h1"), F.hash("run").alias("h2"))
+        hashed_runs(seen, seen_key, width)
+        .where(c("h1").isNotNull())
+        .select("h1", "h2")
         .distinct()
+        .withColumn("hit", F.lit(1))
     )
-    keyed = runs.select(key, F.explode("runs").alias("run")).select(
-        key, F.xxhash64("run").alias("h1"), F.hash("run").alias("h2")
+    counted = (
+        hashed_runs(texts, key, width)
+        .join(known, ["h1", "h2"], "left")
+        .groupBy(key)
+        .agg(F.count("h1").alias("shingles"), F.count("hit").alias("hits"))
     )
-    hits = keyed.join(known, ["h1", "h2"], "left_semi").groupBy(key).agg(F.count("*").alias("hits"))
-    sizes = runs.select(key, F.size("runs").cast("bigint").alias("shingles"))
-    counted = sizes.join(hits, key, "left").fillna(0, ["hits"])
     return counted.withColumn("stratum", F.when(c("hits") > 0, "seen").otherwise("unseen"))
 
 

@@ -14,6 +14,7 @@ from assayer.operators import ladder as lad
 from assayer.operators.ranking import number_rows
 from assayer.plans.views import EPISODES_SQL, episodes
 from assayer.registry import query
+from assayer.session import settle
 
 c = F.col
 COLUMNS = ["customer", "n_lines", "revenue", "segment"]
@@ -38,30 +39,37 @@ def gold_rows(t):
 
 
 def answers(rows):
-    """Cells of the nine kinds of answers."""
+    """Cells of the nine kinds of answers, unfolded from the gold rows in one pass."""
     sizes = rows.groupBy("task", "snapshot").agg(F.count("*").alias("size"))
-    known = rows.join(sizes, ["task", "snapshot"]).withColumn("one", F.lit("x"))
-    keys = ["task", "attempt", "snapshot"]
-
-    def kind(name, frame, columns=COLUMNS):
-        return cmp.to_cells(frame.withColumn("attempt", F.lit(name)), keys, columns)
-
-    twice = known.where(c("row_ix") == 0).withColumn("row_ix", c("size"))
-    forms = [
-        kind("same", known),
-        kind("extra column", known, ["one", *COLUMNS]),
-        kind("permuted", known, COLUMNS[::-1]),
-        kind("reversed rows", known.withColumn("row_ix", c("size") - 1 - c("row_ix"))),
-        kind("near", known.withColumn("revenue", F.round(c("revenue") + 0.005, 3))),
-        kind("far", known.withColumn("revenue", F.round(c("revenue") + 0.02, 2))),
-        kind("short", known.where(c("row_ix") < c("size") - 1)),
-        kind("missing value", known.withColumn("revenue", F.when(c("customer") % 7 != 0, c("revenue")))),
-        kind("doubled", known.unionByName(twice)),
-    ]
-    cells = forms[0]
-    for form in forms[1:]:
-        cells = cells.unionByName(form)
-    return cells
+    known = rows.join(sizes, ["task", "snapshot"])
+    types = dict(known.dtypes)
+    revenue = c("revenue")
+    plain = {x: cmp.raw_cell(c(x), types[x]) for x in COLUMNS}
+    place = c("row_ix")
+
+    def form(name, cells, row_ix=place, when=None):
+        made = F.struct(F.lit(name).alias("attempt"), row_ix.alias("row_ix"), F.array(*cells).alias("cells"))
+        return made if when is None else F.when(when, made)
+
+    def with_revenue(value):
+        return [cmp.raw_cell(value, "double") if x == "revenue" else plain[x] for x in COLUMNS]
+
+    same = list(plain.values())
+    forms = F.array(
+        form("same", same),
+        form("extra column", [cmp.raw_cell(F.lit("x"), "string"), *same]),
+        form("permuted", same[::-1]),
+        form("reversed rows", same, c("size") - 1 - place),
+        form("near", with_revenue(F.round(revenue + 0.005, 3))),
+        form("far", with_revenue(F.round(revenue + 0.02, 2))),
+        form("short", same, when=place < c("size") - 1),
+        form("missing value", with_revenue(F.when(c("customer") % 7 != 0, revenue))),
+        form("doubled", same),
+        form("doubled", same, c("size"), place == 0),
+    )
+    unfolded = known.select("task", "snapshot", F.inline(F.array_compact(forms)))
+    long = unfolded.select("task", "attempt", "snapshot", "row_ix", F.posexplode("cells").alias("col_ix", "x"))
+    return long.select("task", "attempt", "snapshot", "row_ix", "col_ix", *cmp.cell_columns("x"))
 
 
 def golds(rows):
@@ -81,8 +89,9 @@ def tasks_of(rows, condition_cols="CAST(array() AS ARRAY<ARRAY<INT>>)"):
 
 def setup(t, n_golds=1, condition_cols="CAST(array() AS ARRAY<ARRAY<INT>>)"):
     rows = gold_rows(t)
-    gold = golds(rows).where(c("gold_ix") < n_golds)
-    pred = answers(rows)
+    # results under comparison are stored tables; several steps below read them
+    gold = settle(golds(rows).where(c("gold_ix") < n_golds))
+    pred = settle(answers(rows))
     return gold, pred, cmp.shapes_of(gold, cmp.GOLD), cmp.shapes_of(pred, cmp.PRED), tasks_of(rows, condition_cols)
 
 
@@ -164,13 +173,14 @@ FROM go g JOIN po p ON p.task = g.task AND p.snapshot = g.snapshot AND p.row_ix
 WHERE gold_ix = 0 GROUP BY ALL""",
 )
 def cmp_cell_eq(t):
-    from assayer.functions.cells import cells_equal
+    from assayer.functions.cells import cells_equal, number_of
 
     rows = gold_rows(t)
     gold = golds(rows).where(c("gold_ix") == 0).withColumnRenamed("val", "g_val").drop("kind", "gold_ix")
     joined = answers(rows).join(gold, ["task", "snapshot", "row_ix", "col_ix"])
-    return joined.groupBy("attempt", c("col_ix").cast("bigint").alias("col_ix")).agg(
-        F.count_if(cells_equal(c("g_val"), c("val"))).alias("equal"), F.count("*").alias("n")
+    read = joined.withColumns({"x": number_of(c("val")), "g_x": number_of(c("g_val"))})
+    return read.groupBy("attempt", c("col_ix").cast("bigint").alias("col_ix")).agg(
+        F.count_if(cells_equal(c("g_val"), c("val"), c("g_x"), c("x"))).alias("equal"), F.count("*").alias("n")
     )
 
 
