@@ -59,10 +59,16 @@ def null_to_zero(cells: DataFrame, blank_too: bool) -> DataFrame:
     )
 
 
+def reading(cells: DataFrame, name: str) -> DataFrame:
+    """Add the number a cell stands for; only text cells are looked at character by character."""
+    number = F.when(c("kind") == "num", c("val").try_cast("double")).otherwise(number_of(c("val")))
+    return cells.withColumn(name, number)
+
+
 def profile(cells: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     """Per column: missing values, numbers and their sum. Columns that match must agree on these."""
     x = c("_x")
-    return cells.withColumn("_x", number_of(c("val"))).groupBy(*keys, c("col_ix").alias(f"{prefix}_col")).agg(
+    return reading(cells, "_x").groupBy(*keys, c("col_ix").alias(f"{prefix}_col")).agg(
         F.count_if(c("kind") == "null").alias(f"{prefix}_nulls"),
         F.count(x).alias(f"{prefix}_nums"),
         F.coalesce(F.sum(x), F.lit(0.0)).alias(f"{prefix}_sum"),
@@ -86,9 +92,9 @@ def placed(cells: DataFrame, keys: list[str], unordered: DataFrame) -> DataFrame
     loose = cells.join(unordered, "task", "left_semi")
     strict = cells.join(unordered, "task", "left_anti")
     ranked = number_rows(loose, [*keys, "col_ix"], [(c("kind") == "null"), c("val"), c("row_ix")], "place")
-    wanted = [*keys, "col_ix", "place", "val"]
-    both = ranked.select(*wanted).unionByName(strict.select(*keys, "col_ix", (c("row_ix") + 1).alias("place"), "val"))
-    return both.withColumn("num", number_of(c("val")))
+    wanted = [*keys, "col_ix", "place", "kind", "val"]
+    in_rows = strict.withColumn("place", c("row_ix") + 1)
+    return reading(ranked.select(*wanted).unionByName(in_rows.select(*wanted)), "num").drop("kind")
 
 
 def sized_pairs(gold_shape: DataFrame, pred_shape: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -168,11 +174,23 @@ def best_gold(judged: DataFrame) -> DataFrame:
 
 
 def row_keys(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """One digest per row over its cells in column order; a row costs as much as it has columns."""
-    text = F.coalesce(F.concat(c("kind"), F.lit(":"), F.coalesce(c("val"), F.lit(""))), F.lit("null:"))
-    in_order = F.array_sort(F.collect_list(F.struct("col_ix", text.alias("x"))))
-    rows = cells.groupBy(*keys, "row_ix").agg(F.to_json(F.transform(in_order, lambda s: s["x"])).alias("text"))
-    return rows.select(*keys, "row_ix", F.md5("text").alias("row_key"))
+    """One 128-bit digest per row over its cells and their columns, summed up cell by cell in partial aggregates."""
+
+    def digest(salt):
+        return F.bit_xor(F.xxhash64(F.lit(salt), "col_ix", "kind", "val"))
+
+    rows = cells.groupBy(*keys, "row_ix").agg(digest(1).alias("_a"), digest(2).alias("_b"))
+    return rows.select(*keys, "row_ix", F.struct("_a", "_b").alias("row_key"))
+
+
+def sums_of(*values: Column) -> list[Column]:
+    """Sums of 30-bit pieces of two 64-bit hashes: the same for the same multiset of values, in any order."""
+    pieces = []
+    for salt in (1, 2):
+        h = F.xxhash64(F.lit(salt), *values)
+        for shift in (0, 30):
+            pieces.append(F.sum(F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << 30) - 1))).cast("string"))
+    return pieces
 
 
 def same_row_multiset(gold: DataFrame, pred: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -197,15 +215,12 @@ def same_row_multiset(gold: DataFrame, pred: DataFrame, pairs: DataFrame) -> Dat
 
 
 def column_keys(cells: DataFrame, keys: list[str], unordered: DataFrame) -> DataFrame:
-    """Two 64-bit digest sums per column: over (row, value), or over values alone where order is ignored."""
+    """Digest sums per column: over (row, value), or over values alone where order is ignored."""
     flagged = cells.join(unordered.withColumn("loose", F.lit(True)), "task", "left")
     row = F.when(c("loose"), F.lit(0).cast("bigint")).otherwise(c("row_ix").cast("bigint"))
 
-    def digest(salt):
-        return F.sum(F.xxhash64(F.lit(salt), row, c("kind"), c("val")).cast("decimal(20,0)"))
-
     return flagged.groupBy(*keys, "col_ix").agg(
-        F.concat_ws("/", F.count("*").cast("string"), digest(1).cast("string"), digest(2).cast("string")).alias("key")
+        F.concat_ws("/", F.count("*").cast("string"), *sums_of(row, c("kind"), c("val"))).alias("key")
     )
 
 
@@ -245,8 +260,6 @@ def weak_golds(gold: DataFrame, gold_shape: DataFrame) -> DataFrame:
 def fingerprints(cells: DataFrame, keys: list[str]) -> DataFrame:
     """A digest of the rows of each result that ignores their order."""
     rows = row_keys(cells, keys)
-
-    def digest(salt):
-        return F.sum(F.xxhash64(F.lit(salt), c("row_key")).cast("decimal(20,0)")).cast("string")
-
-    return rows.groupBy(*keys).agg(F.concat_ws("/", F.count("*").cast("string"), digest(1), digest(2)).alias("fingerprint"))
+    return rows.groupBy(*keys).agg(
+        F.concat_ws("/", F.count("*").cast("string"), *sums_of(c("row_key"))).alias("fingerprint")
+    )
