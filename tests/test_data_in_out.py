@@ -37,6 +37,17 @@ def test_episode_logs_and_resume(spark, tmp_path):
     assert {(r.task, r.seed) for r in sinks.todo(tasks, [1, 2], log).collect()} == {("t4", 1)} | {(f"t{i}", 2) for i in range(5)}
 
 
+@pytest.mark.parametrize("cap", [3, 1500])
+def test_bounded_results_keep_their_flag(spark, cap):
+    rows = [(k, i) for k, n in ((1, 2), (2, cap), (3, cap + 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k INT, i INT")
+    cut = {r.k: (r.n, r.o) for r in sinks.bounded(df, ["k"], ["i"], cap, True).groupBy("k").agg(
+        F.count("i").alias("n"), F.bool_or("overflow").alias("o")).collect()}
+    assert cut == {1: (2, False), 2: (cap, False), 3: (cap, True)}
+    kept = sinks.bounded(df, ["k"], ["i"], cap, False).where("k = 3").collect()
+    assert [(r.i, r.overflow) for r in kept] == [(None, True)]
+
+
 SHOP = {
     "n": "SELECT snapshot, count(*) AS n FROM orders WHERE status = 'paid' GROUP BY ALL",
     "gap": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY snapshot, customer_id ORDER BY order_date, id) AS rn FROM orders
