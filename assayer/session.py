@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,6 +15,9 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # a parameter repeated inside one tool call keeps its last value
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # texts can be long: a batch handed to a Python worker stays small whatever they are
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
 }
 
 
@@ -44,15 +49,22 @@ def local_session(cores: int = 8, **extra: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, else one made for this session."""
+    """The folder all executors see, for checkpoints and scratch alike: the one ``spark.checkpoint.dir`` names.
+
+    Where that is unset, a local master gets a folder of its own, removed when Python ends; on a cluster it is an
+    error, since a folder made here would be seen by one machine only.
+    """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    base = named or sc.getCheckpointDir()
-    if base is None:
-        base = tempfile.mkdtemp(prefix="assayer-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(base)
-    return base
+    named, current = spark.conf.get("spark.checkpoint.dir", None), sc.getCheckpointDir()
+    if current is None:
+        if named is None:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="assayer-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
+        current = sc.getCheckpointDir()
+    return current
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
