@@ -15,9 +15,10 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # a parameter repeated inside one tool call keeps its last value
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
-    # texts can be long: a batch handed to a Python worker stays small whatever they are
+    # texts can be long: a batch that is read, or handed to a Python worker, stays small whatever they are
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
