@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from assayer.llm.simhash import BITS, bit_counts, majority, shingle
 from assayer.llm.text import ascii_lower, stored, words
 
-#: So many distinct benchmark shingles (8 bytes each) are sent to every executor at once; more are taken in several passes.
-AT_ONCE = 2_000_000
+#: About so many benchmark shingles are sent to every executor at once; more are taken in several passes.
+AT_ONCE = 500_000
 
 
 def _hash(k: int, shift: int = 0) -> Column:
@@ -35,21 +35,16 @@ def _blocks(radius: int) -> Column:
     ])
 
 
-def _signed(shingles: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, fingerprint): the majority over the shingles of each key."""
-    counted = shingles.groupBy(*keys).agg(F.count("h").alias("n"), *bit_counts(F.col("h")))
-    return counted.select(*keys, majority(F.col("n")).alias("fingerprint"))
-
-
 def _regions(docs: DataFrame, known: DataFrame, longest: int, k: int) -> DataFrame:
-    """Each shingle of the documents near one of ``known``: (row_no, doc_id, doc_length, pos, h, shingle).
+    """Each shingle of the documents near one of ``known``: (row_no, doc_id, doc_length, pos, h, sid).
 
-    A document is cut where a run of known shingles begins, and again every ``longest`` words of the run; the cut
-    reaches ``longest`` words back and twice as many ahead, so it holds every window that has its first known
-    shingle there. Words, hashes and look-ups stay in one generated loop over the text.
+    ``known`` has (h, shingle, sid) of all items; ``sid`` is null for shingles they do not have. A document is cut where
+    a run of known shingles begins, and again every ``longest`` words of the run; the cut reaches ``longest`` words back
+    and twice as many ahead, so it holds every window that has its first known shingle there. Words, hashes and look-ups
+    stay in one generated loop over the text.
     """
-    index = F.broadcast(known)
-    before = F.broadcast(known.select(F.col("h").alias("h_before"), F.lit(True).alias("in_run")))
+    index = F.broadcast(known.select("h").distinct())
+    before = F.broadcast(known.select(F.col("h").alias("h_before"), F.lit(True).alias("in_run")).distinct())
     met = _placed(docs, k).withColumn("h", _hash(k)).join(index, "h", "left_semi")
     previous = met.withColumn("h_before", F.when(F.col("pos") > 0, _hash(k, -1)))
     begins = previous.join(before, "h_before", "left").where(f"in_run is null or pos % {longest} = 0")
@@ -63,34 +58,42 @@ def _regions(docs: DataFrame, known: DataFrame, longest: int, k: int) -> DataFra
         "row_no", "doc_id", "doc_length", (F.col("base") + F.col("pos")).alias("pos"), _hash(k).alias("h"),
         shingle(k).alias("shingle"),
     )
-    whole = inner.groupBy("row_no", "doc_id", "doc_length", "pos")
-    return stored(whole.agg(F.min("h").alias("h"), F.min("shingle").alias("shingle")), "regions")
+    told = inner.join(F.broadcast(known), ["h", "shingle"], "left").drop("shingle").repartition("row_no")
+    once = told.groupBy("row_no", "doc_id", "doc_length", "pos")
+    return stored(once.agg(F.min("h").alias("h"), F.min("sid").alias("sid")), "regions")
 
 
 def _matches(docs: DataFrame, items: DataFrame, k: int, similarity: float, radius: int) -> DataFrame:
     """(row_no, doc_id, item_no, item_id, similarity, start, length) of all similar windows."""
     longest = items.agg(F.max("length")).first()[0] or 1
-    regions = _regions(docs, items.select("h").distinct(), longest, k)
+    texts = items.select("h", "shingle").distinct()
+    known = stored(texts.withColumn("sid", F.monotonically_increasing_id()), "shingles")
+    items = stored(items.join(known, ["h", "shingle"]).drop("shingle"), "numbered")
+    regions = _regions(docs, known, longest, k)
     width = F.greatest(F.col("length") - (k - 1), F.lit(1))
 
     # windows with enough known shingles of their size
-    hits = regions.join(items.select("h", "length").distinct(), "h")
+    hits = regions.join(F.broadcast(items.select("sid", "length").distinct()), "sid")
     fits = (F.col("length") >= k) | (F.col("doc_length") == F.col("length"))
     last = F.least(F.col("pos"), F.col("doc_length") - F.col("length"))
     first = F.greatest(F.lit(0), F.col("pos") - width + 1)
     starts = F.when(fits & (last >= first), F.sequence(first, last))
-    covered = hits.select("row_no", "length", F.explode(starts).alias("start"))
-    enough = covered.groupBy("row_no", "length", "start").agg(F.count(F.lit(1)).alias("known"))
-    windows = stored(enough.where(F.col("known") >= similarity * width - 1e-9).drop("known"), "windows")
+    covered = hits.select("row_no", "doc_id", "length", F.explode(starts).alias("start"))
+    enough = covered.groupBy("row_no", "doc_id", "length", "start").agg(F.count(F.lit(1)).alias("known"))
+    windows = enough.where(F.col("known") >= similarity * width - 1e-9).drop("known")
 
-    # their fingerprints
+    # their fingerprints, and which known shingles they have
     steps = F.explode(F.sequence("start", F.col("start") + width - 1)).alias("pos")
-    inside = windows.select("row_no", "length", "start", steps).join(regions, ["row_no", "pos"])
-    inside = stored(inside.select("row_no", "doc_id", "length", "start", "h", "shingle"), "inside")
-    signed = stored(_signed(inside, ["row_no", "length", "start"]), "signed")
+    inside = windows.select("*", steps).join(regions.drop("doc_id", "doc_length"), ["row_no", "pos"])
+    keys = ["row_no", "doc_id", "length", "start"]
+    gathered = inside.drop("pos").repartition("row_no", "length", "start").groupBy(*keys).agg(
+        F.count("h").alias("n"), *bit_counts(F.col("h")), F.collect_list("sid").alias("sids")
+    )
+    signed = stored(gathered.select(*keys, majority(F.col("n")).alias("fingerprint"), "sids"), "signed")
 
     # items within the radius, by blocks
-    marks = _signed(items, ["item_no", "length"])
+    counted = items.groupBy("item_no", "length").agg(F.count("h").alias("n"), *bit_counts(F.col("h")))
+    marks = counted.select("item_no", "length", majority(F.col("n")).alias("fingerprint"))
     probes = signed.select("length", "fingerprint").distinct().select("length", "fingerprint", F.inline(_blocks(radius)))
     table = marks.select("item_no", "length", F.col("fingerprint").alias("mark"), F.inline(_blocks(radius)))
     apart = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("mark")))
@@ -98,18 +101,18 @@ def _matches(docs: DataFrame, items: DataFrame, k: int, similarity: float, radiu
     same = [F.col(f"p.{c}") == F.col(f"t.{c}") for c in ("length", "block", "value")]
     near = p.join(t, [*same, apart <= radius]).select("p.length", "fingerprint", "item_no").distinct()
     found = signed.join(stored(near, "near"), ["length", "fingerprint"])
-    found = stored(found.select("row_no", "length", "start", "item_no"), "candidates")
 
     # exact weighted similarity: both sides have `width` shingles, repeats included
-    times = inside.groupBy("row_no", "doc_id", "length", "start", "shingle").agg(F.count(F.lit(1)).alias("here"))
-    wanted = stored(items.groupBy("item_no", "item_id", "shingle").agg(F.count(F.lit(1)).alias("there")), "wanted")
-    both = times.join(found, ["row_no", "length", "start"]).join(wanted, ["item_no", "shingle"])
-    shared = both.groupBy("row_no", "doc_id", "item_no", "item_id", "length", "start").agg(
-        F.sum(F.least("here", "there")).alias("shared")
+    times = F.transform(
+        F.array_distinct("sids"),
+        lambda s: F.struct(s.alias("sid"), F.size(F.filter("sids", lambda x: x == s)).alias("here")),
     )
-    score = F.col("shared") / (2 * width - F.col("shared"))
-    scored = shared.withColumn("similarity", score).where(F.col("similarity") >= similarity - 1e-9)
-    return scored.drop("shared")
+    listed = found.select(*keys, "item_no", F.inline(times))
+    wanted = items.groupBy("item_no", "item_id", "sid").agg(F.count(F.lit(1)).alias("there"))
+    both = listed.join(F.broadcast(wanted), ["item_no", "sid"])
+    shared = both.groupBy(*keys, "item_no", "item_id").agg(F.sum(F.least("here", "there")).alias("shared"))
+    scored = shared.withColumn("similarity", F.col("shared") / (2 * width - F.col("shared")))
+    return scored.where(F.col("similarity") >= similarity - 1e-9).drop("shared")
 
 
 def contaminated(
