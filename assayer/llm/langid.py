@@ -13,12 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.text import held_out
+from assayer.llm.text import held_out, stored
 
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (4, 3, 2, 1)
 NONE = "und"
 MEMORY = 200_000  # words a worker keeps scored
+#: A training sample of up to so many documents (their ids alone) is sent to every executor; a larger one is joined.
+BROADCAST_IDS = 500_000
 
 
 def tokens(text: str) -> list[str]:
@@ -81,7 +83,7 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def train(docs: DataFrame, per_language: int = 1500, words: int = 20_000, ngrams: int = 4_000) -> Model:
+def train(docs: DataFrame, per_language: int = 1000, words: int = 20_000, ngrams: int = 4_000) -> Model:
     """Learn from whole texts of at most ``per_language`` documents of each language, chosen by hash, none held out.
 
     The model keeps the ``words`` most frequent words of each language that occur twice at least, and the ``ngrams``
@@ -89,8 +91,11 @@ def train(docs: DataFrame, per_language: int = 1500, words: int = 20_000, ngrams
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.select("lang", "doc_id", place.alias("place")).where(F.col("place") <= per_language)
-    sample = usable.join(chosen.select("lang", "doc_id").distinct(), ["lang", "doc_id"]).select("lang", "text")
+    first = usable.select("lang", "doc_id", place.alias("place")).where(F.col("place") <= per_language)
+    chosen = stored(first.select("lang", "doc_id").distinct(), "language-sample")
+    if chosen.count() <= BROADCAST_IDS:
+        chosen = F.broadcast(chosen)
+    sample = usable.join(chosen, ["lang", "doc_id"]).select("lang", "text")
     counted = sample.mapInArrow(_counting, "lang string, kind int, token string, n long")
     total = counted.groupBy("lang", "kind", "token").agg(F.sum("n").alias("n"))
     kinds = Window.partitionBy("lang", "kind")
@@ -116,7 +121,7 @@ def _model(rows) -> Model:
         if row == len(logs):
             logs.append(least[r.kind].copy())
         logs[row][column[r.lang]] = np.log(r.n / r.mass)
-    return Model(languages, *tables, np.array(logs).reshape(-1, len(languages)))
+    return Model(languages, *tables, np.array(logs, dtype=float).reshape(len(logs), len(languages)))
 
 
 class Scorer:

@@ -321,7 +321,7 @@ def train(docs: DataFrame, labels: DataFrame, positive: int = 1500, negative: in
     chosen = known.where("label = 1").orderBy(*order).limit(positive).union(
         known.where("label = 0").orderBy(*order).limit(negative)
     )
-    rows = docs.where("text is not null").join(chosen, "doc_id").select("doc_id", F.col("label").cast("int"), "text")
+    rows = docs.where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("label").cast("int"), "text")
     cut = rows.mapInArrow(_drawing(windows), "id long, label int, start int, words string").distinct().collect()
     ordered = sorted(cut)
     if not ordered:
