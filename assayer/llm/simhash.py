@@ -64,8 +64,8 @@ def _ball(segments: int, radius: int) -> Column:
     one suffices. By the pigeonhole principle, fingerprints within ``radius`` have a segment within radius // segments.
     """
     near = radius // segments
-    if near > 1:
-        raise ValueError("take more segments: the ball within one must have radius 0 or 1")
+    if near > 1 or segments < 2:
+        raise ValueError("take more segments: two at least, and so many that the ball within one has radius 0 or 1")
     cuts = [BITS * i // segments for i in range(segments + 1)]
     entries = []
     for s, (low, high) in enumerate(zip(cuts, cuts[1:])):
