@@ -33,6 +33,15 @@ def cells_equal(a: Column, b: Column, a_num: Column | None = None, b_num: Column
     return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise((a == b) | close)
 
 
+def exact_text(value: Column, dtype: str) -> Column:
+    """Text of a whole number or decimal with all its digits, in the form ``float_text`` has: 10.0, 12.5."""
+    if not dtype.startswith("decimal"):
+        return F.concat(value.cast("string"), F.lit(".0"))
+    text = value.cast("string")
+    trimmed = F.when(text.contains("."), F.rtrim(text, F.lit("0"))).otherwise(F.concat(text, F.lit(".")))
+    return F.when(trimmed.endswith("."), F.concat(trimmed, F.lit("0"))).otherwise(trimmed)
+
+
 def float_text(x: Column) -> Column:
     """Plain decimal text of a double with at least one digit after the point, as 10.0 or 12345678.25."""
     size = F.abs(x)
@@ -40,4 +49,5 @@ def float_text(x: Column) -> Column:
     plain = F.when(wide.endswith("."), F.concat(wide, F.lit("0"))).otherwise(wide)
     # between a thousandth and ten million the cast is plain already
     outside = ((size >= 1e7) & (size < 1e16)) | ((size >= 1e-4) & (size < 1e-3))
-    return F.when(outside, plain).when(size == 0, F.lit("0.0")).otherwise(x.cast("string"))
+    whole = F.concat(x.cast("decimal(38,0)").cast("string"), F.lit(".0"))
+    return F.when((size >= 1e16) & (size < 1e36), whole).when(outside, plain).when(size == 0, F.lit("0.0")).otherwise(x.cast("string"))

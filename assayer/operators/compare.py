@@ -10,22 +10,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions.cells import ABS_TOLERANCE, REL_TOLERANCE, cells_equal, float_text, number_of
+from assayer.functions.cells import ABS_TOLERANCE, REL_TOLERANCE, cells_equal, exact_text, float_text, number_of
 from assayer.operators.ranking import number_rows
+from assayer.session import settle
 
 c = F.col
 GOLD, PRED = ["task", "snapshot", "gold_ix"], ["task", "attempt", "snapshot"]
 PAIR = ["task", "attempt", "snapshot", "gold_ix"]
 
 
+ZERO = "0.0"  # the text of the number 0
 NUMERIC = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double")
 
 
 def raw_cell(value: Column, dtype: str) -> Column:
-    """``(num, txt)`` of a value of the given Spark type. Booleans count as 1 and 0, as numbers do elsewhere."""
+    """``(num, txt)`` of a value of the given Spark type. Booleans count as 1 and 0, as numbers do elsewhere.
+
+    Whole numbers and decimals bring their own text, for a double may not hold all their digits.
+    """
+    if dtype == "boolean":
+        value, dtype = value.cast("int"), "int"
     numeric = dtype in NUMERIC or dtype.startswith("decimal")
-    number = (value.cast("int") if dtype == "boolean" else value).cast("double") if numeric else F.lit(None).cast("double")
-    text = F.lit(None).cast("string") if numeric else value.cast("string")
+    number = value.cast("double") if numeric else F.lit(None).cast("double")
+    if dtype in ("float", "double"):
+        text = F.lit(None).cast("string")
+    else:
+        text = exact_text(value, dtype) if numeric else value.cast("string")
     return F.struct(number.alias("num"), text.alias("txt"))
 
 
@@ -52,13 +62,19 @@ def shapes_of(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def null_to_zero(cells: DataFrame, blank_too: bool) -> DataFrame:
-    """Missing values read as 0, on the gold side also empty text."""
+    """Missing values read as the number 0, on the gold side also empty text."""
     zero = (c("kind") == "null") | (F.lit(blank_too) & (c("val") == ""))
     return cells.withColumns(
-        {"val": F.when(zero, "0").otherwise(c("val")), "kind": F.when(zero, "num").otherwise(c("kind"))}
+        {"val": F.when(zero, ZERO).otherwise(c("val")), "kind": F.when(zero, "num").otherwise(c("kind"))}
     )
 
 
+def as_doubles(cells: DataFrame) -> DataFrame:
+    """Numbers as the double they are read as, in one form; text stays text, also where it could be a number."""
+    number = (c("val").try_cast("double") + 0.0).cast("string")  # the sum turns -0.0 into 0.0
+    return cells.withColumn("val", F.when(c("kind") == "num", number).otherwise(c("val")))
+
+
 def reading(cells: DataFrame, name: str) -> DataFrame:
     """Add the number a cell stands for; only text cells are looked at character by character."""
     number = F.when(c("kind") == "num", c("val").try_cast("double")).otherwise(number_of(c("val")))
@@ -123,21 +139,26 @@ def sized_pairs(gold_shape: DataFrame, pred_shape: DataFrame, tasks: DataFrame)
 def column_matches(gold: DataFrame, pred: DataFrame, pairs: DataFrame, tasks: DataFrame) -> DataFrame:
     """``(pair, g_col, p_col)`` for every wanted gold column and predicted column that agree at all places.
 
-    Row counts are compared before any cell is read, and column profiles before cells are joined.
+    Only cells of results of equal row counts are read, only columns whose profiles allow a match are put in order, and
+    the one large join has the place of a cell in its key.
     """
-    same = pairs.where((c("g_rows") == c("p_rows")) & (c("g_rows") > 0)).select(
-        *PAIR, F.explode("wanted").alias("g_col")
-    )
-    candidates = (
-        same.join(profile(gold, GOLD, "g"), [*GOLD, "g_col"])
+    same = pairs.where((c("g_rows") == c("p_rows")) & (c("g_rows") > 0))
+    gold, pred = gold.join(same, GOLD, "left_semi"), pred.join(same, PRED, "left_semi")
+    candidates = settle(
+        same.select(*PAIR, F.explode("wanted").alias("g_col"))
+        .join(profile(gold, GOLD, "g"), [*GOLD, "g_col"])
         .join(profile(pred, PRED, "p"), PRED)
         .where(may_match())
         .select(*PAIR, "g_col", "p_col")
     )
     unordered = tasks.where("ignore_order").select("task")
-    g = placed(gold, GOLD, unordered).withColumnsRenamed({"col_ix": "g_col", "val": "g_val", "num": "g_num"})
-    p = placed(pred, PRED, unordered).withColumnsRenamed({"col_ix": "p_col", "val": "p_val", "num": "p_num"})
-    side_by_side = candidates.join(p, [*PRED, "p_col"]).join(g, [*GOLD, "g_col", "place"])
+    wanted_g = candidates.withColumnRenamed("g_col", "col_ix").select(*GOLD, "col_ix")
+    wanted_p = candidates.withColumnRenamed("p_col", "col_ix").select(*PRED, "col_ix")
+    g = placed(gold.join(wanted_g, [*GOLD, "col_ix"], "left_semi"), GOLD, unordered)
+    p = placed(pred.join(wanted_p, [*PRED, "col_ix"], "left_semi"), PRED, unordered)
+    g = g.withColumnsRenamed({"col_ix": "g_col", "val": "g_val", "num": "g_num"})
+    p = p.withColumnsRenamed({"col_ix": "p_col", "val": "p_val", "num": "p_num"})
+    side_by_side = candidates.join(g, [*GOLD, "g_col"]).join(p, [*PRED, "p_col", "place"])
     agreed = F.bool_and(cells_equal(c("g_val"), c("p_val"), c("g_num"), c("p_num")))
     return side_by_side.groupBy(*PAIR, "g_col", "p_col").agg(agreed.alias("ok")).where("ok").drop("ok")
 
@@ -196,22 +217,16 @@ def sums_of(*values: Column) -> list[Column]:
 def same_row_multiset(gold: DataFrame, pred: DataFrame, pairs: DataFrame) -> DataFrame:
     """Exact equality of the rows with their multiplicity; column order counts, row order does not.
 
-    Rows add +1 on one side and -1 on the other; equal tables leave nothing.
+    Missing values read as 0 and numbers as doubles; a text is never a number. Each table becomes one digest of its
+    rows that does not depend on their order, so rows are never joined.
     """
-    g = row_keys(null_to_zero(gold, False), GOLD).groupBy(*GOLD, "row_key").agg(F.count("*").alias("k"))
-    p = row_keys(null_to_zero(pred, False), PRED).groupBy(*PRED, "row_key").agg(F.count("*").alias("k"))
-    sized = pairs.where((c("g_rows") == c("p_rows")) & (c("g_cols") == c("p_cols"))).select(*PAIR)
-    signed = (
-        sized.join(g, GOLD)
-        .select(*PAIR, "row_key", "k")
-        .unionByName(sized.join(p, PRED).select(*PAIR, "row_key", (-c("k")).alias("k")))
-    )
-    uneven = signed.groupBy(*PAIR, "row_key").agg(F.sum("k").alias("k")).where(c("k") != 0).select(*PAIR).distinct()
-    equal = sized.join(uneven, PAIR, "left_anti").withColumn("equal", F.lit(True))
+    g = fingerprints(as_doubles(null_to_zero(gold, False)), GOLD).withColumnRenamed("fingerprint", "g_print")
+    p = fingerprints(as_doubles(null_to_zero(pred, False)), PRED).withColumnRenamed("fingerprint", "p_print")
+    sized = (c("g_rows") == c("p_rows")) & (c("g_cols") == c("p_cols"))
+    joined = pairs.join(g, GOLD, "left").join(p, PRED, "left")
     empty_both = (c("g_rows") == 0) & (c("p_rows") == 0)
-    return pairs.join(equal, PAIR, "left").select(
-        *PAIR, (F.coalesce(c("equal"), F.lit(False)) | empty_both).alias("ok")
-    )
+    same = sized & (c("g_print") == c("p_print"))
+    return joined.select(*PAIR, (F.coalesce(same, F.lit(False)) | empty_both).alias("ok"))
 
 
 def column_keys(cells: DataFrame, keys: list[str], unordered: DataFrame) -> DataFrame:
@@ -241,6 +256,34 @@ def same_columns_strict(gold: DataFrame, pred: DataFrame, pairs: DataFrame, task
     return joined.select(*PAIR, F.coalesce(same | empty_both, F.lit(False)).alias("ok"))
 
 
+RULES = ("benchmark", "file", "multiset", "strict")
+
+
+def compare_tables(
+    gold: DataFrame, pred: DataFrame, gold_shape: DataFrame, pred_shape: DataFrame, tasks: DataFrame, rule: str
+) -> DataFrame:
+    """One verdict per answer, ``ok, gold_ix, why``, under one of the ``RULES``; any gold of the task will do.
+
+    - ``benchmark``: wanted gold columns against predicted columns, with tolerance.
+    - ``file``: the same after missing predicted cells, and missing or empty gold cells, have become 0.
+    - ``multiset``: the rows of the first gold with their multiplicity, missing cells as 0, without tolerance.
+    - ``strict``: equal columns one to one, without tolerance; whole numbers and decimals digit by digit.
+    """
+    if rule not in RULES:
+        raise ValueError(f"rule must be one of {', '.join(RULES)}")
+    if rule == "file":
+        gold, pred = null_to_zero(gold, True), null_to_zero(pred, False)
+    if rule in ("benchmark", "file"):
+        return best_gold(against_each_gold(gold, pred, gold_shape, pred_shape, tasks))
+    pairs = sized_pairs(gold_shape, pred_shape, tasks)
+    if rule == "multiset":
+        judged = same_row_multiset(gold, pred, pairs.where(c("gold_ix") == 0))
+        why = "rows differ"
+    else:
+        judged, why = same_columns_strict(gold, pred, pairs, tasks), "columns differ"
+    return best_gold(judged.withColumn("why", F.when(c("ok"), "").otherwise(why)))
+
+
 def weak_golds(gold: DataFrame, gold_shape: DataFrame) -> DataFrame:
     """Golds that say little: no rows, one cell of 0, 1 or nothing, or only zeros and missing values."""
     x = number_of(c("val"))

@@ -27,17 +27,30 @@ def first_failed_gate(gates: str, order: tuple[str, ...] = ("G0", "G1", "G3", "G
     return F.coalesce(*[F.when(~passed[g], g) for g in order])
 
 
+# what the screens look for in lower-case text
+PLAIN = r"('[^']*')|--[^\n]*|/\*[\s\S]*?\*/"  # a literal, kept, or a comment, dropped
 LITERAL = r"'[^']*'"
-TABLE_NAME = r"\b(?:from|join)\s+([a-z_][a-z0-9_]*)"
-LOCAL_NAME = r"([a-z_][a-z0-9_]*)\s+as\s*\("
+PART_OF = r"\bextract\s*\(\s*[a-z]+\s+from\b"
+NAME = r'"?[a-z_][a-z0-9_]*"?(?:\."?[a-z_][a-z0-9_]*"?)?'
+TABLE_LIST = rf"\b(?:from|join)\s+((?:{NAME}(?:\s+(?:as\s+)?[a-z_][a-z0-9_]*)?\s*,\s*)*{NAME})"
+TABLE_NAME = r'^(?:"?[a-z_][a-z0-9_]*"?\.)?"?([a-z_][a-z0-9_]*)'
+LOCAL_NAME = r'"?([a-z_][a-z0-9_]*)"?\s*(?:\([^()]*\)\s*)?as\s*\('
 
 
 def screen(df: DataFrame, sql: str, catalog: list[str]) -> DataFrame:
-    """Cheap screens of SQL text: one statement that reads, over known tables. Not a parser."""
-    bare = F.lower(F.regexp_replace(c(sql), LITERAL, "''"))
-    one = ~bare.rlike(r";\s*\S")
-    reads = bare.rlike(r"^\s*(\(|select\b|with\b)")
-    tables = F.regexp_extract_all(c("_bare"), F.lit(TABLE_NAME), F.lit(1))
+    """Cheap screens of SQL text: one statement that reads, over known tables. Not a parser.
+
+    Comments and literals are taken out first. Table names are those after FROM and JOIN, in comma lists too, with or
+    without quotes and schema; the FROM of ``extract`` is none of them.
+    """
+    code = F.regexp_replace(F.lower(c(sql)), PLAIN, "$1 ")
+    bare = F.regexp_replace(F.regexp_replace(code, LITERAL, "''"), PART_OF, "extract(")
+    one = ~c("_bare").rlike(r";\s*\S")
+    reads = c("_bare").rlike(r"^\s*(\(|select\b|with\b)")
+    lists = F.regexp_extract_all(c("_bare"), F.lit(TABLE_LIST), F.lit(1))
+    tables = F.flatten(
+        F.transform(lists, lambda x: F.transform(F.split(x, ","), lambda y: F.regexp_extract(F.trim(y), TABLE_NAME, 1)))
+    )
     local = F.regexp_extract_all(c("_bare"), F.lit(LOCAL_NAME), F.lit(1))
     known = F.concat(F.array(*[F.lit(n) for n in catalog]), local)
     return (
@@ -54,6 +67,36 @@ def screen(df: DataFrame, sql: str, catalog: list[str]) -> DataFrame:
     )
 
 
+def ladder(judged: DataFrame, screened: DataFrame, results: DataFrame, hidden: list[int]) -> DataFrame:
+    """One verdict per attempt: ``task, attempt, gate, snapshot, why, passed``; ``gate`` is the first that failed.
+
+    ``screened`` has the screens of each attempt's text, ``results`` a row with ``error`` for each snapshot it ran on, and
+    ``judged`` ``ok`` and ``why`` for each snapshot that was compared. G0: one statement that reads. G1: known tables.
+    Then the hidden snapshots in their order, up to the first that fails: G3 if the text did not run there or has no
+    result, G4 if no gold was met.
+    """
+    keys = ["task", "attempt"]
+    listed = F.array(*[F.lit(s) for s in hidden])
+    runs = screened.select(*keys, F.posexplode(listed).alias("place", "snapshot"))
+    ran = results.select(*keys, "snapshot", F.lit(True).alias("ran"), "error")
+    events = runs.join(ran, [*keys, "snapshot"], "left").join(
+        judged.select(*keys, "snapshot", "ok", "why"), [*keys, "snapshot"], "left"
+    )
+    broke = c("ran").isNull() | c("error").isNotNull()
+    gate = F.when(broke, "G3").when(~F.coalesce(c("ok"), F.lit(False)), "G4")
+    why = F.when(broke, F.coalesce(c("error"), F.lit("no result"))).otherwise(F.coalesce(c("why"), F.lit("not compared")))
+    failed = events.select(*keys, F.struct("place", "snapshot", gate.alias("gate"), why.alias("why")).alias("f"))
+    first = failed.where(c("f.gate").isNotNull()).groupBy(*keys).agg(F.min("f").alias("f"))
+    read = c("one_statement") & c("reads_only")
+    text = F.when(~read, "G0").when(c("unknown_tables") > 0, "G1")
+    said = F.when(~read, "not one statement that reads").when(c("unknown_tables") > 0, "unknown table")
+    stop = F.coalesce(text, c("f.gate"))
+    return screened.join(first, keys, "left").select(
+        *keys, stop.alias("gate"), F.when(text.isNull(), c("f.snapshot")).alias("snapshot"),
+        F.coalesce(said, c("f.why"), F.lit("")).alias("why"), stop.isNull().alias("passed"),
+    )
+
+
 def hardcoded(screened: DataFrame, prints: DataFrame, keys: list[str]) -> DataFrame:
     """Answers that read no table, or whose result is the same on all of several snapshots."""
     pairs = prints.select(*keys, "snapshot", "fingerprint").distinct()

@@ -88,10 +88,10 @@ def tasks_of(rows, condition_cols="CAST(array() AS ARRAY<ARRAY<INT>>)"):
 
 
 def setup(t, n_golds=1, condition_cols="CAST(array() AS ARRAY<ARRAY<INT>>)"):
-    rows = gold_rows(t)
-    # results under comparison are stored tables; several steps below read them
-    gold = settle(golds(rows).where(c("gold_ix") < n_golds))
-    pred = settle(answers(rows))
+    # results under comparison are a stored table; its cells are unfolded where they are read
+    rows = settle(gold_rows(t))
+    gold = golds(rows).where(c("gold_ix") < n_golds)
+    pred = answers(rows)
     return gold, pred, cmp.shapes_of(gold, cmp.GOLD), cmp.shapes_of(pred, cmp.PRED), tasks_of(rows, condition_cols)
 
 
@@ -156,12 +156,12 @@ def cmp_normalise(t):
 
 @query(
     "cmp_null_to_zero",
-    f"""WITH {ROWS_SQL} SELECT attempt, count(*) FILTER (coalesce(val, '0') = '0') AS zeros, count(*) AS cells FROM p
+    f"""WITH {ROWS_SQL} SELECT attempt, count(*) FILTER (val IS NULL OR x = 0) AS zeros, count(*) AS cells FROM po
 GROUP BY attempt""",
 )
 def cmp_null_to_zero(t):
     cells = cmp.null_to_zero(answers(gold_rows(t)), blank_too=False)
-    return cells.groupBy("attempt").agg(F.count_if(c("val") == "0").alias("zeros"), F.count("*").alias("cells"))
+    return cells.groupBy("attempt").agg(F.count_if((c("kind") == "num") & (c("val") == cmp.ZERO)).alias("zeros"), F.count("*").alias("cells"))
 
 
 @query(
@@ -212,13 +212,12 @@ SELECT task, attempt, snapshot, bool_or(ok) AS ok, CAST(min(gold_ix) FILTER (ok)
 )
 def cmp_multi_gold(t):
     # the first gold is judged on customer and line count, the second on customer and revenue
-    judged = cmp.against_each_gold(*setup(t, 2, "array(array(0, 1), array(0, 2))"))
-    return cmp.best_gold(judged).drop("why")
+    return cmp.compare_tables(*setup(t, 2, "array(array(0, 1), array(0, 2))"), "file").drop("why")
 
 
 @query(
     "cmp_row_multiset",
-    f"""WITH {ROWS_SQL}, pr AS (SELECT task, attempt, snapshot, list_transform(v, lambda x: coalesce(x, '0')) AS v FROM wide),
+    f"""WITH {ROWS_SQL}, pr AS (SELECT task, attempt, snapshot, list_transform(v, lambda x: coalesce(x, '0.0')) AS v FROM wide),
  pl AS (SELECT task, attempt, snapshot, list_sort(list(v::VARCHAR)) AS rs FROM pr GROUP BY ALL)
 SELECT a.task, a.attempt, a.snapshot, a.rs = b.rs AS ok FROM pl a JOIN pl b ON b.task = a.task AND b.snapshot = a.snapshot
  AND b.attempt = 'same'""",
@@ -308,26 +307,37 @@ def lad_all_snapshots(t):
     return lad.all_snapshots(cmp.against_each_gold(*setup(t)), [1, 2])
 
 
-TEXTS_SQL = f"""{EPISODES_SQL}, tx AS (SELECT episode, task, arm, CASE episode % 7 WHEN 0 THEN sql || '; DROP TABLE orders'
+SCREEN_SQL = r"""
+sb AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(sql), '(''[^'']*'')|--[^\n]*|/\*[\s\S]*?\*/', '\1 ', 'g'),
+  '''[^'']*''', '''''', 'g'), '\bextract\s*\(\s*[a-z]+\s+from\b', 'extract(', 'g') AS bare FROM tx),
+st AS (SELECT *, list_transform(flatten(list_transform(regexp_extract_all(bare, '\b(?:from|join)\s+((?:"?[a-z_][a-z0-9_]*"?'
+  || '(?:\."?[a-z_][a-z0-9_]*"?)?(?:\s+(?:as\s+)?[a-z_][a-z0-9_]*)?\s*,\s*)*"?[a-z_][a-z0-9_]*"?(?:\."?[a-z_][a-z0-9_]*"?)?)', 1),
+  lambda l: string_split(l, ','))), lambda n: regexp_extract(trim(n), '^(?:"?[a-z_][a-z0-9_]*"?\.)?"?([a-z_][a-z0-9_]*)', 1)) AS names
+  FROM sb),
+sn AS (SELECT * EXCLUDE (bare, names), NOT regexp_matches(bare, ';\s*\S') AS one_statement,
+  regexp_matches(bare, '^\s*(\(|select\b|with\b)') AS reads_only, regexp_matches(bare, '\bfrom\b') AS has_from,
+  CAST(len(list_filter(list_distinct(names), lambda x: NOT list_contains(list_concat(
+    ['orders', 'customer', 'lineitem', 'part', 'supplier', 'nation', 'region'],
+    regexp_extract_all(bare, '"?([a-z_][a-z0-9_]*)"?\s*(?:\([^()]*\)\s*)?as\s*\(', 1)), x))) AS INTEGER) AS unknown_tables FROM st)"""
+
+TEXTS_SQL = f"""{EPISODES_SQL}, tx AS (SELECT episode, task, arm, CASE episode % 9 WHEN 0 THEN sql || '; DROP TABLE orders'
   WHEN 1 THEN 'UPDATE orders SET o_custkey = 0' WHEN 2 THEN 'SELECT ' || task || ' AS n'
-  WHEN 3 THEN replace(sql, 'FROM orders', 'FROM missing') WHEN 4 THEN sql || ' -- ''; x''' ELSE sql END AS sql
-  FROM e WHERE sql IS NOT NULL),
-sc AS (SELECT *, lower(regexp_replace(sql, '''[^'']*''', '''''', 'g')) AS bare FROM tx),
-sn AS (SELECT episode, task, arm, sql, NOT regexp_matches(bare, ';\\s*\\S') AS one_statement,
-  regexp_matches(bare, '^\\s*(\\(|select\\b|with\\b)') AS reads_only, regexp_matches(bare, '\\bfrom\\b') AS has_from,
-  CAST(len(list_filter(list_distinct(regexp_extract_all(bare, '\\b(?:from|join)\\s+([a-z_][a-z0-9_]*)', 1)),
-   lambda x: NOT list_contains(list_concat(['orders', 'customer', 'lineitem', 'part', 'supplier', 'nation', 'region'],
-    regexp_extract_all(bare, '([a-z_][a-z0-9_]*)\\s+as\\s*\\(', 1)), x))) AS INTEGER) AS unknown_tables FROM sc)"""
+  WHEN 3 THEN replace(sql, 'FROM orders', 'FROM missing') WHEN 4 THEN sql || ' -- ''; x'
+  WHEN 5 THEN replace(sql, 'FROM orders', 'FROM orders o, "absent" a') WHEN 6
+  THEN 'SELECT extract(year FROM DATE ''2020-01-01'') /* ; */' ELSE sql END AS sql
+  FROM e WHERE sql IS NOT NULL), {SCREEN_SQL}"""
 
 
 def submitted_texts(t):
-    kind = c("episode") % 7
+    kind = c("episode") % 9
     text = (
         F.when(kind == 0, F.concat(c("sql"), F.lit("; DROP TABLE orders")))
         .when(kind == 1, "UPDATE orders SET o_custkey = 0")
         .when(kind == 2, F.concat(F.lit("SELECT "), c("task").cast("string"), F.lit(" AS n")))
         .when(kind == 3, F.replace("sql", F.lit("FROM orders"), F.lit("FROM missing")))
-        .when(kind == 4, F.concat(c("sql"), F.lit(" -- '; x'")))
+        .when(kind == 4, F.concat(c("sql"), F.lit(" -- '; x")))
+        .when(kind == 5, F.replace("sql", F.lit("FROM orders"), F.lit('FROM orders o, "absent" a')))
+        .when(kind == 6, "SELECT extract(year FROM DATE '2020-01-01') /* ; */")
         .otherwise(c("sql"))
     )
     rows = episodes(t).where(c("sql").isNotNull()).select("episode", "task", "arm", "passed", text.alias("sql"))
@@ -342,28 +352,46 @@ def lad_text_screen(t):
     return submitted_texts(t).select("episode", "one_statement", "reads_only", "has_from", "unknown_tables")
 
 
+# the text handed in with each kind of answer; kinds not named have the first
+TEXT_OF = {
+    "": 'SELECT c_custkey, count(*) FROM orders o, "lineitem" l, customer -- one statement\nGROUP BY 1',
+    "doubled": "DELETE FROM orders",
+    "reversed rows": "SELECT extract(year FROM o_orderdate) FROM orders JOIN elsewhere ON true",
+    "permuted": "WITH elsewhere AS (SELECT 'a; b' FROM main.orders) SELECT * FROM elsewhere;",
+}
+TEXT_SQL = "CASE attempt " + " ".join(
+    f"WHEN '{kind}' THEN '{sql.replace(chr(39), 2 * chr(39))}'" for kind, sql in TEXT_OF.items() if kind
+) + f" ELSE '{TEXT_OF['']}' END"
+ROW_CAP = 50  # a longer result is an error
+
+
 @query(
     "lad_first_failed_gate",
-    f"""WITH {TEXTS_SQL}, s2 AS (SELECT sn.*, passed FROM sn JOIN e USING (episode))
-SELECT episode, CASE WHEN NOT (one_statement AND reads_only) THEN 'G0' WHEN unknown_tables > 0 THEN 'G1'
-  WHEN episode % 11 = 0 THEN 'G3' WHEN NOT passed THEN 'G4' END AS gate FROM s2""",
+    f"""WITH {ROWS_SQL}, tx AS (SELECT task, attempt, {TEXT_SQL} AS sql FROM pn GROUP BY task, attempt), {SCREEN_SQL},
+ ev AS (SELECT task, attempt, snapshot, CASE WHEN p_rows > {ROW_CAP} THEN 'G3' WHEN NOT (g_rows = p_rows AND hits = 4) THEN 'G4'
+   END AS gate, CASE WHEN p_rows > {ROW_CAP} THEN 'too many rows' ELSE {WHY_SQL} END AS why
+  FROM jd WHERE gold_ix = 0 AND snapshot IN (1, 2)),
+ gone AS (SELECT s.task, s.attempt, CAST(r.s AS INTEGER) AS snapshot, CASE WHEN ev.task IS NULL THEN 'G3' ELSE ev.gate END AS gate,
+   CASE WHEN ev.task IS NULL THEN 'no result' ELSE why END AS why FROM sn s CROSS JOIN range(1, 3) r(s)
+   LEFT JOIN ev ON ev.task = s.task AND ev.attempt = s.attempt AND ev.snapshot = r.s),
+ fe AS (SELECT * FROM gone WHERE gate IS NOT NULL QUALIFY row_number() OVER (PARTITION BY task, attempt ORDER BY snapshot) = 1)
+SELECT task, attempt, CASE WHEN NOT (one_statement AND reads_only) THEN 'G0' WHEN unknown_tables > 0 THEN 'G1' ELSE fe.gate END AS gate,
+  CASE WHEN one_statement AND reads_only AND unknown_tables = 0 THEN snapshot END AS snapshot,
+  CASE WHEN NOT (one_statement AND reads_only) THEN 'not one statement that reads' WHEN unknown_tables > 0 THEN 'unknown table'
+    ELSE coalesce(why, '') END AS why,
+  one_statement AND reads_only AND unknown_tables = 0 AND fe.gate IS NULL AS passed
+FROM sn LEFT JOIN fe USING (task, attempt)""",
 )
 def lad_first_failed_gate(t):
-    parses = c("one_statement") & c("reads_only")
-    # a gate behind a failed one was not reached and is missing from the map
-    gates = F.map_filter(
-        F.create_map(
-            F.lit("G0"), parses,
-            F.lit("G1"), F.when(parses, c("unknown_tables") == 0),
-            F.lit("G2"), F.lit(False),
-            F.lit("G3"), F.when(parses, c("episode") % 11 != 0),
-            F.lit("G4"), F.when(c("episode") % 11 != 0, c("passed")),
-        ),
-        lambda _, v: v.isNotNull(),
-    )
-    return submitted_texts(t).withColumn("gates", gates).select(
-        "episode", lad.first_failed_gate("gates").alias("gate")
-    )
+    gold, pred, gold_shape, pred_shape, tasks = setup(t)
+    judged = cmp.against_each_gold(gold, pred, gold_shape, pred_shape, tasks)
+    text = F.lit(TEXT_OF[""])
+    for kind, sql in TEXT_OF.items():
+        text = F.when(c("attempt") == kind, sql).otherwise(text)
+    attempts = pred_shape.select("task", "attempt").distinct().withColumn("sql", text)
+    error = F.when(c("n_rows") > ROW_CAP, "too many rows").alias("error")
+    results = pred_shape.select("task", "attempt", "snapshot", error)
+    return lad.ladder(judged, lad.screen(attempts, "sql", CATALOG), results, [1, 2])
 
 
 @query(
@@ -386,7 +414,9 @@ def lad_hardcode_flag(t):
     "lad_gold_selfcheck",
     f"""WITH {ORDER_GOLDS_SQL}, f AS (SELECT a.task, count(*) FILTER (b.filled IS NOT DISTINCT FROM a.filled) AS repeats
    FROM og a JOIN og b ON b.task = a.task AND b.snapshot > 0 WHERE a.snapshot = 0 GROUP BY a.task)
-SELECT c_custkey AS task, true AS passes_itself,
+SELECT c_custkey AS task,
+  NOT EXISTS (SELECT 1 FROM gr a JOIN gr b ON b.task = a.task AND b.snapshot = a.snapshot WHERE a.task = c_custkey
+    AND (a.k IS NULL) <> (b.k IS NULL) OR (a.task = c_custkey AND a.filled IS DISTINCT FROM b.filled)) AS passes_itself,
   EXISTS (SELECT 1 FROM og WHERE og.task = c_custkey AND snapshot = 0) AS has_rows,
   coalesce((SELECT repeats FROM f WHERE f.task = c_custkey), 0) < 3 AS frozen_fails FROM customer""",
 )
