@@ -71,9 +71,15 @@ def parse_turns(turns: DataFrame) -> DataFrame:
     return parsed.withColumn("action", action)
 
 
+def turn_numbers(turns: DataFrame) -> DataFrame:
+    """``conv_id, turn, turn_no``: the assistant turns from 1; no text goes through the numbering."""
+    own = turns.where(c("role") == "assistant").select("conv_id", "turn")
+    return number_rows(own, ["conv_id"], ["turn"], "turn_no")
+
+
 def numbered(turns: DataFrame) -> DataFrame:
-    """Assistant turns with their number from 1."""
-    return number_rows(turns.where(c("role") == "assistant"), ["conv_id"], ["turn"], "turn_no")
+    """Assistant turns with their number; ``conv_id, turn`` names one turn."""
+    return turns.where(c("role") == "assistant").join(turn_numbers(turns), ["conv_id", "turn"])
 
 
 def fold_episodes(parsed: DataFrame, max_turns: int) -> DataFrame:
@@ -123,11 +129,12 @@ def turns_left(numbered_turns: DataFrame, cap: int) -> DataFrame:
 
 def segment_spans(turns: DataFrame) -> DataFrame:
     """Character span of every turn in the joined text, and whether it was generated."""
-    spans = running_totals(turns, ["conv_id"], ["turn"], ends=F.length("raw").cast("bigint"))
+    sizes = turns.select("conv_id", "turn", "role", F.length("raw").cast("bigint").alias("size"))
+    spans = running_totals(sizes, ["conv_id"], ["turn"], ends=c("size"))
     return spans.select(
         "conv_id",
         "turn",
-        (c("ends") - F.length("raw")).alias("starts"),
+        (c("ends") - c("size")).alias("starts"),
         "ends",
         (c("role") == "assistant").alias("generated"),
     )

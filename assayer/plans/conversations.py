@@ -148,7 +148,7 @@ def tx_episode_fold(t):
   WHEN 8 - turn_no <= 1 THEN 'last' ELSE 'low' END AS note FROM ac""",
 )
 def tx_turns_left(t):
-    return tx.turns_left(tx.numbered(turns(t)), 8)
+    return tx.turns_left(tx.turn_numbers(turns(t)), 8)
 
 
 SPANS_SQL = f"""{TURNS_SQL}, ss AS (SELECT conv_id, turn, role, length(raw) AS n, CAST(sum(length(raw)) OVER (PARTITION BY conv_id
