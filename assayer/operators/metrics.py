@@ -6,7 +6,7 @@ Every function aggregates with partial sums first, so a hot task, set or arm cos
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 c = F.col
@@ -147,14 +147,21 @@ def task_counts(episodes: DataFrame, *extra: str) -> DataFrame:
     return episodes.groupBy("task", *extra).agg(F.count("*").alias("n"), F.count_if("passed").alias("p"))
 
 
-def passes_histogram(counts: DataFrame, top: int = 8) -> DataFrame:
-    folded = counts.groupBy(F.least(c("p"), F.lit(top)).cast("int").alias("passes")).agg(F.count("*").alias("tasks"))
-    whole = folded.agg(F.sum("tasks")).scalar()
-    few = folded.where(c("passes") <= 2).agg(F.coalesce(F.sum("tasks"), F.lit(0))).scalar()
-    many = folded.where(c("passes") >= 6).agg(F.coalesce(F.sum("tasks"), F.lit(0))).scalar()
-    return folded.select(
+def passes_histogram(counts: DataFrame) -> DataFrame:
+    """Tasks by their number of passes, with the shares of all that have at most 2 and at least 6.
+
+    One row per number of passes enters the window, so it is bounded by the attempts of a task.
+    """
+    passes = counts.groupBy(c("p").cast("int").alias("passes")).agg(F.count("*").alias("tasks"))
+    everything = Window.partitionBy()
+    whole = F.sum("tasks").over(everything)
+
+    def share(kept: Column) -> Column:
+        return ratio(F.sum(F.when(kept, c("tasks")).otherwise(0)).over(everything), whole)
+
+    return passes.select(
         "passes", "tasks", ratio(c("tasks"), whole).alias("share"),
-        ratio(few, whole).alias("share_few"), ratio(many, whole).alias("share_many"),
+        share(c("passes") <= 2).alias("share_few"), share(c("passes") >= 6).alias("share_many"),
     )
 
 

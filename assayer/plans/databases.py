@@ -110,7 +110,7 @@ reviews AS (SELECT {sql_snapshot("o_orderkey")} AS snapshot, o_custkey AS employ
 
 
 def hr(t) -> dict[str, DataFrame]:
-    root = t.region.limit(1).select(
+    root = t.spark.range(1).select(
         F.lit(1).alias("id"), F.lit("Corporate").alias("name"), F.lit(None).cast("int").alias("parent_id")
     )
     regions = t.region.select((c("r_regionkey") + 2).alias("id"), c("r_name").alias("name"), F.lit(1).alias("parent_id"))

@@ -13,7 +13,7 @@ from assayer.plans.views import ATTEMPTS_SQL, EPISODES_SQL, episodes, episodes_w
 from assayer.registry import query
 
 c = F.col
-BOOT, SALT = 2000, 7
+BOOT, SALT = 20000, 7
 SEEN = [0, 3, 8, 15, 21]
 
 # ---------------------------------------------------------------- metrics
@@ -123,7 +123,7 @@ def m_turn_bucket_curve(t):
     "m_passes_hist",
     f"""
 WITH {EPISODES_SQL}, k AS (SELECT task, count(*) FILTER (passed) AS p FROM e GROUP BY task),
- h AS (SELECT CAST(least(p, 8) AS INTEGER) AS passes, count(*) AS tasks FROM k GROUP BY 1)
+ h AS (SELECT CAST(p AS INTEGER) AS passes, count(*) AS tasks FROM k GROUP BY 1)
 SELECT passes, tasks, tasks::DOUBLE / (SELECT sum(tasks) FROM h) AS share,
   (SELECT sum(tasks) FROM h WHERE passes <= 2)::DOUBLE / (SELECT sum(tasks) FROM h) AS share_few,
   coalesce((SELECT sum(tasks) FROM h WHERE passes >= 6), 0)::DOUBLE / (SELECT sum(tasks) FROM h) AS share_many

@@ -16,7 +16,8 @@ c = F.col
 
 
 def event_stream(t):
-    return jobs.timed(jobs.file_stream(t.spark, t.sf_dir, SCHEMAS["events"], "events.parquet"))
+    # the pattern finds the table whether it is one file or a folder of part files
+    return jobs.timed(jobs.file_stream(t.spark, f"{t.sf_dir}/events.parquet*", SCHEMAS["events"]))
 
 
 def wall(column: str):

@@ -295,7 +295,7 @@ def overlap_stratum(t):
     "overlap_names",
     """
 WITH n AS (SELECT o_custkey, list_sort(list(DISTINCT p_brand)) AS names FROM lineitem JOIN orders ON o_orderkey = l_orderkey
-  JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 45 GROUP BY o_custkey),
+  JOIN part ON p_partkey = l_partkey GROUP BY o_custkey),
  k AS (SELECT ['Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5', 'Brand#6'] AS seen)
 SELECT o_custkey, len(list_intersect(names, seen))::DOUBLE / len(list_distinct(list_concat(names, seen))) AS jaccard
 FROM n, k""",
@@ -303,7 +303,7 @@ FROM n, k""",
 def overlap_names(t):
     seen = F.array(*[F.lit(f"Brand#{i}") for i in range(1, 7)])
     pairs = (
-        t.lineitem.where(c("l_quantity") >= 45)
+        t.lineitem
         .join(t.orders, c("l_orderkey") == c("o_orderkey"))
         .join(t.part, c("l_partkey") == c("p_partkey"))
         .select("o_custkey", "p_brand")

@@ -15,6 +15,10 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # a parameter repeated inside one tool call keeps its last value
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # sessions are merged before the shuffle, and keyed state is kept off the heap
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # texts can be long: a batch that is read, or handed to a Python worker, stays small whatever they are
     "spark.sql.parquet.columnarReaderBatchSize": "512",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",

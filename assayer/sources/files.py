@@ -41,19 +41,40 @@ def read_tasks(spark: SparkSession, path: str, schema: str = TASK) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def gold_files(files: DataFrame, tasks: DataFrame) -> DataFrame:
+    """``(task, gold_ix, file)``: ``{id}`` and every ``{id}_x`` are the golds 0, 1, ... of task ``id``, its own file first.
+
+    ``tasks`` lists the ids, for a name alone does not tell a suffix from an id that has a ``_`` itself.
+    """
+    parts = F.split("file", "_")
+    starts = F.transform(
+        F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "_")
+    )
+    named = files.select("file", F.explode(starts).alias("task")).join(tasks.select("task").distinct(), "task")
+    order = F.struct((c("file") != c("task")).alias("further"), F.concat("file", F.lit(".csv")).alias("name"), "file")
+    listed = named.groupBy("task").agg(F.array_sort(F.collect_list(order)).alias("fs"))  # the golds of one task
+    return listed.select("task", F.posexplode("fs").alias("gold_ix", "f")).select("task", "gold_ix", "f.file")
+
+
 def read_gold_csv(
-    spark: SparkSession, path: str, name: str = r"([^/]+)\.csv$", max_columns: int = 64, multi_line: bool = True
+    spark: SparkSession, path: str, tasks: DataFrame, name: str = r"([^/]+)\.csv$"
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Gold tables as ``(cells, shapes, column names)``.
+    """Gold tables as ``(cells, shapes, column names)`` of the listed ``tasks``.
 
-    ``{id}.csv`` and ``{id}_x.csv`` are the golds 0, 1, ... of task ``id`` in name order. The first row of a file is
-    its header; all cells are text and empty text stays empty. ``name`` finds the file's name in its path.
+    The first row of a file is its header; all cells are text and empty text stays empty. ``name`` finds the file's
+    name in its path. Files may have any width: the widest header sets how many fields are read, and a row with
+    more fields than that is an error. A file is read by one task, so its lines keep their order.
     """
-    columns = [f"_c{i}" for i in range(max_columns)]
+    lines = spark.read.text(path).select(
+        c("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"),
+        (F.regexp_count("value", F.lit(",")) + 1).alias("fields"),
+    )
+    widest = lines.groupBy("file").agg(F.min_by("fields", "line").alias("fields")).agg(F.max("fields")).first()[0] or 1
+    columns = [f"_c{i}" for i in range(widest)]
     raw = (
-        spark.read.schema(", ".join(f"{x} STRING" for x in columns))
+        spark.read.schema(", ".join(f"{x} STRING" for x in [*columns, "_more"]))
         .option("header", False)
-        .option("multiLine", multi_line)
+        .option("multiLine", True)
         .option("nullValue", "\u0000")
         .option("emptyValue", "")
         .option("escape", '"')
@@ -61,16 +82,13 @@ def read_gold_csv(
         .select(
             F.regexp_extract("_metadata.file_path", name, 1).alias("file"),
             F.monotonically_increasing_id().alias("line"),
-            F.array(*columns).alias("values"),
+            F.when(c("_more").isNull(), F.array(*columns)).otherwise(
+                F.raise_error(F.lit("a row of a gold table is wider than every header"))
+            ).alias("values"),
         )
     )
     lines = number_rows(raw, ["file"], ["line"], "row_no")
-    files = lines.select("file").distinct()
-    # a suffix after the last "_" marks a further gold only if the shorter name is no file of its own
-    parts = files.withColumn("task", F.regexp_extract("file", r"^(.+?)(?:_[a-z0-9]{1,2})?$", 1))
-    order = F.array_sort(F.collect_list("file"))  # the golds of one task
-    indexed = parts.groupBy("task").agg(order.alias("fs")).select("task", F.posexplode("fs").alias("gold_ix", "file"))
-    named = lines.join(indexed, "file")
+    named = lines.join(gold_files(lines.select("file").distinct(), tasks), "file")
     keys = ["task", "gold_ix"]
     # the header fixes the width; inside it an empty field is empty text
     header = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.draws import ticket
@@ -10,9 +10,6 @@ from assayer.operators.ranking import number_rows
 
 c = F.col
 
-# up to this rank Spark limits the rows of a group before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold)
-RANK_LIMIT = 1000
-
 WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
@@ -69,16 +66,12 @@ def bounded(rows: DataFrame, keys: list[str], order: list, cap: int, cut: bool)
     """Results with at most ``cap`` rows, and ``overflow`` on those that had more.
 
     With ``cut`` an oversized result keeps its first ``cap`` rows, otherwise it is an error and keeps one row
-    without values. The flag is never lost. Large caps are numbered in stretches, so that a huge result does not
-    meet one task.
+    without values. The flag is never lost. Rows are numbered in stretches, so that a huge result does not meet
+    one task, whatever the cap.
     """
-    if cap <= RANK_LIMIT:
-        in_order = Window.partitionBy(*keys).orderBy(*order)
-        placed = rows.withColumn("_n", F.row_number().over(in_order))
-    else:
-        placed = number_rows(rows, keys, order, "_n")
+    placed = number_rows(rows, keys, order, "_n")
     first = placed.where(c("_n") <= cap)
-    sizes = rows.groupBy(*keys).agg((F.count("*") > cap).alias("overflow"))
+    sizes = placed.groupBy(*keys).agg((F.max("_n") > cap).alias("overflow"))
     flagged = first.join(sizes, keys)
     if not cut:
         values = [x for x in rows.columns if x not in keys]

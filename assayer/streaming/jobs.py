@@ -17,11 +17,9 @@ from assayer.session import fresh_path
 c = F.col
 
 
-def file_stream(spark: SparkSession, folder: str, schema: str, pattern: str | None = None, fmt: str = "parquet") -> DataFrame:
-    reader = spark.readStream.schema(schema).format(fmt)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(folder)
+def file_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
+    """The files in the folder ``path``, or under all that it matches."""
+    return spark.readStream.schema(schema).format(fmt).load(path)
 
 
 def run_available(stream: DataFrame, mode: str, folder: str | None = None) -> str:
@@ -32,6 +30,8 @@ def run_available(stream: DataFrame, mode: str, folder: str | None = None) -> st
     """
     spark = stream.sparkSession
     folder = folder or fresh_path(spark, "stream")
+    # so that there is a table also where no batch has come yet
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{folder}/out/batch=-1")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
@@ -87,7 +87,6 @@ def window_counts(events: DataFrame, size: str, slide: str | None = None) -> Dat
 
 def session_counts(events: DataFrame, gap: str) -> DataFrame:
     """Closed sessions per user. With partial merging each map task sends one row per user and session."""
-    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return (
         events.groupBy("user_id", F.session_window("ts", gap).alias("w"))
         .agg(F.count("*").alias("n"))
@@ -138,10 +137,6 @@ def rest_streaks(groups: DataFrame) -> DataFrame:
         def close(self) -> None:
             pass
 
-    groups.sparkSession.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
     return groups.groupBy("task").transformWithStateInPandas(
         statefulProcessor=Streak(), outputStructType=REST_OUT, outputMode="append", timeMode="none"
     )

@@ -7,7 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.operators import answers as q
+from assayer.plans import streams
+from assayer.session import configure, shared_dir
 from assayer.sources import files, generators, sinks
+from assayer.sources.tables import Tables
 from assayer.streaming import jobs
 
 
@@ -15,7 +18,8 @@ def test_gold_csv_cells(spark, tmp_path):
     (tmp_path / "local1.csv").write_text('id,name\n1,"a, b"\n2,\n')
     (tmp_path / "local2_a.csv").write_text("n\n5\n")
     (tmp_path / "local2_b.csv").write_text('n,m\n"x\ny",7\n')
-    cells, shapes, names = files.read_gold_csv(spark, str(tmp_path), max_columns=3)
+    tasks = spark.createDataFrame([("local1",), ("local2",), ("local2",)], "task STRING")
+    cells, shapes, names = files.read_gold_csv(spark, str(tmp_path), tasks)
     got = {(r.task, r.gold_ix, r.row_ix, r.col_ix): r.val for r in cells.collect()}
     assert got == {
         ("local1", 0, 0, 0): "1", ("local1", 0, 0, 1): "a, b", ("local1", 0, 1, 0): "2", ("local1", 0, 1, 1): "",
@@ -27,6 +31,50 @@ def test_gold_csv_cells(spark, tmp_path):
     assert names.where("task = 'local1'").count() == 2
 
 
+def test_gold_csv_of_any_width_and_suffix(spark, tmp_path):
+    wide = ",".join(f"c{i}" for i in range(70))
+    for name, text in {"wide": f"{wide}\n{wide}\n", "t2": "n\n1\n", "t2_abc": "n\n2\n", "t2_B": "n\n3\n", "db_12": "n\n4\n",
+                       "t22": "n\n5\n", "other": "n\n6\n"}.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    tasks = spark.createDataFrame([("wide",), ("t2",), ("db_12",), ("t22",)], "task STRING")
+    cells, shapes, _ = files.read_gold_csv(spark, str(tmp_path), tasks)
+    assert {(r.task, r.gold_ix): r.val for r in cells.where("task <> 'wide'").collect()} == {
+        ("t2", 0): "1", ("t2", 1): "3", ("t2", 2): "2", ("db_12", 0): "4", ("t22", 0): "5"
+    }
+    assert shapes.where("task = 'wide'").first().n_cols == 70 and cells.where("val = 'c69'").count() == 1
+
+
+def test_gold_csv_refuses_rows_beyond_every_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("n,m\n1,2,3\n")
+    with pytest.raises(Exception, match="wider than every header"):
+        files.read_gold_csv(spark, str(tmp_path), spark.createDataFrame([("a",)], "task STRING"))[0].collect()
+
+
+@pytest.mark.parametrize("rows", [40, 0])
+def test_event_streams_read_folders_of_files(spark, tmp_path, rows):
+    table = spark.range(rows).selectExpr(
+        "id AS event_id", "TIMESTAMP_NTZ '2020-01-01 00:00:00' + make_interval(0, 0, 0, 0, CAST(id AS INT)) AS ts",
+        "id % 3 AS user_id", "'click' AS event_type", "1.0D AS value", "'' AS props",
+    )
+    table.repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    tables = Tables(configure(spark), str(tmp_path))
+    counts = streams.st_tumbling(tables)
+    assert counts.agg(F.sum("n")).first()[0] == (rows or None)
+    assert streams.st_session(tables).count() == (15 if rows else 0)  # those closed a day before the last event
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Context:
+        master, getCheckpointDir = "spark://host:7077", staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+
+
 def test_episode_logs_and_resume(spark, tmp_path):
     lines = [json.dumps({"task": f"t{i}", "seed": 1, "pass": i % 2 == 0, "turns": i}) for i in range(4)]
     (tmp_path / "a.jsonl").write_text("\n".join(lines[:2]) + "\n\n")
