@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from assayer.functions.draws import draw
 from assayer.functions.sqltext import BLANKS, count_of, has
 from assayer.operators.metrics import outcome, ratio
-from assayer.operators.ranking import nth_value
+from assayer.operators.ranking import nth_values, number_rows
+from assayer.session import settle
 
 c = F.col
 
@@ -57,8 +58,18 @@ def cluster_sums(rates: DataFrame) -> DataFrame:
 
 
 def numbered(clusters: DataFrame) -> DataFrame:
-    """Clusters with an index from 0. One row per cluster enters this window, never data rows."""
-    return clusters.withColumn("ix", F.row_number().over(Window.orderBy("cluster")).cast("bigint") - 1)
+    """Clusters with an index from 0; stretches of clusters are numbered apart, so there may be any number."""
+    if "ix" in clusters.columns:
+        return clusters
+    return number_rows(clusters, [], ["cluster"], "_no").withColumn("ix", c("_no") - 1).drop("_no")
+
+
+def cluster_table(rates: DataFrame) -> DataFrame:
+    """One stored row per cluster, numbered, from which all figures of a report are formed."""
+    sums = rates.groupBy("cluster").agg(
+        F.sum("d").alias("s"), F.count("*").alias("n"), F.sum("pb").alias("pb"), F.sum("pt").alias("pt"), *outcomes()
+    )
+    return settle(numbered(sums))
 
 
 def replicates(clusters: DataFrame, boot: int, salt: int) -> DataFrame:
@@ -110,12 +121,16 @@ def per_cluster(clusters: DataFrame) -> DataFrame:
     ).orderBy(F.desc("n"), "cluster")
 
 
-def wins_losses(rates: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    return rates.groupBy(*(keys or [])).agg(
+def outcomes() -> list[Column]:
+    return [
         F.count_if(c("pt") > c("pb")).alias("wins"),
         F.count_if(c("pt") < c("pb")).alias("losses"),
         F.count_if(c("pt") == c("pb")).alias("ties"),
-    )
+    ]
+
+
+def wins_losses(rates: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    return rates.groupBy(*(keys or [])).agg(*outcomes())
 
 
 def log_factorial(n: Column) -> Column:
@@ -222,7 +237,7 @@ def sql_shape(episodes: DataFrame) -> DataFrame:
         F.percentile("chars", 0.5, c("k")).alias("chars_median"),
         *[ratio(F.sum(x), F.sum("k")).alias(x) for x in ("joins", "subqueries", "cte", "windowed")],
     )
-    q3 = nth_value(shapes, ["arm", "which"], "chars", F.floor(3 * c("n") / 4), "chars_q3")
+    q3 = nth_values(shapes, ["arm", "which"], "chars", chars_q3=F.floor(3 * c("n") / 4))
     return flat.join(q3, ["arm", "which"])
 
 
@@ -240,6 +255,7 @@ def seed_noise(episodes: DataFrame) -> DataFrame:
 
 def power(values: DataFrame, margin: float = 5.0) -> DataFrame:
     """Spread of the bootstrap, the smallest effect found with 80 % power, and the power at ``margin``."""
+    values = settle(values)  # one row per replicate
     spread = values.agg(F.stddev_samp("v").alias("sd"), F.avg("v").alias("centre"))
     sd, centre = spread.select("sd").scalar(), spread.select("centre").scalar()
     return values.agg(
@@ -258,18 +274,44 @@ def holm(tests: DataFrame, order: str) -> DataFrame:
     return tests.withColumn("raw", raw).withColumn("p_holm", F.max("raw").over(so_far)).drop("raw")
 
 
-def ab_report(episodes: DataFrame, boot: int = 20000, salt: int = 0, margin: float = 5.0) -> DataFrame:
-    """Effect, interval, tests and verdict of treat against base in one row."""
-    rates = task_rates(episodes)
-    clusters = cluster_sums(rates)
-    tests = mcnemar(wins_losses(rates))
-    parts = [
-        cluster_bootstrap(clusters, boot, salt),
-        cluster_weighted(clusters),
-        tests.select("wins", "losses", "ties", F.round("p", 9).alias("p_mcnemar")),
-        sign_flip(clusters, boot, salt),
-    ]
-    report = paired_delta(rates)
-    for part in parts:  # one row each
-        report = report.withColumns({name: part.select(name).scalar() for name in part.columns})
+def with_task_table(episodes: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Episodes of the listed tasks, with the cluster that the task table (``task, cluster``) states."""
+    return episodes.drop("cluster").join(tasks.select("task", "cluster"), "task")
+
+
+def ab_report(
+    episodes: DataFrame,
+    boot: int = 20000,
+    salt: int = 0,
+    margin: float = 5.0,
+    tasks: DataFrame | None = None,
+    seen: list | None = None,
+) -> DataFrame:
+    """Effect, interval, tests and verdict of treat against base in one row.
+
+    With a task table only its tasks count, under its clusters. With ``seen`` clusters the row also has ``strata`` and
+    ``transitions``, each a list with one entry per kind. Episodes are read once, for one row per cluster; only these
+    two lists need the tasks again.
+    """
+    rates = task_rates(episodes if tasks is None else with_task_table(episodes, tasks))
+    if seen is not None:
+        rates = settle(rates)
+    clusters = cluster_table(rates)
+
+    def mean(column: str) -> Column:
+        return F.round(100 * ratio(F.sum(column), F.sum("n")), 9)
+
+    whole = clusters.agg(
+        F.sum("n").alias("tasks"), mean("pb").alias("base"), mean("pt").alias("treat"), mean("s").alias("delta"),
+        F.count("*").alias("clusters"), F.round(100 * F.avg(ratio("s", "n")), 9).alias("weighted_delta"),
+        *[F.sum(x).alias(x) for x in ("wins", "losses", "ties")],
+    )
+    report = mcnemar(whole).withColumn("p_mcnemar", F.round("p", 9)).drop("p")
+    bounds = cluster_bootstrap(clusters, boot, salt).select(F.struct("lo", "hi").alias("bounds"))
+    report = report.withColumn("bounds", bounds.scalar()).withColumn("p_flip", sign_flip(clusters, boot, salt).scalar())
+    report = report.select("*", "bounds.*").drop("bounds")
+    if seen is not None:
+        for name, kinds in (("strata", strata(rates, seen)), ("transitions", transitions(rates))):
+            listed = kinds.agg(F.array_sort(F.collect_list(F.struct(*kinds.columns))))  # at most four kinds
+            report = report.withColumn(name, listed.scalar())
     return report.select("*", *verdict(c("delta"), c("lo"), margin))

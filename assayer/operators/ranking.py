@@ -47,18 +47,17 @@ def number_rows(df: DataFrame, keys: list[str], order: list[Column | str], name:
     return running_totals(df, keys, order, **{name: F.lit(1).cast("bigint")})
 
 
-def nth_value(df: DataFrame, keys: list[str], value: str, index_of: Column, name: str) -> DataFrame:
-    """Per group, the element of the ascending values at the 0-based index ``index_of`` (a function of ``n``).
+def nth_values(df: DataFrame, keys: list[str], value: str, **index_of: Column) -> DataFrame:
+    """Per group, the elements of the ascending values at the 0-based indices ``index_of`` (functions of ``n``).
 
-    Values are counted first, so a group costs one row per distinct value.
+    Values are counted first, so a group costs one row per distinct value; all indices are read in one pass.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("n"))
     ends = running_totals(counts, keys, [value], _end=F.col("_c"))
     joined = ends.join(sizes, keys) if keys else ends.withColumn("n", sizes.select("n").scalar())
-    at = index_of.cast("bigint")
-    return (
-        joined.where((F.col("_end") > at) & (F.col("_end") - F.col("_c") <= at))
-        .groupBy(*keys)
-        .agg(F.min(value).alias(name))
-    )
+
+    def picked(at: Column) -> Column:
+        return F.min(F.when((F.col("_end") > at) & (F.col("_end") - F.col("_c") <= at), F.col(value)))
+
+    return joined.groupBy(*keys).agg(*[picked(at.cast("bigint")).alias(name) for name, at in index_of.items()])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from assayer.functions.draws import ticket
 from assayer.functions.sqltext import count_of, has, padded
 from assayer.operators.metrics import ratio
-from assayer.operators.ranking import nth_value
+from assayer.operators.ranking import nth_values
 
 c = F.col
 
@@ -20,18 +20,16 @@ def passk_band(counts: DataFrame, low: float, high: float) -> DataFrame:
 
 def passk_report(counts: DataFrame, low: float, high: float) -> DataFrame:
     """Per source: tasks, tasks kept, quartiles of the kept rates by index and the clusters they come from."""
-    kept = passk_band(counts, low, high)
-    sizes = kept.groupBy("task_set", "cluster").agg(F.count("*").alias("k"))
-    report = sizes.groupBy("task_set").agg(F.sum("k").alias("kept"), F.count("*").alias("clusters"))
-    every = counts.groupBy("task_set").agg(F.count("*").alias("tasks"))
-    report = every.join(report, "task_set")
-    for name, index in (
-        ("q1", F.floor(c("n") / 4)),
-        ("q2", F.floor(c("n") / 2)),
-        ("q3", F.floor(3 * c("n") / 4)),
-    ):
-        report = report.join(nth_value(kept.select("task_set", "p_hat"), ["task_set"], "p_hat", index, name), "task_set")
-    return report
+    rate = ratio("p", "n")
+    inside = (rate > low) & (rate < high)
+    sizes = counts.groupBy("task_set", "cluster").agg(F.count("*").alias("tasks"), F.count_if(inside).alias("k"))
+    report = sizes.groupBy("task_set").agg(
+        F.sum("tasks").alias("tasks"), F.sum("k").alias("kept"), F.count_if(c("k") > 0).alias("clusters")
+    )
+    kept = passk_band(counts, low, high).select("task_set", "p_hat")
+    n = c("n")
+    quartiles = nth_values(kept, ["task_set"], "p_hat", q1=F.floor(n / 4), q2=F.floor(n / 2), q3=F.floor(3 * n / 4))
+    return report.join(quartiles, "task_set")
 
 
 def contrast_band(counts: DataFrame, fewest: int, most: int) -> DataFrame:

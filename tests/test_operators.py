@@ -31,7 +31,7 @@ def test_row_numbers_and_order_statistics_with_a_hot_group(spark):
     for k, v, i in sorted(rows, key=lambda r: (r[1], r[2])):
         groups.setdefault(k, []).append((v, i))
     assert numbered == {(k, i): n for k, g in groups.items() for n, (_, i) in enumerate(g, 1)}
-    q3 = ranking.nth_value(df, ["k"], "v", F.floor(3 * F.col("n") / 4), "q").collect()
+    q3 = ranking.nth_values(df, ["k"], "v", q=F.floor(3 * F.col("n") / 4)).collect()
     assert {r.k: r.q for r in q3} == {k: g[3 * len(g) // 4][0] for k, g in groups.items()}
 
 
@@ -354,3 +354,15 @@ def test_outcomes_and_pass_at_k(spark):
     got = m.pass_at_k(counts, ["s"], 4).first()
     want = (1 - math.comb(6, 4) / math.comb(8, 4) + 0 + 1) / 3
     assert got.pass_at_k == pytest.approx(want) and json.dumps([got.sometimes, got.never, got.always]) == "[1, 1, 1]"
+
+
+def test_report_with_a_task_table(spark):
+    rows = [(t, "wrong cluster", arm, seed, seed == 0 or (arm == "treat" and t % 4 > 0), False, "tool") for t in range(12)
+            for arm in ("base", "treat") for seed in range(3)]
+    names = "task INT, cluster STRING, arm STRING, seed INT, passed BOOLEAN, hit_cap BOOLEAN, via STRING"
+    episodes = spark.createDataFrame(rows, names)
+    tasks = spark.createDataFrame([(t, f"c{t % 3}") for t in range(9)], "task INT, cluster STRING")
+    row = ab.ab_report(episodes, 200, 1, tasks=tasks, seen=["c0"]).first()
+    assert (row.tasks, row.clusters, row.wins, row.losses, row.ties) == (9, 3, 6, 0, 3)
+    assert {x.stratum: x.n for x in row.strata} == {"seen cluster": 3, "unseen cluster": 6, "base reachable": 9}
+    assert sum(x.tasks for x in row.transitions) == row.wins + row.losses
