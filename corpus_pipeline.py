@@ -41,9 +41,16 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which the mix takes words, with ``size``, ``source_size``, ``target`` and ``taken``."""
+    """Documents of which the mix takes words, with ``size``, ``source_size``, ``target`` and ``taken``.
+
+    Columns of these names are replaced. Rows that share a doc_id get the largest share among them; rows without one go.
+    """
     configure(spark)
-    return docs.join(mixing.mix(docs).where("taken > 0"), "doc_id")
+    figures = ("taken", "size", "source_size", "target")
+    mixed = mixing.mix(docs).where("taken > 0")
+    shares = mixed.groupBy("doc_id").agg(F.max(F.struct(*figures)).alias("share")).select("doc_id", "share.*")
+    own = [name for name in docs.columns if name.lower() not in figures]
+    return docs.select(*own).join(shares, "doc_id")
 
 
 STAGES: list[tuple[str, Stage]] = [

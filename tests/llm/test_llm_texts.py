@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql.functions import lit
 
 import __spark_entry__ as entry_points
 import corpus_pipeline
@@ -388,11 +389,13 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
 
 
 def test_stages_keep_columns_and_take_empty_tables(spark):
-    rows = [(1, "the and of that " * 30), (1, "the and of that " * 30), (2, None), (3, "")]
-    docs = table(spark, rows)
+    rows = [(1, "the and of that " * 30), (1, "the and of that " * 30), (2, None), (3, ""), (None, "the and that of " * 9),
+            (4, "la de que et " * 9), (4, "que et la de des " * 9)]
+    docs = table(spark, rows).withColumns({"Size": lit("x"), "target": lit("y"), "start": lit(1), "document": lit(2), "h": lit(3)})
     for name, stage in corpus_pipeline.STAGES:
         for frame in (docs, docs.where("doc_id > 9")):
             out = stage(spark, frame, SF)
-            out.collect()
+            got = out.collect()
+            assert len(out.columns) == len({c.lower() for c in out.columns}) and len(got) <= len(rows)
             if name != corpus_pipeline.STAGES[-1][0]:
                 assert out.columns == docs.columns
