@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.draws import ticket
 from assayer.operators.metrics import ratio
-from assayer.session import settle
+from assayer.session import fresh_path, settle
 
 c = F.col
 
@@ -97,43 +97,20 @@ def recent_rate(groups: DataFrame, last: int) -> DataFrame:
     return groups.withColumn("recent", ratio(F.sum("passes").over(window), F.sum("n").over(window)))
 
 
-def _replay(drop_after: int, readmit_after: int, resets: list[int]) -> Column:
-    """Fold the (step, flat) history of one task: the steps at which it was rested and came back.
+def _fold(drop_after: int, readmit_after: int) -> Column:
+    """Carry a task's ``streak`` and ``rested_at`` over its ``history``, the (step, flat) of a stretch in order."""
 
-    The history has one entry per step the task was measured in, so its length is bounded by the step count.
-    ``resets`` are the steps at which every resting task came back.
-    """
-    state = F.struct(
-        F.lit(0).alias("streak"),
-        F.lit(None).cast("int").alias("rested_at"),
-        F.array().cast("array<struct<rested:int,back:int>>").alias("rests"),
-    )
-
-    def back_at(rested_at: Column) -> tuple[Column, Column]:
-        due = rested_at + F.lit(readmit_after)
-        early = F.array_min(F.filter(F.array(*[F.lit(r) for r in resets]).cast("array<int>"), lambda r: r > rested_at))
-        by_pool = early.isNotNull() & (early < due)
-        return F.when(by_pool, early).otherwise(due), by_pool
-
-    def merge(s, h):
-        due, by_pool = back_at(s["rested_at"])
-        resting = s["rested_at"].isNotNull() & (h["step"] < due)
-        returned = s["rested_at"].isNotNull() & (h["step"] >= due)
-        # a task that waited its time starts from 0; when the whole pool comes back, streaks stay
-        carried = F.when(returned & ~by_pool, 0).otherwise(s["streak"])
+    def step(s, h):
+        resting = s["rested_at"].isNotNull() & (h["step"] < s["rested_at"] + readmit_after)
+        # a task that waited its time starts from 0
+        carried = F.when(s["rested_at"].isNotNull(), 0).otherwise(s["streak"])
         streak = F.when(resting, s["streak"]).when(h["flat"], carried + 1).otherwise(0)
         drops = ~resting & h["flat"] & (streak >= drop_after)
         rested_at = F.when(resting, s["rested_at"]).when(drops, h["step"])
-        new_back, _ = back_at(h["step"])
-        rests = F.when(
-            drops, F.concat(s["rests"], F.array(F.struct(h["step"].alias("rested"), new_back.alias("back"))))
-        ).otherwise(s["rests"])
-        return F.struct(
-            streak.cast("int").alias("streak"), rested_at.cast("int").alias("rested_at"), rests.alias("rests")
-        )
+        return F.struct(streak.cast("int").alias("streak"), rested_at.cast("int").alias("rested_at"))
 
-    history = F.array_sort(F.collect_list(F.struct(c("step").cast("int").alias("step"), c("flat"))))
-    return F.aggregate(history, state, merge)["rests"]
+    history = F.coalesce("history", F.array().cast("array<struct<step:int,flat:boolean>>"))
+    return F.aggregate(history, F.struct("streak", "rested_at"), step)
 
 
 def rest_pool(
@@ -143,34 +120,71 @@ def rest_pool(
 
     A task rests after ``drop_after`` flat groups in a row and returns ``readmit_after`` steps later with
     streak 0. When fewer than ``needed`` tasks are active at a step, all return at once and keep their streaks.
-    That rule looks across tasks: replay without it, find the first step that breaks it, note it as a
-    return of the pool and replay. Each replay is one pass over the groups.
+    That rule looks across tasks, so steps are taken in stretches of ``readmit_after``, each from the state of the
+    tasks at its first step: within one, a task drops once at most and a step's resting tasks are a count over
+    tasks. A stretch that breaks the rule is cut at the first such step and the next one starts there; only the
+    cut stretch is read twice. A history holds the groups of one task in one stretch.
     """
-    tidy = settle(groups.select("task", "step", "flat"))
-    pool = tidy.select("task").distinct().count()
-    last = tidy.agg(F.max("step")).first()[0]
-    resets: list[int] = []
-    while True:
-        rests = tidy.groupBy("task").agg(_replay(drop_after, readmit_after, resets).alias("rests"))
-        rests = settle(rests.select("task", F.inline("rests")))
-        # resting during (rested, back): counted from the step after the drop until the return
+    spark = groups.sparkSession
+    tidy = settle(groups.select("task", c("step").cast("int").alias("step"), "flat"))
+    first, last, pool = tidy.agg(F.min("step"), F.max("step"), F.count_distinct("task")).first()
+    state = tidy.select("task").distinct().select("task", F.lit(0).alias("streak"), F.lit(None).cast("int").alias("rested_at"))
+    path, resets = fresh_path(spark, "rests"), []
+    due, was_due = c("rested_at") + readmit_after, c("was") + readmit_after
+
+    def folded(start: int, stop: int) -> DataFrame:
+        """The state before step ``stop``; ``was`` is the rest that a task was in at ``start``."""
+        steps = tidy.where((c("step") >= start) & (c("step") < stop))
+        histories = steps.groupBy("task").agg(F.array_sort(F.collect_list(F.struct("step", "flat"))).alias("history"))
+        carried = _fold(drop_after, readmit_after)
+        joined = state.join(histories, "task", "left").select("task", c("rested_at").alias("was"), carried.alias("now"))
+        return settle(joined.select("task", "was", "now.streak", "now.rested_at"))
+
+    def first_break(now: DataFrame, start: int, stop: int) -> int | None:
+        """The first step of the stretch at which tasks rest and too few are active."""
+        dropped = now.where(c("rested_at") >= start)
         changes = (
-            rests.select((c("rested") + 1).alias("step"), F.lit(1).alias("by"))
-            .unionByName(rests.select(c("back").alias("step"), F.lit(-1).alias("by")))
+            now.where("was is not null").select(F.inline(F.array(
+                F.struct(F.lit(start).alias("step"), F.lit(1).alias("by")), F.struct(was_due.alias("step"), F.lit(-1).alias("by"))
+            )))
+            .unionByName(dropped.select((c("rested_at") + 1).alias("step"), F.lit(1).alias("by")))
             .groupBy("step")
             .agg(F.sum("by").alias("by"))
         )
+        # one row per step of the stretch
         resting = F.sum("by").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
-        after = resets[-1] if resets else -1
-        broken = (
-            changes.withColumn("resting", resting)  # one row per step
-            .where((c("step") > after) & (c("step") <= last) & (F.lit(pool) - c("resting") < needed))
-            .agg(F.min("step"))
-            .first()[0]
+        short = (c("resting") > 0) & (F.lit(pool) - c("resting") < needed)
+        return changes.withColumn("resting", resting).where(short & (c("step") < stop)).agg(F.min("step")).first()[0]
+
+    def keep(rests: DataFrame) -> None:
+        rests.write.mode("append").parquet(path)
+
+    def rest(since: str, back: Column) -> list[Column]:
+        return [c("task"), c(since).alias("rested"), back.cast("int").alias("back")]
+
+    start = first
+    while start is not None and start <= last:
+        stop = min(start + readmit_after, last + 1)
+        now = folded(start, stop)
+        broken = first_break(now, start, stop)
+        if broken is not None:
+            stop = broken
+            now = folded(start, stop)
+            resets.append(stop)
+        # those whose time is over by ``stop`` are back with streak 0; a return of the pool ends all other rests there
+        waited = (due <= stop) & c("rested_at").isNotNull()
+        new = (c("rested_at") >= start) & (due <= stop)
+        ended = now.where(was_due <= stop).select(*rest("was", was_due)).unionByName(now.where(new).select(*rest("rested_at", due)))
+        if broken is not None:
+            ended = ended.unionByName(now.where(due > stop).select(*rest("rested_at", F.lit(stop))))
+        keep(ended)
+        stays = F.lit(broken is None) & ~waited
+        state = now.select(
+            "task", F.when(waited, 0).otherwise(c("streak")).alias("streak"), F.when(stays, c("rested_at")).alias("rested_at")
         )
-        if broken is None:
-            return rests, resets
-        resets.append(int(broken))
+        start = stop
+    keep(state.where("rested_at is not null").select(*rest("rested_at", due)))
+    return spark.read.schema(f"task {tidy.schema['task'].dataType.simpleString()}, rested int, back int").parquet(path), resets
 
 
 def sample_active(tasks: DataFrame, n: int, salt: int, group: int) -> DataFrame:

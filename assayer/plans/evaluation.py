@@ -474,7 +474,26 @@ def rest_streak(t):
     return grp.flat_streaks(customer_groups(t).select("task", "step", "flat"))
 
 
-@query("rest_pool")
+@query(
+    "rest_pool",
+    f"""WITH RECURSIVE {group_sql("task", "quarter_no")}, h AS MATERIALIZED (SELECT task, step, flat FROM g),
+walk(step, task, streak, rested_at, over, ended) AS (
+  SELECT (SELECT min(step) FROM h) - 1, task, 0, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM h GROUP BY task
+  UNION ALL
+  SELECT now, task, streak2, CASE WHEN NOT active THEN rested_at WHEN flat AND streak2 >= 2 THEN now END,
+    CASE WHEN active THEN rested_at END, CASE WHEN active AND rested_at IS NOT NULL THEN now END
+  FROM (SELECT a.*, CASE WHEN NOT active OR flat IS NULL THEN streak1 WHEN flat THEN streak1 + 1 ELSE 0 END AS streak2
+    FROM (SELECT b.*, h.flat, NOT resting OR all_back AS active
+      FROM (SELECT *, count(*) FILTER (NOT resting) OVER () < (SELECT count(*) // 2 FROM customer) AS all_back
+        FROM (SELECT step + 1 AS now, task, rested_at, coalesce(rested_at + 8 > step + 1, false) AS resting,
+            CASE WHEN rested_at + 8 <= step + 1 THEN 0 ELSE streak END AS streak1
+          FROM walk WHERE step < (SELECT max(step) FROM h))) b
+      LEFT JOIN h ON h.task = b.task AND h.step = now) a))
+SELECT task, over::INTEGER AS rested, ended::INTEGER AS back FROM walk WHERE over IS NOT NULL
+UNION ALL
+SELECT task, rested_at::INTEGER, rested_at::INTEGER + 8 FROM walk
+WHERE rested_at IS NOT NULL AND step = (SELECT max(step) FROM h)""",
+)
 def rest_pool(t):
     groups = customer_groups(t).select("task", "step", "flat")
     pool = t.customer.count()

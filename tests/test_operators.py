@@ -311,6 +311,10 @@ def test_rest_pool_against_a_step_by_step_replay(spark):
     got = {(r.task, r.rested): r.back for r in rests.collect()}
     assert resets and set(got) == set(want) | {(t, at) for t, at in rested.items()}
     assert {k: v for k, v in got.items() if k in want} == want
+    assert {got[k] - k[1] for k in set(got) - set(want)} <= {back}
+    everyone, none = grp.rest_pool(df, drop, back, needed=13)[0].collect(), grp.rest_pool(df.limit(0), drop, back, needed)
+    assert everyone and all(r.back == r.rested + 1 for r in everyone if r.rested < 39)  # a pool too small never rests a step
+    assert none[0].count() == 0 and none[1] == []
 
 
 # ---------------------------------------------------------------- transcripts and templates
