@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import pickle
 import tempfile
 from collections.abc import Callable, Iterator
@@ -29,6 +30,12 @@ def _common(a: bytes, b: bytes, at: int) -> int:
     return low
 
 
+def _scratch_file():
+    """An unnamed file on the disks to which Spark itself spills; it goes with the task."""
+    disks = os.environ.get("SPARK_LOCAL_DIRS")
+    return tempfile.TemporaryFile(dir=disks.split(",")[0] if disks else None)
+
+
 class Node:
     __slots__ = ("label", "children", "terminal")
 
@@ -58,8 +65,8 @@ class Terminal:
 class Trie:
     """A compressed radix trie over byte strings that all start with ``prefix``.
 
-    Above ``budget`` label bytes the heaviest subtree under the root moves to an unnamed temporary file of the task,
-    which goes with the task; what belongs there is appended to it from then on. ``drain`` replays each such file into
+    Above ``budget`` label bytes the heaviest subtree under the root moves to a file of the task beside Spark's own
+    spills, which goes with the task; what belongs there is appended to it from then on. ``drain`` replays each such file into
     a trie of its own, rooted at the file's longest common start, so every replay splits what it reads.
     """
 
@@ -109,7 +116,7 @@ class Trie:
                 return  # what is left are single texts, one for each first byte
             first = max(several, key=self.weight.get)
             child = self.root.children[first[0]]
-            self.files[first] = tempfile.TemporaryFile()
+            self.files[first] = _scratch_file()
             for key, t in self._walk(child):
                 pickle.dump((key, t.owner, t.row, t.rows, t.names), self.files[first])
             del self.root.children[first[0]], self.weight[first]
