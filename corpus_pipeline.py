@@ -27,17 +27,23 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact_dedup.drop_copies(docs, keep="largest")
 
 
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the ids of ``dropped``. The ids are stored first, so Spark knows their size when it plans the join:
+    it moves no text where they are few, and partitions both sides where they are not."""
+    return docs.join(stored(dropped.select("doc_id").distinct(), "dropped"), "doc_id", "left_anti")
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest doc_id; rows without an id stay."""
     configure(spark)
     others = simhash.near_duplicates(docs).where("doc_id <> component_id")
-    return docs.join(others.select("doc_id").distinct(), "doc_id", "left_anti")
+    return _without(docs, others)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     found = decontamination.contaminated(docs, Tables(configure(spark), sf_dir).benchmark)
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    return _without(docs, found)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
