@@ -21,6 +21,7 @@ NONE = "und"
 MEMORY = 200_000  # words a worker keeps scored
 #: A training sample of up to so many documents (their ids alone) is sent to every executor; a larger one is joined.
 BROADCAST_IDS = 500_000
+SALTS = 64  # parts of a language in which its sample is chosen first
 
 
 def tokens(text: str) -> list[str]:
@@ -83,6 +84,20 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def sample_ids(usable: DataFrame, per_language: int) -> DataFrame:
+    """(lang, doc_id) of the first ``per_language`` rows of each language in the order of a hash.
+
+    The first of each part of a language hold the first of the whole, so what meets in one task is bounded.
+    """
+
+    def first(rows: DataFrame, *keys: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id"))
+        return rows.withColumn("place", place).where(F.col("place") <= per_language).drop("place")
+
+    salted = usable.select("lang", "doc_id", F.pmod(F.hash("doc_id"), F.lit(SALTS)).alias("salt"))
+    return first(first(salted, "lang", "salt"), "lang").select("lang", "doc_id").distinct()
+
+
 def train(docs: DataFrame, per_language: int = 1000, words: int = 20_000, ngrams: int = 4_000) -> Model:
     """Learn from whole texts of at most ``per_language`` documents of each language, chosen by hash, none held out.
 
@@ -90,9 +105,7 @@ def train(docs: DataFrame, per_language: int = 1000, words: int = 20_000, ngrams
     most frequent n-grams of each order: its size is bounded per language, whatever the corpus.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    first = usable.select("lang", "doc_id", place.alias("place")).where(F.col("place") <= per_language)
-    chosen = stored(first.select("lang", "doc_id").distinct(), "language-sample")
+    chosen = stored(sample_ids(usable, per_language), "language-sample")
     if chosen.count() <= BROADCAST_IDS:
         chosen = F.broadcast(chosen)
     sample = usable.join(chosen, ["lang", "doc_id"]).select("lang", "text")

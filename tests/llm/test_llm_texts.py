@@ -245,6 +245,14 @@ def test_language_on_given_documents(spark):
     assert {r.lang_pred for r in langid.predict(frame, untaught).collect()} == {"und"}
 
 
+def test_language_sample_is_the_first_by_hash(spark):
+    docs = Tables(spark, SF).documents.where("lang is not null")
+    docs = docs.union(docs.where("doc_id % 3 = 0"))
+    listed = sorted((r.lang, r.h, r.doc_id) for r in docs.selectExpr("lang", "xxhash64(doc_id) AS h", "doc_id").collect())
+    want = {(lang, i) for lang in {x[0] for x in listed} for _, _, i in [x for x in listed if x[0] == lang][:9]}
+    assert {tuple(r) for r in langid.sample_ids(docs, 9).collect()} == want
+
+
 def test_words_come_before_ngrams():
     model = langid.Model(["a", "b"], {"ab": 0}, {"abc": 1, "b$": 2, "^": 2}, np.array([[-1.0, -9.0], [-9.0, -1.0], [-5.0, -4.0]]))
     rows = model.score_words(["ab", "xabcx", "zb", "z", "日"])
