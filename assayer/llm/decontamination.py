@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.llm.simhash import BITS, bit_counts, majority, shingle
@@ -63,46 +63,68 @@ def _regions(docs: DataFrame, known: DataFrame, longest: int, k: int) -> DataFra
     return stored(once.agg(F.min("h").alias("h"), F.min("sid").alias("sid")), "regions")
 
 
+def _rarest(items: DataFrame, similarity: float, width: Column) -> DataFrame:
+    """(item_no, length, sid): as many of the rarest shingles of each item, repeats included, as a similar window can
+    lack, and one more. A similar window has a share of ``similarity`` of the item's shingles, so it has one of these."""
+    spread = items.groupBy("sid").agg(F.count_distinct("item_no").alias("spread"))
+    place = F.row_number().over(Window.partitionBy("item_no").orderBy("spread", "sid"))
+    placed = items.join(spread, "sid").select("item_no", "length", "sid", place.alias("place"))
+    return placed.where(F.col("place") <= width - F.ceil(similarity * width - 1e-9) + 1).drop("place").distinct()
+
+
 def _matches(docs: DataFrame, items: DataFrame, k: int, similarity: float, radius: int) -> DataFrame:
-    """(row_no, doc_id, item_no, item_id, similarity, start, length) of all similar windows."""
+    """(row_no, doc_id, item_no, item_id, similarity, start, words) of all similar windows."""
     longest = items.agg(F.max("length")).first()[0] or 1
     texts = items.select("h", "shingle").distinct()
     known = stored(texts.withColumn("sid", F.monotonically_increasing_id()), "shingles")
     items = stored(items.join(known, ["h", "shingle"]).drop("shingle"), "numbered")
     regions = _regions(docs, known, longest, k)
     width = F.greatest(F.col("length") - (k - 1), F.lit(1))
+    own_words = F.least("length", "doc_length")  # a document shorter than the item is one window, all it has
+    own_width = F.greatest(own_words - (k - 1), F.lit(1))
 
     # windows with enough known shingles of their size
     hits = regions.join(F.broadcast(items.select("sid", "length").distinct()), "sid")
     fits = (F.col("length") >= k) | (F.col("doc_length") == F.col("length"))
-    last = F.least(F.col("pos"), F.col("doc_length") - F.col("length"))
+    last = F.least(F.col("pos"), F.col("doc_length") - own_words)
     first = F.greatest(F.lit(0), F.col("pos") - width + 1)
     starts = F.when(fits & (last >= first), F.sequence(first, last))
-    covered = hits.select("row_no", "doc_id", "length", F.explode(starts).alias("start"))
-    enough = covered.groupBy("row_no", "doc_id", "length", "start").agg(F.count(F.lit(1)).alias("known"))
+    keys = ["row_no", "doc_id", "doc_length", "length", "start"]
+    covered = hits.select("row_no", "doc_id", "doc_length", "length", F.explode(starts).alias("start"))
+    enough = covered.groupBy(*keys).agg(F.count(F.lit(1)).alias("known"))
     windows = enough.where(F.col("known") >= similarity * width - 1e-9).drop("known")
 
     # their fingerprints, and which known shingles they have
-    steps = F.explode(F.sequence("start", F.col("start") + width - 1)).alias("pos")
+    steps = F.explode(F.sequence("start", F.col("start") + own_width - 1)).alias("pos")
     inside = windows.select("*", steps).join(regions.drop("doc_id", "doc_length"), ["row_no", "pos"])
-    keys = ["row_no", "doc_id", "length", "start"]
     gathered = inside.drop("pos").repartition("row_no", "length", "start").groupBy(*keys).agg(
         F.count("h").alias("n"), *bit_counts(F.col("h")), F.collect_list("sid").alias("sids")
     )
-    signed = stored(gathered.select(*keys, majority(F.col("n")).alias("fingerprint"), "sids"), "signed")
+    special = F.col("doc_length") < F.col("length")
+    signed = stored(
+        gathered.select(*keys, special.alias("special"), majority(F.col("n")).alias("fingerprint"), "sids"), "signed"
+    )
+    plain = signed.where("not special")
 
     # items within the radius, by blocks
     counted = items.groupBy("item_no", "length").agg(F.count("h").alias("n"), *bit_counts(F.col("h")))
     marks = counted.select("item_no", "length", majority(F.col("n")).alias("fingerprint"))
-    probes = signed.select("length", "fingerprint").distinct().select("length", "fingerprint", F.inline(_blocks(radius)))
+    probes = plain.select("length", "fingerprint").distinct().select("length", "fingerprint", F.inline(_blocks(radius)))
     table = marks.select("item_no", "length", F.col("fingerprint").alias("mark"), F.inline(_blocks(radius)))
     apart = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("mark")))
     p, t = probes.alias("p"), table.alias("t")
     same = [F.col(f"p.{c}") == F.col(f"t.{c}") for c in ("length", "block", "value")]
     near = p.join(t, [*same, apart <= radius]).select("p.length", "fingerprint", "item_no").distinct()
-    found = signed.join(stored(near, "near"), ["length", "fingerprint"])
+    by_mark = plain.join(stored(near, "near"), ["length", "fingerprint"]).select(*keys, "item_no", "sids")
+
+    # items that share one of their rarest shingles with a window that fingerprints do not suit
+    rarest = _rarest(items, similarity, width)
+    has = signed.where("special").select("row_no", "length", "start", F.explode(F.array_distinct("sids")).alias("sid"))
+    sharing = has.join(F.broadcast(rarest), ["length", "sid"]).select("row_no", "length", "start", "item_no").distinct()
+    by_share = signed.join(stored(sharing, "sharing"), ["row_no", "length", "start"]).select(*keys, "item_no", "sids")
+    found = by_mark.union(by_share)
 
-    # exact weighted similarity: both sides have `width` shingles, repeats included
+    # exact weighted similarity, repeats included
     times = F.transform(
         F.array_distinct("sids"),
         lambda s: F.struct(s.alias("sid"), F.size(F.filter("sids", lambda x: x == s)).alias("here")),
@@ -111,8 +133,9 @@ def _matches(docs: DataFrame, items: DataFrame, k: int, similarity: float, radiu
     wanted = items.groupBy("item_no", "item_id", "sid").agg(F.count(F.lit(1)).alias("there"))
     both = listed.join(F.broadcast(wanted), ["item_no", "sid"])
     shared = both.groupBy(*keys, "item_no", "item_id").agg(F.sum(F.least("here", "there")).alias("shared"))
-    scored = shared.withColumn("similarity", F.col("shared") / (2 * width - F.col("shared")))
-    return scored.where(F.col("similarity") >= similarity - 1e-9).drop("shared")
+    scored = shared.withColumn("similarity", F.col("shared") / (own_width + width - F.col("shared")))
+    similar = scored.where(F.col("similarity") >= similarity - 1e-9)
+    return similar.select("row_no", "doc_id", "item_no", "item_id", "similarity", "start", own_words.alias("words"))
 
 
 def contaminated(
@@ -126,15 +149,17 @@ def contaminated(
 ) -> DataFrame:
     """(id, item_id, similarity, word_start, words): for each document and item it contains, its most similar window.
 
-    A window has as many words as the item. It matches if the weighted Jaccard similarity of their shingles of ``k``
-    words, repeats included, is at least ``similarity``; of equally similar windows the first is returned. Words are
-    lower-cased in A-Z and split at spaces, tabs and line breaks.
+    A window has as many words as the item; a document shorter than the item is one window, all its words. A window
+    matches if the weighted Jaccard similarity of the two texts' shingles of ``k`` words, repeats included, is at least
+    ``similarity``; of equally similar windows the first is returned. Words are lower-cased in A-Z and split at spaces,
+    tabs and line breaks.
 
     1. A window can only be similar enough if a share of ``similarity`` of its positions start a shingle of items of its
        size. One pass over the words cuts out the places around known shingles; windows are counted there. Exact.
     2. Each such window gets a SimHash fingerprint, and ``radius`` + 1 blocks of it meet those of the items of its
        size: every item within ``radius`` bits is found. At similarity 0.8 a bit differs with probability 0.15 or less,
-       so a similar window lies beyond the default radius about once in 300,000.
+       so a similar window lies beyond the default radius about once in 300,000. Documents shorter than the item do
+       not go this way: they meet every item of which they have one of the rarest shingles. Exact.
     3. Candidates are verified on the shingles themselves.
 
     The benchmark is taken in parts of about ``at_once`` shingles, one pass over the documents each, so what executors
@@ -158,9 +183,9 @@ def contaminated(
     parts = max(1, -(-items.count() // at_once))
     own = [items.where(F.pmod(F.xxhash64("item_no"), F.lit(parts)) == i) for i in range(parts)]
     found = reduce(DataFrame.union, [_matches(listed, part, k, similarity, radius) for part in own])
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "length"))
+    best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "words"))
     kept = found.groupBy("doc_id", "item_id").agg(best.alias("best"))
     return kept.select(
         F.col("doc_id").alias(id_col), "item_id", F.col("best.similarity").alias("similarity"),
-        (-F.col("best.back")).alias("word_start"), F.col("best.length").alias("words"),
+        (-F.col("best.back")).alias("word_start"), F.col("best.words").alias("words"),
     )

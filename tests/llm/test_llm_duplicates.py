@@ -205,3 +205,53 @@ def test_decontamination_of_empty_tables(spark):
     assert decontamination.contaminated(docs, bench).count() == 1
     assert decontamination.contaminated(docs.where("doc_id > 5"), bench).count() == 0
     assert decontamination.contaminated(docs, bench.where("item_id > 5")).count() == 0
+
+
+def every_window(docs, items, k=5, least=0.8):
+    """Brute force over all windows, a document shorter than the item being one."""
+    def shingles(ws):
+        return Counter(tuple(ws[i:i + k]) for i in range(max(1, len(ws) - k + 1)))
+
+    found = {}
+    for doc_id, text in docs:
+        ws = words(text)
+        for item_id, wanted in items:
+            its = words(wanted)
+            size = min(len(its), len(ws))
+            if not size or (len(its) < k and len(its) != len(ws)):
+                continue
+            target = shingles(its)
+            for s in range(len(ws) - size + 1):
+                here = shingles(ws[s:s + size])
+                score = (here & target).total() / (here | target).total()
+                if score >= least - 1e-9:
+                    found[doc_id, item_id] = max(found.get((doc_id, item_id), (0, 0, 0)), (score, -s, size))
+    return {key: (round(score, 9), -s, n) for key, (score, s, n) in found.items()}
+
+
+def reported(spark, docs, items, **options):
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.contaminated(table(spark, docs), bench, **options).collect()
+    return {(r.doc_id, r.item_id): (round(r.similarity, 9), r.word_start, r.words) for r in got}
+
+
+@pytest.mark.parametrize("at_once", [500_000, 150])
+def test_decontamination_of_documents_shorter_than_items(spark, at_once):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=n))) for i, n in enumerate([60, 60, 59, 40, 24, 9, 10, 6, 5, 4])]
+    docs = []
+    for _, text in items:
+        ws = text.split()
+        for cut in range(len(ws) // 3):
+            at = rng.randrange(cut + 1)
+            docs.append((len(docs), " ".join(ws[at:len(ws) - cut + at])))
+        for n in (1, 2, 3):
+            edited = ws[:-n]
+            edited[rng.randrange(len(edited))] = "edited"
+            docs.append((len(docs), " ".join(edited)))
+    docs.append((len(docs), items[0][1][:-1] + "x " + items[1][1]))
+    rows = reported(spark, docs, items, at_once=at_once)
+    assert rows == every_window(docs, items)
+    short = [key for key, (_, _, n) in rows.items() if n < len(items[key[1]][1].split())]
+    assert len(short) > 25 and min(rows[key][0] for key in short) < 0.82
