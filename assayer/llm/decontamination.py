@@ -98,17 +98,20 @@ def _matches(docs: DataFrame, items: DataFrame, k: int, similarity: float, radiu
     steps = F.explode(F.sequence("start", F.col("start") + own_width - 1)).alias("pos")
     inside = windows.select("*", steps).join(regions.drop("doc_id", "doc_length"), ["row_no", "pos"])
     gathered = inside.drop("pos").repartition("row_no", "length", "start").groupBy(*keys).agg(
-        F.count("h").alias("n"), *bit_counts(F.col("h")), F.collect_list("sid").alias("sids")
+        F.count("h").alias("n"), *bit_counts(F.col("h")), F.collect_list("sid").alias("sids"),
+        F.size(F.collect_set("h")).alias("kinds"),
     )
-    special = F.col("doc_length") < F.col("length")
+    special = (F.col("doc_length") < F.col("length")) | (F.col("kinds") < F.col("n"))
     signed = stored(
         gathered.select(*keys, special.alias("special"), majority(F.col("n")).alias("fingerprint"), "sids"), "signed"
     )
     plain = signed.where("not special")
 
     # items within the radius, by blocks
-    counted = items.groupBy("item_no", "length").agg(F.count("h").alias("n"), *bit_counts(F.col("h")))
-    marks = counted.select("item_no", "length", majority(F.col("n")).alias("fingerprint"))
+    counted = items.groupBy("item_no", "length").agg(
+        F.count("h").alias("n"), *bit_counts(F.col("h")), F.size(F.collect_set("h")).alias("kinds")
+    )
+    marks = counted.where("kinds = n").select("item_no", "length", majority(F.col("n")).alias("fingerprint"))
     probes = plain.select("length", "fingerprint").distinct().select("length", "fingerprint", F.inline(_blocks(radius)))
     table = marks.select("item_no", "length", F.col("fingerprint").alias("mark"), F.inline(_blocks(radius)))
     apart = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("mark")))
@@ -117,10 +120,12 @@ def _matches(docs: DataFrame, items: DataFrame, k: int, similarity: float, radiu
     near = p.join(t, [*same, apart <= radius]).select("p.length", "fingerprint", "item_no").distinct()
     by_mark = plain.join(stored(near, "near"), ["length", "fingerprint"]).select(*keys, "item_no", "sids")
 
-    # items that share one of their rarest shingles with a window that fingerprints do not suit
-    rarest = _rarest(items, similarity, width)
-    has = signed.where("special").select("row_no", "length", "start", F.explode(F.array_distinct("sids")).alias("sid"))
-    sharing = has.join(F.broadcast(rarest), ["length", "sid"]).select("row_no", "length", "start", "item_no").distinct()
+    # items that share one of their rarest shingles with a window, where fingerprints do not suit one of the two
+    repeating = counted.where("kinds < n").select("item_no", F.lit(True).alias("repeating"))
+    rarest = stored(_rarest(items, similarity, width).join(repeating, "item_no", "left"), "rarest")
+    has = signed.select("row_no", "length", "start", "special", F.explode(F.array_distinct("sids")).alias("sid"))
+    unsuited = has.join(F.broadcast(rarest), ["length", "sid"]).where("special or repeating")
+    sharing = unsuited.select("row_no", "length", "start", "item_no").distinct()
     by_share = signed.join(stored(sharing, "sharing"), ["row_no", "length", "start"]).select(*keys, "item_no", "sids")
     found = by_mark.union(by_share)
 
@@ -157,9 +162,11 @@ def contaminated(
     1. A window can only be similar enough if a share of ``similarity`` of its positions start a shingle of items of its
        size. One pass over the words cuts out the places around known shingles; windows are counted there. Exact.
     2. Each such window gets a SimHash fingerprint, and ``radius`` + 1 blocks of it meet those of the items of its
-       size: every item within ``radius`` bits is found. At similarity 0.8 a bit differs with probability 0.15 or less,
-       so a similar window lies beyond the default radius about once in 300,000. Documents shorter than the item do
-       not go this way: they meet every item of which they have one of the rarest shingles. Exact.
+       size: every item within ``radius`` bits is found. If no shingle repeats, a bit differs with probability 0.151 or
+       less at similarity 0.8, so a similar window lies beyond the default radius about once in 100,000. Repeats lean
+       the bits to one side and short documents are of another size, so windows and items with a repeated shingle, and
+       documents shorter than the item, do not go this way: such a window meets every item, and such an item every
+       window, where the window has one of the item's rarest shingles. Exact.
     3. Candidates are verified on the shingles themselves.
 
     The benchmark is taken in parts of about ``at_once`` shingles, one pass over the documents each, so what executors

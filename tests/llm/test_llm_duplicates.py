@@ -255,3 +255,18 @@ def test_decontamination_of_documents_shorter_than_items(spark, at_once):
     assert rows == every_window(docs, items)
     short = [key for key, (_, _, n) in rows.items() if n < len(items[key[1]][1].split())]
     assert len(short) > 25 and min(rows[key][0] for key in short) < 0.82
+
+
+def test_decontamination_of_repeated_runs(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    items, docs = [], []
+    for n, (prose, run) in enumerate([(95, 11), (120, 14), (200, 18), (200, 22)] * 6):
+        said = rng.choices(vocabulary, k=prose)
+        repeated, other = said + ["____"] * run, said + rng.choices(vocabulary, k=run)
+        item, passage = (repeated, other) if n % 3 else (other, repeated)
+        items.append((n, " ".join(item)))
+        docs.append((n, " ".join(rng.choices(vocabulary, k=20) + passage + rng.choices(vocabulary, k=20))))
+    rows = reported(spark, docs, items)
+    assert rows == every_window(docs, items)
+    assert len(rows) == len(items)
