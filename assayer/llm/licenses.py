@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+import pkgutil
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import pyarrow as pa
@@ -33,6 +34,13 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "All rights reserved."),
 )
+# whole texts of licence files, in licence_texts; of the CC BY licences there are only the notices above
+FULL_TEXTS = (
+    "Apache-2.0", "MIT", "GPL-3.0", "BSD-3-Clause", "MPL-2.0", "Unlicense", "Artistic-1.0-Perl", "CC0-1.0", "GFDL-1.2",
+    "GFDL-1.3", "GPL-1.0", "GPL-2.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1",
+)
+# fixed values: what many licence files say beside their terms; it counts where nothing else fits
+RESERVED = "Proprietary"
 # fixed values: words too common to tell licences apart
 COMMON = frozenset("a an and any are as at be by for from in is it may of on or that the this to under with you".split())
 TERM = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
@@ -52,6 +60,7 @@ class Templates:
         self.unknown = math.log(1 + len(listed)) + 1
         self.weight = {t: math.log((1 + len(listed)) / (1 + n)) + 1 for t, n in seen.items()}
         self.names = [name for name, _ in listed]
+        self.kinds = [[i for i, n in enumerate(self.names) if (n == RESERVED) == reserved] for reserved in (False, True)]
         self.postings: dict[str, list[tuple[int, float]]] = {}
         for i, (_, counts) in enumerate(listed):
             length = math.sqrt(sum((n * self.weight[t]) ** 2 for t, n in counts.items()))
@@ -60,16 +69,20 @@ class Templates:
 
     def best(self, found: list[str]) -> tuple[float, str | None]:
         """Highest cosine over the templates and its licence, the first listed of equal ones."""
+        return max(self.split(found), key=lambda m: m[0])
+
+    def split(self, found: list[str]) -> tuple[tuple[float, str | None], tuple[float, str | None]]:
+        """The best match among all templates but those of ``RESERVED``, and the best among these."""
         if self.postings.keys().isdisjoint(found):
-            return 0.0, None
+            return (0.0, None), (0.0, None)
         counts = Counter(found)
         length = math.sqrt(sum((n * self.weight.get(t, self.unknown)) ** 2 for t, n in counts.items()))
         dots = [0.0] * len(self.names)
         for t, n in counts.items():
             for i, w in self.postings.get(t, ()):
                 dots[i] += n * self.weight[t] * w
-        top = max(range(len(dots)), key=lambda i: (dots[i], -i))
-        return dots[top] / length, self.names[top]
+        tops = [max(own, key=lambda i: (dots[i], -i), default=None) for own in self.kinds]
+        return tuple((0.0, None) if i is None or not dots[i] else (dots[i] / length, self.names[i]) for i in tops)
 
 
 @cache
@@ -77,33 +90,47 @@ def _standard() -> Templates:
     return Templates()
 
 
-def scan(text: str, templates: Templates) -> tuple[float, str | None, float, str | None]:
-    """Best match of the text as a whole, and of any of its lines or runs of lines between blank ones."""
-    whole, lines, block, header = [], [], [], (0.0, None)
+def full_text(name: str) -> str:
+    return pkgutil.get_data("assayer.llm", f"licence_texts/{name}.txt").decode()
+
+
+@cache
+def _full() -> Templates:
+    return Templates([(name, full_text(name)) for name in FULL_TEXTS])
+
+
+Match = tuple[float, str | None]
+
+
+def scan(text: str, templates: Templates, full: Templates) -> tuple[Match, Match, Match, Match, Match]:
+    """Best match of the text as a whole with a whole licence text; then with a notice, and of any of its lines or runs
+    of lines between blank ones, each time first without and then of ``RESERVED`` alone."""
+    whole, lines, block = [], [], []
     for line in [*text.split("\n"), ""]:
         found = terms(line)
         if found:
             whole += found
             block += found
-            lines.append(templates.best(found))
+            lines.append(templates.split(found))
         else:
             if block and len(lines) > 1:
-                lines.append(templates.best(block))
+                lines.append(templates.split(block))
             block = []
-    header = max(lines, key=lambda m: m[0], default=header)
-    score, name = templates.best(whole)
-    return score, name, *header
+    headers = [max((pair[i] for pair in lines), key=lambda m: m[0], default=(0.0, None)) for i in range(2)]
+    return full.best(whole), *templates.split(whole), *headers
 
 
-SCHEMA = pa.schema([("id", pa.int64()), ("path", pa.string()), ("file_score", pa.float64()), ("file_licence", pa.string()),
-                    ("header_score", pa.float64()), ("header_licence", pa.string())])
+MATCHES = ("full", "file", "reserved_file", "header", "reserved_header")
+SCHEMA = pa.schema([("id", pa.int64()), ("path", pa.string())] + [
+    field for m in MATCHES for field in ((f"{m}_score", pa.float64()), (f"{m}_licence", pa.string()))
+])
 
 
 def _scanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, paths, texts = [c.to_pylist() for c in batch.columns]
-        found = [scan(t, _standard()) for t in texts]
-        columns = [ids, paths, *(zip(*found) if found else [[]] * 4)]
+        found = [[x for match in scan(t, _standard(), _full()) for x in match] for t in texts]
+        columns = [ids, paths, *(zip(*found) if found else [[]] * (2 * len(MATCHES)))]
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, SCHEMA)], schema=SCHEMA)
 
 
@@ -122,9 +149,10 @@ def ancestors(folder: Column) -> Column:
 def licences(files: DataFrame, similar: float = 0.6, id_col: str = "doc_id") -> DataFrame:
     """(id, path, own_licence, own_score, own_kind, licence, inherited_from) for each row of ``files`` (id, path, text).
 
-    A file is a licence file if its whole text has cosine ``similar`` or more with a template, or half of that where its
-    name says so; it licenses itself and its directory. Any other file has the licence of the best of its headers (a
-    line, or a run of lines between blank ones) at ``similar`` or more. Files with neither take that of the nearest
+    A file is a licence file if its whole text has cosine ``similar`` or more with a whole licence text or a notice, or
+    half of that with a notice where its name says so; it licenses itself and its directory. Any other file has the
+    licence of the best of its headers (a line, or a run of lines between blank ones) at ``similar`` or more. That all
+    rights are reserved counts only in files where nothing else fits. Files with neither take that of the nearest
     directory above them that has a licence file; ``inherited_from`` names it, "" being the root. Of several licence
     files in a directory the one with the highest score counts, then the first path.
 
@@ -134,22 +162,24 @@ def licences(files: DataFrame, similar: float = 0.6, id_col: str = "doc_id") ->
     """
     ident = F.col(id_col).cast("long").alias("id")
     scanned = files.select(ident, "path", F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(
-        _scanning,
-        "id long, path string, file_score double, file_licence string, header_score double, header_licence string",
+        _scanning, "id long, path string, " + ", ".join(f"{m}_score double, {m}_licence string" for m in MATCHES)
     )
     named = F.coalesce(F.regexp_extract("path", "[^/]*$", 0).rlike(FILE_NAMES), F.lit(False))
-    is_file = F.col("file_licence").isNotNull() & (F.col("file_score") >= F.when(named, similar / 2).otherwise(similar))
-    has_header = F.col("header_licence").isNotNull() & (F.col("header_score") >= similar)
+    least = F.when(named, similar / 2).otherwise(similar)
+    needed = {"full": F.lit(similar), "file": least, "header": F.lit(similar), "reserved_file": least,
+              "reserved_header": F.lit(similar)}
 
-    def pick(file: Column, header: Column) -> Column:
-        return F.when(is_file, file).when(has_header, header)
+    def pick(value: Callable[[str], Column]) -> Column:
+        """The value of the first kind of match that is close enough."""
+        fits = [F.when(F.col(f"{m}_licence").isNotNull() & (F.col(f"{m}_score") >= n), value(m)) for m, n in needed.items()]
+        return F.coalesce(*fits)
 
     own = stored(
         scanned.select(
             "id", "path", directory(F.col("path")).alias("folder"),
-            pick(F.col("file_licence"), F.col("header_licence")).alias("own_licence"),
-            pick(F.col("file_score"), F.col("header_score")).alias("own_score"),
-            pick(F.lit("file"), F.lit("header")).alias("own_kind"),
+            pick(lambda m: F.col(f"{m}_licence")).alias("own_licence"),
+            pick(lambda m: F.col(f"{m}_score")).alias("own_score"),
+            pick(lambda m: F.lit("header" if "header" in m else "file")).alias("own_kind"),
         ),
         "own-licences",
     )

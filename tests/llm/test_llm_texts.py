@@ -304,6 +304,24 @@ def test_licences_pass_down_the_tree(spark):
     assert [r.licence for r in bare] == [None] * 3
 
 
+def test_whole_licence_files(spark):
+    names = ["MIT", "BSD-3-Clause", "Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL-2.1", "MPL-2.0", "Unlicense"]
+    rows = []
+    for name in names:
+        own = "Copyright (c) 2019 Some Body and others\nAll rights reserved.\n\n" + licenses.full_text(name)
+        flat = " ".join(own.split())
+        for kind, (path, text) in enumerate([("LICENSE", own), ("terms.txt", own), ("terms.txt", flat)]):
+            rows += [(name, f"{name}/{kind}/{path}", text), (name, f"{name}/{kind}/src/x.py", "print(1)")]
+    mit = "Copyright 2019 Some Body\nAll rights reserved.\n\nThis, too: released under the MIT License.\n\nx = 1"
+    prose = "some words that say nothing of it\n" * 40
+    rows += [("MIT", "sources/a.py", mit), ("Proprietary", "sources/b.py", prose + "\nAll rights reserved.\n\nx = 1"),
+             ("Proprietary", "closed/LICENSE", "All rights reserved."), ("Proprietary", "closed/c.py", prose)]
+    listed = [(i, path, text) for i, (_, path, text) in enumerate(rows)]
+    got = licenses.licences(spark.createDataFrame(listed, "doc_id long, path string, text string")).collect()
+    assert {r.path: r.licence for r in got} == {path: name for name, path, _ in rows}
+    assert {r.own_kind for r in got if r.path.endswith(("LICENSE", ".txt"))} == {"file"}
+
+
 def test_virtual_paths(spark):
     docs = spark.createDataFrame([(70, "s"), (4096, None)], "doc_id long, source string")
     got = docs.select(virtual_path(docs.source, docs.doc_id)).collect()
