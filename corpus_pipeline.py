@@ -27,23 +27,36 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact_dedup.drop_copies(docs, keep="largest")
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the ids of ``dropped``. The ids are stored first, so Spark knows their size when it plans the join:
-    it moves no text where they are few, and partitions both sides where they are not."""
-    return docs.join(stored(dropped.select("doc_id").distinct(), "dropped"), "doc_id", "left_anti")
+ROW = "_pipeline_row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with the number of each row in ``ROW``. Stored, because rows are read twice and their partitions, off which
+    numbers are read, change with the executors at hand."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def _without(numbered: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``numbered`` without the rows whose numbers ``dropped`` has. The numbers are stored first, so Spark knows their size
+    when it plans the join: it moves no text where they are few, and partitions both sides where they are not."""
+    return numbered.join(stored(dropped.select(ROW).distinct(), "dropped"), ROW, "left_anti").drop(ROW)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id; rows without an id stay."""
+    """One row of each group of near-duplicates, the one with the smallest doc_id and of these the first; a row without
+    an id is kept only if none of its group has one."""
     configure(spark)
-    others = simhash.near_duplicates(docs).where("doc_id <> component_id")
-    return _without(docs, others)
+    numbered = _numbered(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", ROW)
+    near = simhash.near_duplicates(numbered.select(key.alias("key"), "text"), id_col="key")
+    return _without(numbered, near.where("key <> component_id").select(f"key.{ROW}"))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    found = decontamination.contaminated(docs, Tables(configure(spark), sf_dir).benchmark)
-    return _without(docs, found)
+    """Rows without a passage of the benchmark, whatever their doc_id."""
+    numbered = _numbered(docs)
+    benchmark = Tables(configure(spark), sf_dir).benchmark
+    return _without(numbered, decontamination.contaminated(numbered.select(ROW, "text"), benchmark, id_col=ROW))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

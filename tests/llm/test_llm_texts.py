@@ -425,3 +425,18 @@ def test_stages_keep_columns_and_take_empty_tables(spark):
             assert len(out.columns) == len({c.lower() for c in out.columns}) and len(got) <= len(rows)
             if name != corpus_pipeline.STAGES[-1][0]:
                 assert out.columns == docs.columns
+
+
+def test_stages_drop_rows_and_not_ids(spark):
+    leak = next(r.text for r in Tables(spark, SF).benchmark.collect() if len(r.text.split()) > 20)
+    rng = np.random.default_rng(4)
+    one, two, three = (" ".join(f"w{i}" for i in rng.integers(0, 10_000, 60)) for _ in range(3))
+    near = [(3, one), (3, two), (1, two), (1, two), (None, one), (None, three), (7, three + " " + one)]
+    leaks = [(3, leak), (3, one), (None, leak), (None, two), (4, leak + " " + two)]
+    for name, rows, kept in [("near", near, [(3, one), (1, two), (None, three), (7, three + " " + one)]),
+                             ("leaks", leaks, [(3, one), (None, two)])]:
+        docs = table(spark, rows)
+        stage = corpus_pipeline.near_copies if name == "near" else corpus_pipeline.benchmark_leaks
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(kept)
