@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import decontamination, exact_dedup, langid, licenses, mixing, pii, simhash, toxicity, urls, warc
+from assayer.llm import (
+    centroids, decontamination, exact_dedup, langid, licenses, mixing, perplexity, pii, simhash, toxicity, urls, warc, whitening,
+)
 from assayer.session import configure
 from assayer.sources.tables import Tables
 
@@ -168,3 +170,55 @@ def op9_simhash(t: Tables) -> DataFrame:
 @query("op10_urls")
 def op10_urls(t: Tables) -> DataFrame:
     return urls.judge(t.pages)
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """Assignments and centroids of each round, as common table expressions a0, c1, a1, ..."""
+
+    def assigned(i: int) -> str:
+        return f"""a{i} AS (
+        SELECT row_no, min(cluster) AS cluster, any_value(distance) AS distance FROM (
+            SELECT row_no, cluster, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS distance
+            FROM v JOIN c{i} c USING (dim) GROUP BY row_no, cluster
+            QUALIFY rank() OVER (PARTITION BY row_no ORDER BY distance) = 1) GROUP BY row_no)"""
+
+    parts = [assigned(0)]
+    for i in range(rounds):
+        parts.append(f"""c{i + 1} AS (
+        SELECT c.cluster, c.dim, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN (
+            SELECT cluster, dim, ((sum(x) - ((sum(x) % count(*) + count(*)) % count(*))) // count(*))::BIGINT AS x
+            FROM a{i} JOIN v USING (row_no) GROUP BY cluster, dim) m USING (cluster, dim))""")
+        parts.append(assigned(i + 1))
+    return ",\n    ".join(parts)
+
+
+@query(
+    "op11_centroids",
+    f"""
+    WITH kept AS (
+        SELECT row_number() OVER () AS row_no, vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x
+        FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+    v AS (SELECT row_no, unnest(range(64)) AS dim, unnest(x) AS x FROM kept),
+    chosen AS (SELECT * FROM kept ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), x LIMIT 16),
+    c0 AS (
+        SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), x) - 1 AS cluster,
+               unnest(range(64)) AS dim, unnest(x) AS x FROM chosen),
+    {_lloyd_sql(3)},
+    digests AS (SELECT cluster, sha256(string_agg(x::VARCHAR, ',' ORDER BY dim)) AS centroid_sha256 FROM c3 GROUP BY cluster)
+    SELECT vec_id, cluster::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+           (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+    FROM a3 JOIN kept USING (row_no) JOIN digests USING (cluster)
+    """,
+)
+def op11_centroids(t: Tables) -> DataFrame:
+    return centroids.clustered(t.embeddings)
+
+
+@query("op12_whitening")
+def op12_whitening(t: Tables) -> DataFrame:
+    return whitening.whiten(t.embeddings)
+
+
+@query("op13_quality")
+def op13_quality(t: Tables) -> DataFrame:
+    return perplexity.quality(t.documents)
