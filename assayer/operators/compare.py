@@ -7,12 +7,14 @@ text of the value. Shapes (``n_rows, n_cols``) stand beside the cells because an
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.cells import ABS_TOLERANCE, REL_TOLERANCE, cells_equal, exact_text, float_text, number_of
 from assayer.operators.ranking import number_rows
-from assayer.session import settle
+from assayer.session import written
 
 c = F.col
 GOLD, PRED = ["task", "snapshot", "gold_ix"], ["task", "attempt", "snapshot"]
@@ -81,19 +83,62 @@ def reading(cells: DataFrame, name: str) -> DataFrame:
     return cells.withColumn(name, number)
 
 
-def profile(cells: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-    """Per column: missing values, numbers and their sum. Columns that match must agree on these."""
+def digest(salts: tuple[int, ...], *values: Column) -> list[Column]:
+    """Sums of the upper 33 bits of hashes of ``values``: the same for the same multiset of values, in any order."""
+    return [F.sum(F.shiftrightunsigned(F.xxhash64(F.lit(salt), *values), 31)) for salt in salts]
+
+
+# grids as (cells per unit, offset of their lines). In a fine cell all numbers are equal within the tolerance; its lines
+# lie a quarter off the hundredths, in which amounts come. A coarse cell holds all equals of a number far from its lines.
+FINE = ((1 / ABS_TOLERANCE, 0.25), (1 / ABS_TOLERANCE, 0.75))
+COARSE = ((1.0, 0.5), (1 / 1024, 0.37))
+NEAR = 1e-6  # share of a fine cell that counts as its line, far above the rounding of doubles
+LARGEST = 1e13  # beyond it a double is no longer exact on the grids
+SHORT = 10_000  # cells of a column that may be held in one array
+
+
+def column_marks(cells: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    """Per column, in one pass: missing values, numbers and their sum, and digests of its values.
+
+    ``text`` digests the text forms, ``fine`` and ``coarse`` the grid cells of numbers and the text of all else; each over
+    (row, value) and, with ``any_``, over values alone. ``clear`` says that no number lies near a line of that grid.
+    """
     x = c("_x")
+    finite = F.when(F.abs(x) < float("inf"), x)  # NaN is greater
+    aggregates = {
+        "nulls": [F.count_if(c("kind") == "null")],
+        "nums": [F.count(x)],
+        "sum": [F.coalesce(F.sum(x), F.lit(0.0))],
+        "size": [F.coalesce(F.sum(F.abs(x)), F.lit(0.0))],
+        "text": digest((1, 2), c("row_ix"), c("val")),
+        "any_text": digest((1, 2), c("val")),
+    }
+    for name, grids in (("fine", FINE), ("coarse", COARSE)):
+        for i, (per_unit, offset) in enumerate(grids):
+            at = finite * per_unit + offset
+            part = at - F.floor(at)
+            value = [F.floor(at), F.when(finite.isNull(), c("val"))]
+            if name == "fine":
+                clear = part.between(NEAR, 1 - NEAR)
+                aggregates[f"fine{i}"] = digest((1, 2), c("row_ix"), *value)
+            else:
+                reach = F.greatest(F.lit(ABS_TOLERANCE), REL_TOLERANCE * F.abs(finite)) * (1 + 1e-6)
+                clear = F.least(part, 1 - part) / per_unit > reach + 1e-9
+                aggregates[f"coarse{i}"] = digest((1,), c("row_ix"), *value)
+                aggregates[f"any_coarse{i}"] = digest((1,), *value)
+            whole = F.bool_and(clear & (F.abs(finite) < LARGEST))
+            aggregates[f"{name}{i}_clear"] = [F.coalesce(whole, F.lit(True))]
+    columns = {
+        name: (parts[0] if len(parts) == 1 else F.struct(*[p.alias(f"d{i}") for i, p in enumerate(parts)]))
+        for name, parts in aggregates.items()
+    }
     return reading(cells, "_x").groupBy(*keys, c("col_ix").alias(f"{prefix}_col")).agg(
-        F.count_if(c("kind") == "null").alias(f"{prefix}_nulls"),
-        F.count(x).alias(f"{prefix}_nums"),
-        F.coalesce(F.sum(x), F.lit(0.0)).alias(f"{prefix}_sum"),
-        F.coalesce(F.sum(F.abs(x)), F.lit(0.0)).alias(f"{prefix}_size"),
+        *[column.alias(f"{prefix}_{name}") for name, column in columns.items()]
     )
 
 
 def may_match() -> Column:
-    """A necessary condition, used to spare the cell join: equal counts, and sums within the summed tolerance."""
+    """A necessary condition: equal counts, and sums within the summed tolerance."""
     slack = ABS_TOLERANCE * c("g_nums") + 2 * REL_TOLERANCE * (c("g_size") + c("p_size")) + ABS_TOLERANCE
     apart = F.abs(c("g_sum") - c("p_sum"))
     return (
@@ -103,14 +148,40 @@ def may_match() -> Column:
     )
 
 
-def placed(cells: DataFrame, keys: list[str], unordered: DataFrame) -> DataFrame:
-    """Cells with the ``place`` they are compared at: the row, or the rank of the text form with missing last."""
-    loose = cells.join(unordered, "task", "left_semi")
-    strict = cells.join(unordered, "task", "left_anti")
-    ranked = number_rows(loose, [*keys, "col_ix"], [(c("kind") == "null"), c("val"), c("row_ix")], "place")
+def settled_match() -> Column:
+    """Whether two columns match, from their marks alone; NULL where only the cells can tell.
+
+    Equal text at all places matches. So do equal fine cells, if no number lies near a line and rows are compared in
+    their order; by rank a number may move past another. A match would put equals into equal coarse cells, if those of
+    either side are clear, and text without any number is compared as it is; so other digests there mean no match.
+    """
+
+    def same(name: str) -> Column:
+        return c(f"g_{name}") == c(f"p_{name}")
+
+    def both(name: str) -> Column:
+        return c(f"g_{name}_clear") & c(f"p_{name}_clear")
+
+    yes = F.when(c("ignore_order"), same("any_text")).otherwise(
+        same("text") | (both("fine0") & same("fine0")) | (both("fine1") & same("fine1"))
+    )
+    coarse = [F.when(c("ignore_order"), same(f"any_coarse{i}")).otherwise(same(f"coarse{i}")) for i in range(len(COARSE))]
+    no = (c("g_nums") == 0) & (c("p_nums") == 0)
+    for i, equal in enumerate(coarse):
+        no = no | ((c(f"g_coarse{i}_clear") | c(f"p_coarse{i}_clear")) & ~equal)
+    return F.when(yes, True).when(no, False)
+
+
+def placed(cells: DataFrame, keys: list[str], some_unordered: bool) -> DataFrame:
+    """Cells with the ``place`` they are compared at: the row, or, where ``ignore_order``, the rank of the text form with
+    missing last."""
     wanted = [*keys, "col_ix", "place", "kind", "val"]
-    in_rows = strict.withColumn("place", c("row_ix") + 1)
-    return reading(ranked.select(*wanted).unionByName(in_rows.select(*wanted)), "num").drop("kind")
+    in_rows = cells.where(~c("ignore_order")).withColumn("place", c("row_ix") + 1).select(*wanted)
+    if some_unordered:
+        loose = cells.where("ignore_order")
+        ranked = number_rows(loose, [*keys, "col_ix"], [(c("kind") == "null"), c("val"), c("row_ix")], "place")
+        in_rows = in_rows.unionByName(ranked.select(*wanted))
+    return reading(in_rows, "num").drop("kind")
 
 
 def sized_pairs(gold_shape: DataFrame, pred_shape: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -136,31 +207,63 @@ def sized_pairs(gold_shape: DataFrame, pred_shape: DataFrame, tasks: DataFrame)
     return golds.join(answers, ["task", "snapshot"])
 
 
-def column_matches(gold: DataFrame, pred: DataFrame, pairs: DataFrame, tasks: DataFrame) -> DataFrame:
+def column_matches(gold: DataFrame, pred: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(pair, g_col, p_col)`` for every wanted gold column and predicted column that agree at all places.
 
-    Only cells of results of equal row counts are read, only columns whose profiles allow a match are put in order, and
-    the one large join has the place of a cell in its key.
+    One pass over the cells of each side marks its columns, and the marks settle most pairs. Only columns that they leave
+    open are put in order and compared cell by cell. ``pairs`` are of ``sized_pairs``.
     """
     same = pairs.where((c("g_rows") == c("p_rows")) & (c("g_rows") > 0))
-    gold, pred = gold.join(same, GOLD, "left_semi"), pred.join(same, PRED, "left_semi")
-    candidates = settle(
-        same.select(*PAIR, F.explode("wanted").alias("g_col"))
-        .join(profile(gold, GOLD, "g"), [*GOLD, "g_col"])
-        .join(profile(pred, PRED, "p"), PRED)
+    marked = (
+        same.select(*PAIR, "ignore_order", "g_rows", F.explode("wanted").alias("g_col"))
+        .join(column_marks(gold, GOLD, "g"), [*GOLD, "g_col"])
+        .join(column_marks(pred, PRED, "p"), PRED)
         .where(may_match())
-        .select(*PAIR, "g_col", "p_col")
+        .withColumn("ok", settled_match())
     )
-    unordered = tasks.where("ignore_order").select("task")
-    wanted_g = candidates.withColumnRenamed("g_col", "col_ix").select(*GOLD, "col_ix")
-    wanted_p = candidates.withColumnRenamed("p_col", "col_ix").select(*PRED, "col_ix")
-    g = placed(gold.join(wanted_g, [*GOLD, "col_ix"], "left_semi"), GOLD, unordered)
-    p = placed(pred.join(wanted_p, [*PRED, "col_ix"], "left_semi"), PRED, unordered)
-    g = g.withColumnsRenamed({"col_ix": "g_col", "val": "g_val", "num": "g_num"})
-    p = p.withColumnsRenamed({"col_ix": "p_col", "val": "p_val", "num": "p_num"})
-    side_by_side = candidates.join(g, [*GOLD, "g_col"]).join(p, [*PRED, "p_col", "place"])
+    columns = [*PAIR, "g_col", "p_col"]
+    candidates = written(marked.select(*columns, "ignore_order", "g_rows", "ok").where("ok is null or ok"))
+    decided, undecided = candidates.where("ok").select(*columns), candidates.where("ok is null")
+    kinds = undecided.select((c("g_rows") <= SHORT).alias("short"), "ignore_order").distinct().collect()  # four at most
+    parts = [decided]
+    if any(r.short for r in kinds):
+        parts.append(short_matches(gold, pred, undecided.where(c("g_rows") <= SHORT)))
+    if not all(r.short for r in kinds):
+        some_unordered = any(r.ignore_order and not r.short for r in kinds)
+        parts.append(long_matches(gold, pred, undecided.where(c("g_rows") > SHORT), some_unordered))
+    return reduce(DataFrame.unionByName, [part.select(*columns) for part in parts])
+
+
+def _cells_of(cells: DataFrame, keys: list[str], column: str, pairs: DataFrame) -> DataFrame:
+    """The cells of the columns that ``pairs`` name, with ``ignore_order``."""
+    wanted = pairs.select(*keys, c(column).alias("col_ix"), "ignore_order").distinct()
+    return cells.join(wanted, [*keys, "col_ix"])
+
+
+def short_matches(gold: DataFrame, pred: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The matching of ``pairs`` of columns of at most ``SHORT`` cells: each column is one ordered array."""
+
+    def in_order(cells: DataFrame, keys: list[str], column: str) -> DataFrame:
+        loose, read = c("ignore_order"), reading(_cells_of(cells, keys, column, pairs), "num")
+        place = [F.when(loose, c("kind") == "null").alias("missing"), F.when(loose, c("val")).alias("text"), c("row_ix")]
+        listed = F.array_sort(F.collect_list(F.struct(*place, "val", "num")))
+        return read.groupBy(*keys, c("col_ix").alias(column)).agg(listed.alias(f"{column}_cells"))
+
+    both = pairs.join(in_order(gold, GOLD, "g_col"), [*GOLD, "g_col"]).join(in_order(pred, PRED, "p_col"), [*PRED, "p_col"])
+    equal = F.zip_with("g_col_cells", "p_col_cells", lambda g, p: cells_equal(g["val"], p["val"], g["num"], p["num"]))
+    return both.where(F.forall(equal, lambda x: x))
+
+
+def long_matches(gold: DataFrame, pred: DataFrame, pairs: DataFrame, some_unordered: bool) -> DataFrame:
+    """The same for columns of any length: their cells get places and are joined, with the place in the key."""
+    sides = [_cells_of(gold, GOLD, "g_col", pairs), _cells_of(pred, PRED, "p_col", pairs)]
+    places = written(placed(sides[0].unionByName(sides[1], allowMissingColumns=True), [*PRED, "gold_ix"], some_unordered))
+    g = places.where("attempt is null").select(*GOLD, c("col_ix").alias("g_col"), "place", c("val").alias("g_val"), c("num").alias("g_num"))
+    p = places.where("attempt is not null").select(*PRED, c("col_ix").alias("p_col"), "place", c("val").alias("p_val"), c("num").alias("p_num"))
+    columns = [*PAIR, "g_col", "p_col"]
+    side_by_side = pairs.select(*columns).join(g, [*GOLD, "g_col"]).join(p, [*PRED, "p_col", "place"])
     agreed = F.bool_and(cells_equal(c("g_val"), c("p_val"), c("g_num"), c("p_num")))
-    return side_by_side.groupBy(*PAIR, "g_col", "p_col").agg(agreed.alias("ok")).where("ok").drop("ok")
+    return side_by_side.groupBy(*columns).agg(agreed.alias("ok")).where("ok")
 
 
 def against_each_gold(
@@ -168,9 +271,8 @@ def against_each_gold(
 ) -> DataFrame:
     """``ok`` and ``why`` per answer and gold: same row count, and each wanted gold column equal to some
     predicted column. Extra predicted columns are allowed and one may serve several gold columns."""
-    pairs = sized_pairs(gold_shape, pred_shape, tasks)
-    matches = column_matches(gold, pred, pairs, tasks).select(*PAIR, "g_col").distinct()
-    found = matches.groupBy(*PAIR).agg(F.collect_set("g_col").alias("found"))
+    pairs = written(sized_pairs(gold_shape, pred_shape, tasks))  # a row for each answer and gold
+    found = column_matches(gold, pred, pairs).groupBy(*PAIR).agg(F.collect_set("g_col").alias("found"))
     judged = pairs.join(found, PAIR, "left")
     missing = F.array_except(c("wanted"), F.coalesce(c("found"), F.array().cast("array<int>")))
     # an empty gold equals any empty answer that has a column

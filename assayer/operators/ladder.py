@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayer.functions.sqltokens import QUERY_HEADS, read_state
+
 c = F.col
 
 
@@ -27,44 +29,29 @@ def first_failed_gate(gates: str, order: tuple[str, ...] = ("G0", "G1", "G3", "G
     return F.coalesce(*[F.when(~passed[g], g) for g in order])
 
 
-# what the screens look for in lower-case text
-PLAIN = r"('[^']*')|--[^\n]*|/\*[\s\S]*?\*/"  # a literal, kept, or a comment, dropped
-LITERAL = r"'[^']*'"
-PART_OF = r"\bextract\s*\(\s*[a-z]+\s+from\b"
-NAME = r'"?[a-z_][a-z0-9_]*"?(?:\."?[a-z_][a-z0-9_]*"?)?'
-TABLE_LIST = rf"\b(?:from|join)\s+((?:{NAME}(?:\s+(?:as\s+)?[a-z_][a-z0-9_]*)?\s*,\s*)*{NAME})"
-TABLE_NAME = r'^(?:"?[a-z_][a-z0-9_]*"?\.)?"?([a-z_][a-z0-9_]*)'
-LOCAL_NAME = r'"?([a-z_][a-z0-9_]*)"?\s*(?:\([^()]*\)\s*)?as\s*\('
-
-
 def screen(df: DataFrame, sql: str, catalog: list[str]) -> DataFrame:
     """Cheap screens of SQL text: one statement that reads, over known tables. Not a parser.
 
-    Comments and literals are taken out first. Table names are those after FROM and JOIN, in comma lists too, with or
-    without quotes and schema; the FROM of ``extract`` is none of them.
+    ``tables`` lists the names after FROM and JOIN, in comma lists and brackets too, with or without quotes and schema,
+    but no common table expressions and no functions; a quoted file name is a table that no catalog knows. ``has_from``
+    is true if the text has a FROM clause. Null and empty texts are one statement that does not read.
     """
-    code = F.regexp_replace(F.lower(c(sql)), PLAIN, "$1 ")
-    bare = F.regexp_replace(F.regexp_replace(code, LITERAL, "''"), PART_OF, "extract(")
-    one = ~c("_bare").rlike(r";\s*\S")
-    reads = c("_bare").rlike(r"^\s*(\(|select\b|with\b)")
-    lists = F.regexp_extract_all(c("_bare"), F.lit(TABLE_LIST), F.lit(1))
-    tables = F.flatten(
-        F.transform(lists, lambda x: F.transform(F.split(x, ","), lambda y: F.regexp_extract(F.trim(y), TABLE_NAME, 1)))
-    )
-    local = F.regexp_extract_all(c("_bare"), F.lit(LOCAL_NAME), F.lit(1))
-    known = F.concat(F.array(*[F.lit(n) for n in catalog]), local)
-    return (
-        df.withColumn("_bare", bare)
-        .withColumns(
-            {
-                "one_statement": F.coalesce(one, F.lit(False)),
-                "reads_only": F.coalesce(reads, F.lit(False)),
-                "has_from": F.coalesce(c("_bare").rlike(r"\bfrom\b"), F.lit(False)),
-                "unknown_tables": F.coalesce(F.size(F.array_except(tables, known)), F.lit(0)),
-            }
-        )
-        .drop("_bare")
-    )
+    known = F.array(*[F.lit(n.lower()) for n in catalog])
+    read = df.withColumn("_read", read_state(c(sql)))
+    return read.withColumns(
+        {
+            "one_statement": ~c("_read.goes_on"),
+            "reads_only": c("_read.starts").isin(*QUERY_HEADS) & ~c("_read.writes"),
+            "has_from": c("_read.has_from"),
+            "tables": c("_read.tables"),
+            "unknown_tables": F.size(F.array_except(c("_read.tables"), known)),
+        }
+    ).drop("_read")
+
+
+def bounded_results(shape: DataFrame, cap: int) -> DataFrame:
+    """A row for each snapshot a text ran on, with an ``error`` where the result has more than ``cap`` rows."""
+    return shape.select("task", "attempt", "snapshot", F.when(c("n_rows") > cap, "too many rows").alias("error"))
 
 
 def ladder(judged: DataFrame, screened: DataFrame, results: DataFrame, hidden: list[int]) -> DataFrame:
@@ -104,7 +91,7 @@ def hardcoded(screened: DataFrame, prints: DataFrame, keys: list[str]) -> DataFr
         F.count("*").alias("snapshots"), F.count_distinct("fingerprint").alias("results")
     )
     fixed = F.coalesce((c("snapshots") > 1) & (c("results") == 1), F.lit(False))
-    return screened.join(moves, keys, "left").withColumn("hardcoded", ~c("has_from") | fixed)
+    return screened.join(moves, keys, "left").withColumn("hardcoded", (F.size("tables") == 0) | fixed)
 
 
 def gold_selfcheck(self_judged: DataFrame, prints: DataFrame, visible: int, hidden: list[int]) -> DataFrame:

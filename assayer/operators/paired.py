@@ -1,7 +1,7 @@
 """Paired comparison of two arms: effect, cluster bootstrap, exact tests, strata and transitions.
 
-Only the first aggregate (episodes to tasks) sees the data. The bootstrap works on one row per cluster; no
-join carries a broadcast hint, so the measured size of the cluster table decides how it is joined.
+Only the first aggregate (episodes to tasks) sees the data. The bootstrap works on one row per cluster, and folds
+its replicates into arrays of sums; clusters beyond a bound are joined to their draws instead.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.draws import draw
 from assayer.functions.sqltext import BLANKS, count_of, has
+from assayer.operators import resample
 from assayer.operators.metrics import outcome, ratio
 from assayer.operators.ranking import nth_values, number_rows
 from assayer.session import settle
@@ -73,7 +74,16 @@ def cluster_table(rates: DataFrame) -> DataFrame:
 
 
 def replicates(clusters: DataFrame, boot: int, salt: int) -> DataFrame:
-    """``boot`` resamples of as many clusters as there are: ``100 * sum(d) / tasks`` over the tasks drawn."""
+    """(b, v) of ``boot`` resamples of as many clusters as there are: ``100 * sum(d) / tasks`` over the tasks drawn."""
+    table = resample.held(clusters)
+    if table is None:
+        return replicates_by_joins(clusters, boot, salt)
+    sums = resample.drawn_clusters(clusters.sparkSession, table, boot, salt)
+    return sums.select("b", ratio(100 * c("s"), c("n")).alias("v"))
+
+
+def replicates_by_joins(clusters: DataFrame, boot: int, salt: int) -> DataFrame:
+    """The same for any number of clusters, with a row for each replicate and cluster drawn."""
     table = numbered(clusters)
     k = clusters.agg(F.count("*")).scalar()
     grid = (
@@ -96,8 +106,8 @@ def interval(values: DataFrame, boot: int) -> DataFrame:
     """Percentile bounds at the 0-based places floor(.025 B) and floor(.975 B) - 1 of the sorted replicates."""
     ordered = F.array_sort(F.collect_list("v"))  # B values, B is a parameter
     return values.agg(ordered.alias("vs")).select(
-        F.round(F.element_at("vs", int(0.025 * boot) + 1), 9).alias("lo"),
-        F.round(F.element_at("vs", max(int(0.975 * boot), 1)), 9).alias("hi"),
+        F.round(F.try_element_at("vs", F.lit(int(0.025 * boot) + 1)), 9).alias("lo"),
+        F.round(F.try_element_at("vs", F.lit(max(int(0.975 * boot), 1))), 9).alias("hi"),
     )
 
 
@@ -164,15 +174,24 @@ def mcnemar(df: DataFrame, wins: str = "wins", losses: str = "losses") -> DataFr
 
 def sign_flip(clusters: DataFrame, boot: int = 20000, salt: int = 0) -> DataFrame:
     """Share of random sign patterns over the clusters whose sum is at least as far from 0 as the observed one."""
+    table = resample.held(clusters)
+    if table is None:
+        sums = flips_by_joins(clusters, boot, salt)
+    else:
+        sums = resample.flipped_clusters(clusters.sparkSession, table, boot, salt)
+    observed = clusters.agg(F.abs(F.sum("s"))).scalar()
+    return sums.agg(ratio(F.count_if(F.abs("s") >= observed - 1e-12), F.count("*")).alias("p_flip"))
+
+
+def flips_by_joins(clusters: DataFrame, boot: int, salt: int) -> DataFrame:
+    """(b, s) for any number of clusters, with a row for each replicate and cluster."""
     table = numbered(clusters)
     flips = clusters.sparkSession.range(boot).withColumnRenamed("id", "b")
     k = clusters.agg(F.count("*")).scalar()
     bits = flips.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), k - 1))).select(
         "b", c("j").alias("ix"), draw(2, salt, "flip", c("b"), c("j")).alias("up")
     )
-    observed = clusters.agg(F.abs(F.sum("s"))).scalar()
-    sums = bits.join(table, "ix").groupBy("b").agg(F.abs(F.sum(F.when(c("up") == 1, c("s")).otherwise(-c("s")))).alias("v"))
-    return sums.agg(ratio(F.count_if(c("v") >= observed - 1e-12), F.count("*")).alias("p_flip"))
+    return bits.join(table, "ix").groupBy("b").agg(F.sum(F.when(c("up") == 1, c("s")).otherwise(-c("s"))).alias("s"))
 
 
 def verdict(delta: Column, lo: Column, margin: float = 5.0) -> list[Column]:
@@ -265,6 +284,49 @@ def power(values: DataFrame, margin: float = 5.0) -> DataFrame:
     )
 
 
+def attempt_power(
+    rates: DataFrame, boot: int = 2000, salt: int = 0, margin: float = 5.0, seeds: tuple[tuple[int, int], ...] = ((3, 3), (8, 5), (8, 8))
+) -> DataFrame:
+    """(seeds, sd, mde, power) for treat x base attempts a task, by resampling clusters and attempts.
+
+    ``sd`` is the spread of the effect, ``mde`` the smallest effect found with 80 % power, ``power`` the share of
+    replicates that would tell an effect of ``margin`` points from none.
+    """
+    sums = resample.resampled_attempts(rates, boot, salt, list(seeds)).where(c("n") > 0)
+    values = settle(sums.select(c("part").alias("seeds"), (100 * c("s") / c("n")).alias("v")))  # a row for each pair and replicate
+    spread = values.groupBy("seeds").agg(F.stddev_samp("v").alias("sd"), F.avg("v").alias("centre"))
+    return values.join(spread, "seeds").groupBy("seeds").agg(
+        F.round(F.max("sd"), 9).alias("sd"),
+        F.round(2.8 * F.max("sd"), 9).alias("mde"),
+        ratio(F.count_if(c("v") - c("centre") + margin > 1.96 * c("sd")), F.count("*")).alias("power"),
+    )
+
+
+def cluster_effect(rates: DataFrame) -> DataFrame:
+    """(tasks, clusters, icc, design_effect, mde): how much the tasks of a cluster resemble each other.
+
+    One-way variance components of ``d`` from (n, sum, sum of squares) of each cluster, which merge in any order. The
+    design effect is that of the mean cluster size; ``mde`` is the smallest effect in points that is found with 80 %
+    power, with the variance of ``d`` enlarged by it. NULL with one cluster, or one task in each.
+    """
+    per = rates.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("d").alias("s"), F.sum(c("d") * c("d")).alias("q"))
+    whole = per.agg(
+        F.count("*").alias("k"), F.sum("n").alias("m"), F.sum(c("n") * c("n")).alias("nn"), F.sum("s").alias("s"), F.sum("q").alias("q"),
+        F.sum(c("s") * c("s") / c("n")).alias("between"),
+    )
+    k, m = c("k"), c("m")
+    among = F.try_divide(c("between") - c("s") * c("s") / m, k - 1)
+    within = F.try_divide(c("q") - c("between"), m - k)
+    size = F.try_divide(m - c("nn") / m, k - 1)
+    icc = F.try_divide(among - within, among + (size - 1) * within)
+    design = 1 + (m / k - 1) * icc
+    variance = F.try_divide(c("q") - c("s") * c("s") / m, m - 1)
+    return whole.select(
+        m.alias("tasks"), k.alias("clusters"), F.round(icc, 9).alias("icc"), F.round(design, 9).alias("design_effect"),
+        F.round(280 * F.sqrt(F.greatest(design, F.lit(0.0)) * variance / m), 9).alias("mde"),
+    )
+
+
 def holm(tests: DataFrame, order: str) -> DataFrame:
     """Holm-corrected p-values; one row per test (a handful of checkpoints) enters the window."""
     by_p = Window.orderBy("p", order)

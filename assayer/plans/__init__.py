@@ -1,3 +1,3 @@
 """Query catalogue; importing this package registers every query."""
 
-from assayer.plans import comparison, conversations, data_in_out, decision_support, evaluation, patterns, relational, streams, synthesis, tasks  # noqa: F401
+from assayer.plans import comparison, conversations, data_in_out, decision_support, evaluation, generation, patterns, relational, streams, synthesis, tasks  # noqa: F401

@@ -14,7 +14,7 @@ from assayer.operators import ladder as lad
 from assayer.operators.ranking import number_rows
 from assayer.plans.views import EPISODES_SQL, episodes
 from assayer.registry import query
-from assayer.session import settle
+from assayer.session import written
 
 c = F.col
 COLUMNS = ["customer", "n_lines", "revenue", "segment"]
@@ -87,11 +87,15 @@ def tasks_of(rows, condition_cols="CAST(array() AS ARRAY<ARRAY<INT>>)"):
     )
 
 
-def setup(t, n_golds=1, condition_cols="CAST(array() AS ARRAY<ARRAY<INT>>)"):
-    # results under comparison are a stored table; its cells are unfolded where they are read
-    rows = settle(gold_rows(t))
-    gold = golds(rows).where(c("gold_ix") < n_golds)
-    pred = answers(rows)
+def setup(t, n_golds=1, condition_cols="CAST(array() AS ARRAY<ARRAY<INT>>)", gaps=False):
+    """Cells, shapes and tasks. With ``gaps`` every fifth line count is missing in the golds, and 0 or missing in the answers."""
+    # results under comparison are stored tables of cells, some forty to a row
+    rows = written(gold_rows(t))
+    spread = rows.repartition(t.spark.sparkContext.defaultParallelism)
+    known = F.when((c("row_ix") % 5 != 0) | F.lit(not gaps), c("n_lines"))
+    zero = F.when((c("row_ix") % 2 == 0) & F.lit(gaps), F.lit(0).cast("bigint"))
+    gold = written(golds(spread.withColumn("n_lines", known)).where(c("gold_ix") < n_golds))
+    pred = written(answers(spread.withColumn("n_lines", F.coalesce(known, zero))))
     return gold, pred, cmp.shapes_of(gold, cmp.GOLD), cmp.shapes_of(pred, cmp.PRED), tasks_of(rows, condition_cols)
 
 
@@ -136,6 +140,12 @@ jd AS (SELECT pn.task, pn.attempt, pn.snapshot, gn.gold_ix, gn.n AS g_rows, pn.n
    AND f.snapshot = pn.snapshot AND f.gold_ix = gn.gold_ix GROUP BY ALL)
 """
 
+# the same with every fifth line count missing, and all that is missing read as 0
+FILE_SQL = (
+    ROWS_SQL.replace("rw AS (SELECT *,", "rw AS (SELECT * REPLACE (CASE WHEN row_ix % 5 <> 0 THEN n_lines END AS n_lines) FROM (SELECT *,")
+    .replace("AS size FROM rows0)", "AS size FROM rows0))").replace("v[i] AS val", "coalesce(v[i], '0.0') AS val")
+)
+
 WHY_SQL = """CASE WHEN g_rows <> p_rows THEN 'row count gold=' || g_rows || ' pred=' || p_rows
   WHEN hits < 4 THEN 'gold column ' || (miss - 1) || ' not matched by any predicted column' ELSE '' END"""
 
@@ -191,7 +201,7 @@ FROM colm WHERE ok AND gold_ix = 0""",
 )
 def cmp_column_vector(t):
     gold, pred, gs, ps, tasks = setup(t)
-    return cmp.column_matches(gold, pred, cmp.sized_pairs(gs, ps, tasks), tasks).drop("gold_ix")
+    return cmp.column_matches(gold, pred, cmp.sized_pairs(gs, ps, tasks)).drop("gold_ix")
 
 
 @query(
@@ -205,14 +215,14 @@ def cmp_table(t):
 
 @query(
     "cmp_multi_gold",
-    f"""WITH {ROWS_SQL}, k AS (SELECT task, attempt, snapshot, gold_ix, g_rows = p_rows
+    f"""WITH {FILE_SQL}, k AS (SELECT task, attempt, snapshot, gold_ix, g_rows = p_rows
    AND (SELECT count(*) FROM fnd f WHERE f.task = jd.task AND f.attempt = jd.attempt AND f.snapshot = jd.snapshot
      AND f.gold_ix = jd.gold_ix AND f.ok AND f.g_col IN (1, CASE jd.gold_ix WHEN 0 THEN 2 ELSE 3 END)) = 2 AS ok FROM jd)
 SELECT task, attempt, snapshot, bool_or(ok) AS ok, CAST(min(gold_ix) FILTER (ok) AS INTEGER) AS gold_ix FROM k GROUP BY ALL""",
 )
 def cmp_multi_gold(t):
-    # the first gold is judged on customer and line count, the second on customer and revenue
-    return cmp.compare_tables(*setup(t, 2, "array(array(0, 1), array(0, 2))"), "file").drop("why")
+    # the first gold is judged on customer and line count, the second on customer and revenue; missing cells count as 0
+    return cmp.compare_tables(*setup(t, 2, "array(array(0, 1), array(0, 2))", gaps=True), "file").drop("why")
 
 
 @query(
@@ -307,39 +317,47 @@ def lad_all_snapshots(t):
     return lad.all_snapshots(cmp.against_each_gold(*setup(t)), [1, 2])
 
 
-SCREEN_SQL = r"""
-sb AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(sql), '(''[^'']*'')|--[^\n]*|/\*[\s\S]*?\*/', '\1 ', 'g'),
-  '''[^'']*''', '''''', 'g'), '\bextract\s*\(\s*[a-z]+\s+from\b', 'extract(', 'g') AS bare FROM tx),
-st AS (SELECT *, list_transform(flatten(list_transform(regexp_extract_all(bare, '\b(?:from|join)\s+((?:"?[a-z_][a-z0-9_]*"?'
-  || '(?:\."?[a-z_][a-z0-9_]*"?)?(?:\s+(?:as\s+)?[a-z_][a-z0-9_]*)?\s*,\s*)*"?[a-z_][a-z0-9_]*"?(?:\."?[a-z_][a-z0-9_]*"?)?)', 1),
-  lambda l: string_split(l, ','))), lambda n: regexp_extract(trim(n), '^(?:"?[a-z_][a-z0-9_]*"?\.)?"?([a-z_][a-z0-9_]*)', 1)) AS names
-  FROM sb),
-sn AS (SELECT * EXCLUDE (bare, names), NOT regexp_matches(bare, ';\s*\S') AS one_statement,
-  regexp_matches(bare, '^\s*(\(|select\b|with\b)') AS reads_only, regexp_matches(bare, '\bfrom\b') AS has_from,
-  CAST(len(list_filter(list_distinct(names), lambda x: NOT list_contains(list_concat(
-    ['orders', 'customer', 'lineitem', 'part', 'supplier', 'nation', 'region'],
-    regexp_extract_all(bare, '"?([a-z_][a-z0-9_]*)"?\s*(?:\([^()]*\)\s*)?as\s*\(', 1)), x))) AS INTEGER) AS unknown_tables FROM st)"""
-
-TEXTS_SQL = f"""{EPISODES_SQL}, tx AS (SELECT episode, task, arm, CASE episode % 9 WHEN 0 THEN sql || '; DROP TABLE orders'
-  WHEN 1 THEN 'UPDATE orders SET o_custkey = 0' WHEN 2 THEN 'SELECT ' || task || ' AS n'
-  WHEN 3 THEN replace(sql, 'FROM orders', 'FROM missing') WHEN 4 THEN sql || ' -- ''; x'
-  WHEN 5 THEN replace(sql, 'FROM orders', 'FROM orders o, "absent" a') WHEN 6
-  THEN 'SELECT extract(year FROM DATE ''2020-01-01'') /* ; */' ELSE sql END AS sql
-  FROM e WHERE sql IS NOT NULL), {SCREEN_SQL}"""
+# what is handed in: kind of text, then one statement, reads only, has FROM, unknown tables, reads a table. A text is
+# the episode's own with something appended or instead of FROM orders, or one of its own
+TEXTS = [
+    ("append", "; DROP TABLE orders", False, True, True, 0, True),
+    ("text", "UPDATE orders SET o_custkey = 0", True, False, False, 0, False),
+    ("text", "SELECT 3 AS n", True, True, False, 0, False),
+    ("instead", "FROM missing", True, True, True, 1, True),
+    ("append", " -- '; x", True, True, True, 0, True),
+    ("instead", 'FROM orders o, "absent" a', True, True, True, 1, True),
+    ("text", "SELECT extract(year FROM DATE '2020-01-01') /* ; */", True, True, False, 0, False),
+    ("append", "", True, True, True, 0, True),
+    ("text", "SELECT count(*) FROM orders WHERE o_orderstatus IS DISTINCT FROM o_orderpriority", True, True, True, 0, True),
+    ("text", "SELECT trim(both ' ' from 'x')", True, True, False, 0, False),
+    ("text", "SELECT * FROM unnest([1, 2]) u(x), range(5)", True, True, True, 0, False),
+    ("text", "SELECT * FROM orders, (SELECT 1) q, missing", True, True, True, 1, True),
+    ("text", 'SELECT ";" FROM orders;', True, True, True, 0, True),
+    ("text", "WITH a AS (SELECT 1), b (x) AS MATERIALIZED (SELECT * FROM a) SELECT * FROM b JOIN (orders o CROSS JOIN elsewhere) ON true",
+     True, True, True, 1, True),
+    ("text", "WITH x AS (SELECT 1) DELETE FROM orders", True, False, True, 0, True),
+    ("text", "(SELECT 1) UNION ALL SELECT count(*) FROM main.lineitem -- done", True, True, True, 0, True),
+    ("append", " /* 'open */", True, True, True, 0, True),
+]
+
+
+# the check does not look at the texts: it states what is known of each kind
+TEXTS_SQL = f"""{EPISODES_SQL}, known(kind, one_statement, reads_only, has_from, unknown, reads_table) AS (VALUES
+  {", ".join(f"({i}, {one}, {reads}, {has}, {unknown}, {table})" for i, (_, _, one, reads, has, unknown, table) in enumerate(TEXTS))}),
+sn AS (SELECT episode, task, one_statement, reads_only, has_from, reads_table,
+   CAST(CASE WHEN kind IN ({", ".join(str(i) for i, x in enumerate(TEXTS) if x[0] == "instead")}) AND sql NOT LIKE '%FROM orders%'
+     THEN 0 ELSE unknown END AS INTEGER) AS unknown_tables
+  FROM e JOIN known ON kind = episode % {len(TEXTS)} WHERE sql IS NOT NULL)"""
 
 
 def submitted_texts(t):
-    kind = c("episode") % 9
-    text = (
-        F.when(kind == 0, F.concat(c("sql"), F.lit("; DROP TABLE orders")))
-        .when(kind == 1, "UPDATE orders SET o_custkey = 0")
-        .when(kind == 2, F.concat(F.lit("SELECT "), c("task").cast("string"), F.lit(" AS n")))
-        .when(kind == 3, F.replace("sql", F.lit("FROM orders"), F.lit("FROM missing")))
-        .when(kind == 4, F.concat(c("sql"), F.lit(" -- '; x")))
-        .when(kind == 5, F.replace("sql", F.lit("FROM orders"), F.lit('FROM orders o, "absent" a')))
-        .when(kind == 6, "SELECT extract(year FROM DATE '2020-01-01') /* ; */")
-        .otherwise(c("sql"))
-    )
+    text = c("sql")
+    for i, (how, said, *_) in enumerate(TEXTS):
+        made = {
+            "append": F.concat(c("sql"), F.lit(said)), "text": F.lit(said),
+            "instead": F.replace("sql", F.lit("FROM orders"), F.lit(said)),
+        }[how]
+        text = F.when(c("episode") % len(TEXTS) == i, made).otherwise(text)
     rows = episodes(t).where(c("sql").isNotNull()).select("episode", "task", "arm", "passed", text.alias("sql"))
     return lad.screen(rows, "sql", CATALOG)
 
@@ -352,22 +370,20 @@ def lad_text_screen(t):
     return submitted_texts(t).select("episode", "one_statement", "reads_only", "has_from", "unknown_tables")
 
 
-# the text handed in with each kind of answer; kinds not named have the first
+# the text handed in with each kind of answer, and the gate it stops at; kinds not named have the first
 TEXT_OF = {
-    "": 'SELECT c_custkey, count(*) FROM orders o, "lineitem" l, customer -- one statement\nGROUP BY 1',
-    "doubled": "DELETE FROM orders",
-    "reversed rows": "SELECT extract(year FROM o_orderdate) FROM orders JOIN elsewhere ON true",
-    "permuted": "WITH elsewhere AS (SELECT 'a; b' FROM main.orders) SELECT * FROM elsewhere;",
+    "": ('SELECT c_custkey, count(*) FROM orders o, "lineitem" l, customer -- one statement\nGROUP BY 1', ""),
+    "doubled": ("DELETE FROM orders", "G0"),
+    "reversed rows": ("SELECT extract(year FROM o_orderdate) FROM orders JOIN elsewhere ON true", "G1"),
+    "permuted": ("WITH elsewhere AS (SELECT 'a; b' FROM main.orders) SELECT * FROM elsewhere;", ""),
 }
-TEXT_SQL = "CASE attempt " + " ".join(
-    f"WHEN '{kind}' THEN '{sql.replace(chr(39), 2 * chr(39))}'" for kind, sql in TEXT_OF.items() if kind
-) + f" ELSE '{TEXT_OF['']}' END"
-ROW_CAP = 50  # a longer result is an error
+ROW_CAP = 10_000  # fixed value: a longer result is an error
 
 
 @query(
     "lad_first_failed_gate",
-    f"""WITH {ROWS_SQL}, tx AS (SELECT task, attempt, {TEXT_SQL} AS sql FROM pn GROUP BY task, attempt), {SCREEN_SQL},
+    f"""WITH {ROWS_SQL}, sn AS (SELECT DISTINCT task, attempt, CASE attempt
+    {" ".join(f"WHEN '{kind}' THEN '{gate}'" for kind, (_, gate) in TEXT_OF.items() if gate)} ELSE '' END AS stop FROM pn),
  ev AS (SELECT task, attempt, snapshot, CASE WHEN p_rows > {ROW_CAP} THEN 'G3' WHEN NOT (g_rows = p_rows AND hits = 4) THEN 'G4'
    END AS gate, CASE WHEN p_rows > {ROW_CAP} THEN 'too many rows' ELSE {WHY_SQL} END AS why
   FROM jd WHERE gold_ix = 0 AND snapshot IN (1, 2)),
@@ -375,22 +391,19 @@ ROW_CAP = 50  # a longer result is an error
    CASE WHEN ev.task IS NULL THEN 'no result' ELSE why END AS why FROM sn s CROSS JOIN range(1, 3) r(s)
    LEFT JOIN ev ON ev.task = s.task AND ev.attempt = s.attempt AND ev.snapshot = r.s),
  fe AS (SELECT * FROM gone WHERE gate IS NOT NULL QUALIFY row_number() OVER (PARTITION BY task, attempt ORDER BY snapshot) = 1)
-SELECT task, attempt, CASE WHEN NOT (one_statement AND reads_only) THEN 'G0' WHEN unknown_tables > 0 THEN 'G1' ELSE fe.gate END AS gate,
-  CASE WHEN one_statement AND reads_only AND unknown_tables = 0 THEN snapshot END AS snapshot,
-  CASE WHEN NOT (one_statement AND reads_only) THEN 'not one statement that reads' WHEN unknown_tables > 0 THEN 'unknown table'
-    ELSE coalesce(why, '') END AS why,
-  one_statement AND reads_only AND unknown_tables = 0 AND fe.gate IS NULL AS passed
+SELECT task, attempt, CASE WHEN stop <> '' THEN stop ELSE fe.gate END AS gate, CASE WHEN stop = '' THEN snapshot END AS snapshot,
+  CASE stop WHEN 'G0' THEN 'not one statement that reads' WHEN 'G1' THEN 'unknown table' ELSE coalesce(why, '') END AS why,
+  stop = '' AND fe.gate IS NULL AS passed
 FROM sn LEFT JOIN fe USING (task, attempt)""",
 )
 def lad_first_failed_gate(t):
     gold, pred, gold_shape, pred_shape, tasks = setup(t)
     judged = cmp.against_each_gold(gold, pred, gold_shape, pred_shape, tasks)
-    text = F.lit(TEXT_OF[""])
-    for kind, sql in TEXT_OF.items():
+    text = F.lit(TEXT_OF[""][0])
+    for kind, (sql, _) in TEXT_OF.items():
         text = F.when(c("attempt") == kind, sql).otherwise(text)
     attempts = pred_shape.select("task", "attempt").distinct().withColumn("sql", text)
-    error = F.when(c("n_rows") > ROW_CAP, "too many rows").alias("error")
-    results = pred_shape.select("task", "attempt", "snapshot", error)
+    results = lad.bounded_results(pred_shape, ROW_CAP)
     return lad.ladder(judged, lad.screen(attempts, "sql", CATALOG), results, [1, 2])
 
 
@@ -398,7 +411,7 @@ def lad_first_failed_gate(t):
     "lad_hardcode_flag",
     f"""WITH {TEXTS_SQL}, m AS (SELECT task, count(*) AS snapshots, count(DISTINCT fingerprint) AS results FROM
   (SELECT o_custkey AS task, o_orderstatus AS snapshot, count(*) AS fingerprint FROM orders GROUP BY ALL) GROUP BY task)
-SELECT episode, NOT has_from OR coalesce(snapshots > 1 AND results = 1, false) AS hardcoded FROM sn LEFT JOIN m USING (task)""",
+SELECT episode, NOT reads_table OR coalesce(snapshots > 1 AND results = 1, false) AS hardcoded FROM sn LEFT JOIN m USING (task)""",
 )
 def lad_hardcode_flag(t):
     # the answer of a task on a snapshot: the number of its orders with that status

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from assayer.functions.draws import sql_ticket
@@ -390,6 +392,64 @@ def ab_power(t):
     return ab.power(ab.replicates(clusters(t), BOOT, SALT), margin=2.0)
 
 
+SEEDS, ATTEMPT_BOOT = ((3, 3), (8, 5), (8, 8)), 100
+
+
+def uniform_sql(*keys):
+    return f"{sql_ticket(*keys)} / 4294967296.0::DOUBLE"
+
+
+def reached_sql(u, steps):
+    return f"len(list_filter({steps}, lambda q: q <= {u}))"
+
+
+def steps_sql(size, p):
+    """Cumulative probabilities of 0 to size - 1 passes of ``size`` attempts at the rate ``p``."""
+    terms = [f"exp(lgamma({size} + 1) - lgamma({i} + 1) - lgamma({size - i} + 1) + {i} * ln({p}) + {size - i} * ln(1 - {p}))" for i in range(size)]
+    sums = ", ".join(" + ".join(terms[: i + 1]) for i in range(size))
+    return f"CASE WHEN {p} <= 0 THEN list_transform(range({size}), lambda i: 1.0::DOUBLE) WHEN {p} >= 1 THEN list_transform(range({size}), lambda i: 0.0::DOUBLE) ELSE [{sums}] END"
+
+
+POISSON_SQL = "[" + ", ".join(" + ".join(f"exp(-1.0::DOUBLE) / {math.factorial(j)}" for j in range(i + 1)) for i in range(12)) + "]"
+
+
+def seeds_sql(treat, base):
+    return f"""SELECT '{treat} x {base}' AS seeds, b,
+  sum({reached_sql(uniform_sql(str(SALT), "'treat'", f"'{treat}'", "task", "r", "b"), "st")} / {treat}::DOUBLE
+    - {reached_sql(uniform_sql(str(SALT), "'base'", f"'{base}'", "task", "r", "b"), "sb")} / {base}::DOUBLE) AS s, count(*) AS n
+  FROM copied JOIN (SELECT task, {steps_sql(treat, "pt")} AS st, {steps_sql(base, "pb")} AS sb FROM r) USING (task) GROUP BY b"""
+
+
+@query(
+    "ab_attempt_power",
+    f"""WITH {RATES_SQL}, cc AS (SELECT cluster, b, {reached_sql(uniform_sql(str(SALT), "'copies'", "cluster", "b"), POISSON_SQL)} AS times
+  FROM cl, range({ATTEMPT_BOOT}) bb(b)),
+copied AS (SELECT task, b, unnest(range(times)) AS r FROM r JOIN cc USING (cluster)),
+sums AS ({" UNION ALL ".join(seeds_sql(*pair) for pair in SEEDS)}),
+q AS (SELECT *, 100 * s / n AS v, stddev_samp(100 * s / n) OVER w AS sd, avg(100 * s / n) OVER w AS centre FROM sums WINDOW w AS (PARTITION BY seeds))
+SELECT seeds, round(any_value(sd), 9) AS sd, round(2.8 * any_value(sd), 9) AS mde,
+  count(*) FILTER (v - centre + 5 > 1.96 * sd)::DOUBLE / count(*) AS power FROM q GROUP BY seeds""",
+)
+def ab_attempt_power(t):
+    return ab.attempt_power(rates(t), ATTEMPT_BOOT, SALT, 5.0, SEEDS)
+
+
+@query(
+    "ab_cluster_effect",
+    f"""WITH {RATES_SQL}, p AS (SELECT cluster, count(*) AS n, avg(d) AS centre, sum(d) AS s FROM r GROUP BY cluster),
+ g AS (SELECT avg(d) AS centre, var_samp(d) AS variance, count(*) AS m FROM r),
+ a AS (SELECT sum(p.n * (p.centre - g.centre) * (p.centre - g.centre)) / (count(*) - 1) AS among, count(*) AS k,
+   (any_value(m) - sum(p.n * p.n) / any_value(m)::DOUBLE) / (count(*) - 1) AS size FROM p, g),
+ w AS (SELECT sum((r.d - p.centre) * (r.d - p.centre)) / (count(*) - count(DISTINCT cluster)) AS within FROM r JOIN p USING (cluster)),
+ i AS (SELECT *, (among - within) / (among + (size - 1) * within) AS icc FROM a, w, g),
+ f AS (SELECT *, 1 + (m / k::DOUBLE - 1) * icc AS design FROM i)
+SELECT m AS tasks, k AS clusters, round(icc, 9) AS icc, round(design, 9) AS design_effect,
+  round(280 * sqrt(greatest(design, 0) * variance / m), 9) AS mde FROM f""",
+)
+def ab_cluster_effect(t):
+    return ab.cluster_effect(rates(t))
+
+
 @query(
     "ab_holm",
     f"""WITH {RATES_SQL}, w AS (SELECT task_set, {WINS_SQL} FROM r GROUP BY task_set),

@@ -13,9 +13,10 @@ from assayer.operators import groups as grp
 from assayer.operators import ladder as lad
 from assayer.operators import metrics as m
 from assayer.operators import paired as ab
-from assayer.operators import ranking
+from assayer.operators import ranking, resample
 from assayer.operators import sessions
 from assayer.operators import transcripts as tx
+from assayer.operators import synthesis as syn
 from assayer.operators.synthesis import fill
 from assayer.operators.trees import top_ancestors
 
@@ -101,8 +102,10 @@ def as_cells(spark, tables, names):
     return spark.createDataFrame(rows, f"{names}, row_ix BIGINT, col_ix INT, kind STRING, val STRING")
 
 
-def test_tables_equal_the_plain_rule(spark):
-    rnd = random.Random(3)
+@pytest.mark.parametrize("short", [10_000, 2, 0])
+def test_tables_equal_the_plain_rule(spark, monkeypatch, short):
+    monkeypatch.setattr(cmp, "SHORT", short)
+    rnd = random.Random(3 + short)
     pool = [0.0, 1.0, 1.005, 1.02, 9.995, 10.0, "a", "b", "10.0", None, 1e9, 1e9 + 0.5]
     golds, preds, tasks, want = {}, {}, [], {}
     for task in range(60):
@@ -129,6 +132,35 @@ def test_tables_equal_the_plain_rule(spark):
     assert 10 < sum(want.values()) < 55
 
 
+def test_marks_settle_only_what_the_cells_would_say(spark):
+    rnd = random.Random(12)
+    bases = [0.0, 0.01, 0.0025, 0.0075, 0.5, 1.0, 24.99, 1024.63, 5e6, 2e7, 3e12, 1e15, float("inf"), "nan", "x", "1_0", "-0.0", "", None]
+    steps = [0.0, 0.0, 0.0, 0.004, 0.01, 0.0100001, 0.02, 1.0, -0.005]
+
+    def other(v):
+        return v + rnd.choice(steps) * (1 if abs(v) < 1e7 else abs(v) * 1e-7) if isinstance(v, float) else v
+
+    golds, preds, tasks, want = {}, {}, [], {}
+    for task in range(120):
+        gold = [[rnd.choice(bases)] for _ in range(rnd.randrange(1, 4))]
+        pred = [[other(r[0])] for r in gold]
+        if rnd.random() < 0.3:
+            rnd.shuffle(pred)
+        loose = task % 3 == 0
+        golds[(task, 0, 0)], preds[(task, "a", 0)] = gold, pred
+        tasks.append((task, loose, []))
+        want[task] = plain_compare(gold, pred, [], loose)
+    g = as_cells(spark, golds, "task INT, snapshot INT, gold_ix INT")
+    p = as_cells(spark, preds, "task INT, attempt STRING, snapshot INT")
+    t = spark.createDataFrame(tasks, "task INT, ignore_order BOOLEAN, condition_cols ARRAY<ARRAY<INT>>")
+    pairs = cmp.sized_pairs(cmp.shapes_of(g, cmp.GOLD), cmp.shapes_of(p, cmp.PRED), t)
+    marked = pairs.join(cmp.column_marks(g, cmp.GOLD, "g"), cmp.GOLD).join(cmp.column_marks(p, cmp.PRED, "p"), cmp.PRED)
+    settled = {r.task: r.ok for r in marked.withColumn("ok", cmp.settled_match()).collect() if r.ok is not None}
+    assert {k: want[k] for k in settled} == settled and len(settled) > 60 and 20 < sum(settled.values()) < len(settled)
+    judged = cmp.against_each_gold(g, p, cmp.shapes_of(g, cmp.GOLD), cmp.shapes_of(p, cmp.PRED), t)
+    assert {r.task: r.ok for r in judged.collect()} == want
+
+
 def test_cell_equality_and_text(spark):
     pairs = [("9.995", "10.0", True), ("9.98", "10.0", False), ("1000000000.0", "1000000000.5", True), ("70000", "70000.0", True),
              ("1d", "1.0", False), ("1_000", "1000.0", True), (None, None, True), (None, "0", False), ("a", "a", True)]
@@ -210,6 +242,67 @@ def test_screens_of_texts(spark):
     assert not got[2].has_from and got[0].has_from
 
 
+ORDINARY = [
+    # text, one statement, reads only, has FROM, tables
+    ("SELECT a FROM orders WHERE a IS DISTINCT FROM b", True, True, True, "orders"),
+    ("SELECT a IS NOT DISTINCT FROM b FROM orders", True, True, True, "orders"),
+    ("SELECT trim(both ' ' from c_name) FROM customer", True, True, True, "customer"),
+    ("SELECT trim(both ' ' from 'x')", True, True, False, ""),
+    ("SELECT substring(a from 2 for 3), position('x' in (select max(b) from lineitem)) from orders", True, True, True, "lineitem orders"),
+    ("SELECT * FROM unnest([1,2]) u(x)", True, True, True, ""),
+    ("SELECT * FROM range(5), orders", True, True, True, "orders"),
+    ("SELECT * FROM main.generate_series(1, 2) g, Main.Orders", True, True, True, "orders"),
+    ("SELECT 1 FROM orders, (SELECT 1) q, missing", True, True, True, "missing orders"),
+    ('SELECT ";" FROM orders', True, True, True, "orders"),
+    ('SELECT "a""; b" FROM "Odd Name" x', True, True, True, "odd name"),
+    ("SELECT 1 FROM `orders`;;", True, True, True, "orders"),
+    ("SELECT ';' FROM orders; SELECT 2", False, True, True, "orders"),
+    ("SELECT $$ ; FROM x $$, 'it''s; from y' FROM orders", True, True, True, "orders"),
+    ("FROM orders o SELECT o.a", True, True, True, "orders"),
+    ("SELECT 1 FROM (orders o JOIN lineitem l ON o.a = l.a), ((part)) p", True, True, True, "lineitem orders part"),
+    ("SELECT 1 FROM ((SELECT 1 FROM part) a CROSS JOIN orders) GROUP BY x, y", True, True, True, "orders part"),
+    ("SELECT 1 FROM orders o LEFT JOIN LATERAL (SELECT 1 FROM part) p ON extract(year from d) = 1, nation ORDER BY a, b", True, True, True,
+     "nation orders part"),
+    ("WITH RECURSIVE t (n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t, part), u AS NOT MATERIALIZED (SELECT 1) SELECT * FROM t, u, region",
+     True, True, True, "part region"),
+    ("SELECT 1 FROM orders WINDOW w AS (PARTITION BY a), v AS (ORDER BY b)", True, True, True, "orders"),
+    ("SELECT a, (SELECT max(b) FROM part), c FROM orders UNION SELECT 1, 2, 3 FROM nation", True, True, True, "nation orders part"),
+    ("SELECT 1 FROM orders TABLESAMPLE (10 PERCENT), 'file.csv'", True, True, True, "' orders"),
+    ("(SELECT 1 FROM orders) INTERSECT (SELECT 2)", True, True, True, "orders"),
+    ("SELECT count(*) FILTER (WHERE a IN (SELECT b FROM part)) FROM orders", True, True, True, "orders part"),
+    ("-- only a comment", True, False, False, ""), ("", True, False, False, ""), (None, True, False, False, ""),
+    ("WITH x AS (SELECT 1 FROM part) INSERT INTO orders SELECT * FROM x", True, False, True, "part"),
+    ("DELETE FROM orders", True, False, True, "orders"), ("VALUES (1), (2)", True, False, False, ""),
+    ("SELECT 'open FROM orders", True, True, True, "orders"), ("SELECT (1 FROM orders", True, True, True, "orders"),
+    ("select 1 from orders /* ; from x */ -- ; from y\n, part", True, True, True, "orders part"),
+]
+
+
+def test_screens_of_ordinary_sql(spark):
+    df = spark.createDataFrame([(i, x[0]) for i, x in enumerate(ORDINARY)], "i INT, sql STRING")
+    got = {r.i: r for r in lad.screen(df, "sql", ["orders", "part"]).collect()}
+    for i, (text, one, reads, has_from, tables) in enumerate(ORDINARY):
+        r = got[i]
+        found = " ".join(sorted(r.tables)) if "odd name" not in r.tables else "odd name"
+        assert (r.one_statement, r.reads_only, r.has_from, found) == (one, reads, has_from, tables), text
+        assert r.unknown_tables == len(set(r.tables) - {"orders", "part"})
+
+
+def test_hardcoded_answers_read_no_table(spark):
+    texts = ["SELECT trim(both ' ' from 'x')", "SELECT 1 IS DISTINCT FROM 2", "SELECT * FROM range(3)", "SELECT 1 FROM orders"]
+    df = lad.screen(spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "task INT, sql STRING"), "sql", ["orders"])
+    prints = spark.createDataFrame([(3, 0, "a"), (3, 1, "b")], "task INT, snapshot INT, fingerprint STRING")
+    assert {r.task: r.hardcoded for r in lad.hardcoded(df, prints, ["task"]).collect()} == {0: True, 1: True, 2: True, 3: False}
+
+
+def test_a_long_result_is_an_error(spark):
+    shape = spark.createDataFrame([(1, "a", 1, 3), (1, "b", 1, 4)], "task INT, attempt STRING, snapshot INT, n_rows BIGINT")
+    judged = shape.selectExpr("task", "attempt", "snapshot", "true AS ok", "'' AS why")
+    screened = shape.selectExpr("task", "attempt", "true AS one_statement", "true AS reads_only", "0 AS unknown_tables")
+    got = {r.attempt: (r.gate, r.why) for r in lad.ladder(judged, screened, lad.bounded_results(shape, 3), [1]).collect()}
+    assert got == {"a": (None, ""), "b": ("G3", "too many rows")}
+
+
 def test_ladder_stops_at_the_first_failure(spark):
     screened = spark.createDataFrame(
         [(a, True, a != "writes", int(a == "unknown")) for a in ("good", "writes", "unknown", "breaks", "differs", "absent")],
@@ -226,6 +319,28 @@ def test_ladder_stops_at_the_first_failure(spark):
     }
 
 
+def test_synthesis_does_not_depend_on_rounds(spark):
+    rows = [("a", "s", 1, 0, "q {x}", "g {x}", ["x"], [["1", "2", "3"]], False), ("b", "s", 1, 1, "q {y}", "h {y}", ["y"], [["1", "2"]], False),
+            ("c", "s", 2, 2, "q", "k", [], [], False), ("d", "t", 1, 3, "q {x}{y}", "l {x}{y}", ["x", "y"], [["{y}", "2"], ["5", "6"]], True)]
+    kinds = ("template STRING, schema STRING, hops INT, place INT, question STRING, gold STRING, names ARRAY<STRING>, spaces ARRAY<ARRAY<STRING>>,"
+             " single BOOLEAN")
+    templates = spark.createDataFrame(rows, kinds)
+
+    def judge(fresh):
+        return fresh.withColumn("reason", F.when(F.col("key").isin("a|2", "b|1"), "refused"))
+
+    found = []
+    for per_round in (1, 4, 100):
+        tasks, refused = syn.synthesize(templates, judge, 5, [1, 1, 2], 3, per_round=per_round)
+        found.append((sorted(map(tuple, tasks.collect())), sorted(map(tuple, refused.collect()))))
+        assert [r.id for r in tasks.orderBy("id").collect()] == [f"syn{i:04d}" for i in range(5)]
+    assert found[0] == found[1] == found[2]
+    every, refused = syn.synthesize(templates, judge, 50, [1, 1, 2], 3)
+    assert {r.key for r in every.collect()} == {"a|1", "a|3", "b|2", "c", "d|{y}|5", "d|{y}|6", "d|2|5", "d|2|6"}
+    assert {r.reason: r.n for r in refused.collect()} == {"refused": 2}
+    assert {r.gold for r in every.where("template = 'd'").collect()} == {"l {y}5", "l {y}6", "l 25", "l 26"}
+
+
 def test_first_failed_gate(spark):
     df = spark.sql("SELECT map('G0', true, 'G1', true, 'G2', false, 'G3', true, 'G4', true) g UNION ALL "
                    "SELECT map('G0', true, 'G1', false) UNION ALL SELECT map('G0', true, 'G1', true)")
@@ -370,3 +485,47 @@ def test_report_with_a_task_table(spark):
     assert (row.tasks, row.clusters, row.wins, row.losses, row.ties) == (9, 3, 6, 0, 3)
     assert {x.stratum: x.n for x in row.strata} == {"seen cluster": 3, "unseen cluster": 6, "base reachable": 9}
     assert sum(x.tasks for x in row.transitions) == row.wins + row.losses
+
+
+def test_vector_sums_equal_joins(spark, monkeypatch):
+    clusters = spark.createDataFrame([(f"c{i}", (i % 7) / 3 - 1, 1 + i % 4) for i in range(40)], "cluster STRING, s DOUBLE, n BIGINT")
+    vectors = {r.b: r.v for r in ab.replicates(clusters, 60, 5).collect()}
+    joins = {r.b: r.v for r in ab.replicates_by_joins(clusters, 60, 5).collect()}
+    assert vectors.keys() == joins.keys() and all(abs(vectors[b] - joins[b]) < 1e-9 for b in joins)
+    p = ab.sign_flip(clusters, 60, 5).first().p_flip
+    monkeypatch.setattr(resample, "REPLICATES", 7)
+    monkeypatch.setattr(resample, "DRAWS", 9)
+    assert {r.b: round(r.v, 9) for r in ab.replicates(clusters, 60, 5).collect()} == {b: round(v, 9) for b, v in vectors.items()}
+    assert ab.sign_flip(clusters, 60, 5).first().p_flip == p
+    monkeypatch.setattr(resample, "SENT", 10)
+    assert {r.b: round(r.v, 9) for r in ab.replicates(clusters, 60, 5).collect()} == {b: round(v, 9) for b, v in vectors.items()}
+    assert ab.sign_flip(clusters, 60, 5).first().p_flip == p
+    assert ab.cluster_bootstrap(clusters.where("n > 9"), 20, 1).collect()[0].lo is None
+
+
+def test_cluster_effect_against_plain_python(spark):
+    rnd = random.Random(2)
+    rows = [(k, rnd.gauss(k % 3, 1)) for k in range(12) for _ in range(rnd.randrange(1, 9))]
+    row = ab.cluster_effect(spark.createDataFrame(rows, "cluster INT, d DOUBLE")).first()
+    groups = {k: [d for x, d in rows if x == k] for k, _ in rows}
+    m, k, mean = len(rows), len(groups), sum(d for _, d in rows) / len(rows)
+    among = sum(len(g) * (sum(g) / len(g) - mean) ** 2 for g in groups.values()) / (k - 1)
+    within = sum((d - sum(g) / len(g)) ** 2 for g in groups.values() for d in g) / (m - k)
+    size = (m - sum(len(g) ** 2 for g in groups.values()) / m) / (k - 1)
+    icc = (among - within) / (among + (size - 1) * within)
+    design = 1 + (m / k - 1) * icc
+    variance = sum((d - mean) ** 2 for _, d in rows) / (m - 1)
+    assert (row.tasks, row.clusters) == (m, k) and abs(row.icc - icc) < 1e-8 and abs(row.design_effect - design) < 1e-8
+    assert abs(row.mde - 280 * (design * variance / m) ** 0.5) < 1e-6
+    assert ab.cluster_effect(spark.createDataFrame([(1, 0.5)], "cluster INT, d DOUBLE")).first().icc is None
+
+
+def test_attempts_as_units_have_more_power_with_more_seeds(spark):
+    rates = spark.createDataFrame([(t % 6, t, (t % 5) / 4, min(1.0, (t % 5) / 4 + 0.1)) for t in range(60)], "cluster INT, task INT, pb DOUBLE, pt DOUBLE")
+    got = {r.seeds: r for r in ab.attempt_power(rates, 200, 3, 5.0, ((1, 1), (8, 8))).collect()}
+    assert got["1 x 1"].sd > got["8 x 8"].sd > 0 and got["1 x 1"].power < got["8 x 8"].power
+    again = {r.seeds: r for r in ab.attempt_power(rates.repartition(7), 200, 3, 5.0, ((1, 1), (8, 8))).collect()}
+    assert got == again
+    steps = resample.binomial_steps(5, 0.3)
+    assert [round(x, 9) for x in steps] == [0.16807, 0.52822, 0.83692, 0.96922, 0.99757]
+    assert list(resample.binomial_steps(2, 0.0)) == [1.0, 1.0] and list(resample.binomial_steps(2, 1.0)) == [0.0, 0.0]
