@@ -23,7 +23,7 @@ SYMBOLS = b"#*$%&|<>"
 PIECE = 1 << 20  # bytes of a text that are looked at together
 HELD = 1 << 20  # n-grams of a partition that are held before they are handed on
 #: Bytes of the arrays that may be sent to every executor; a larger model is joined instead.
-SENT = 128 << 20
+SENT = 64 << 20
 NO_LANG = "und"
 MICRO = 1_000_000  # log probabilities are summed in millionths, so that no order of summing changes a result
 
@@ -190,16 +190,30 @@ def _looked_up(table: tuple[np.ndarray, np.ndarray] | None, keys: np.ndarray) ->
     return np.where(known, table[1][place], 0.0), known
 
 
+def _packing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, size, gram, value) as a row of bytes for each language and size of a batch."""
+    for batch in batches:
+        table = batch.to_pandas()
+        rows = [(lang, size, g["gram"].to_numpy().tobytes(), g["value"].to_numpy().tobytes()) for (lang, size), g in table.groupby(["lang", "size"])]
+        if rows:
+            kinds = (pa.string(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["lang", "size", "gram", "value"])
+
+
 def arrays(model: Model, most: int = SENT) -> Arrays | None:
     """The model as sorted arrays, or None where it is larger than ``most`` bytes (16 for each n-gram and context)."""
     if (model.grams.count() + model.contexts.count()) * 16 > most:
         return None
 
     def tables(rows: DataFrame, value: str) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
+        valued = rows.select("lang", "size", "gram", F.col(value).alias("value"))
+        packed = valued.mapInArrow(_packing, "lang string, size int, gram binary, value binary").collect()
         found = {}
-        for (lang, size), group in rows.toPandas().groupby(["lang", "size"]):
-            order = np.argsort(group["gram"].to_numpy())
-            found[lang, int(size)] = group["gram"].to_numpy()[order], group[value].to_numpy()[order]
+        for key in {(r.lang, r.size) for r in packed}:
+            own = [r for r in packed if (r.lang, r.size) == key]
+            keys, values = (np.frombuffer(b"".join(r[c] for r in own), kind) for c, kind in (("gram", np.int64), ("value", np.float64)))
+            order = np.argsort(keys)
+            found[key] = keys[order], values[order]
         return found
 
     floors = {r.lang: r.floor for r in model.floors.collect()}
