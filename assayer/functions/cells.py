@@ -18,8 +18,9 @@ def number_of(text: Column) -> Column:
 
 
 def numbers_close(a: Column, b: Column) -> Column:
+    """Within the tolerance; infinities and NaN are close to nothing."""
     widest = F.greatest(F.abs(a), F.abs(b))
-    return F.abs(a - b) <= F.greatest(REL_TOLERANCE * widest, F.lit(ABS_TOLERANCE))
+    return (widest < float("inf")) & (F.abs(a - b) <= F.greatest(REL_TOLERANCE * widest, F.lit(ABS_TOLERANCE)))
 
 
 def cells_equal(a: Column, b: Column, a_num: Column | None = None, b_num: Column | None = None) -> Column:
