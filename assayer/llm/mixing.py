@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.llm.text import GAP, stored
+from assayer.operators.ranking import number_rows
 
 #: The draw of a row is taken from md5, which any SQL engine can repeat.
 SEED = "mix-1"
@@ -50,29 +51,38 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
 def apportion(votes: DataFrame, group: list[str], party: str) -> DataFrame:
     """Seats of each party of a group by the highest quotients votes / (2 j + 1), j = 0, 1, ..., at most ``room`` a party.
 
-    ``votes`` has the group columns, ``party``, ``votes``, ``room`` and ``seats`` (of its group). Only the quotients
-    near the last winning one are listed: the fair share of a party, rounded, is off by less than its share of one seat
-    per party, so all quotients well above it win and all well below it lose.
+    ``votes`` is a stored table with the group columns, ``party``, ``votes``, ``room`` and ``seats`` (of its group). Only
+    the quotients near the last winning one are listed: the fair share of a party, rounded, is off by less than its share
+    of one seat per party, so all quotients well above it win and all well below it lose. Sums of a group are
+    partial aggregates joined back, and the listed quotients are numbered in stretches, so a group may have any number of
+    parties.
     """
-    within = Window.partitionBy(*group)
-    total, parties = F.sum("votes").over(within), F.count(F.lit(1)).over(within)
-    fair = F.col("seats") * F.col("votes") / F.when(total > 0, total)
-    with_fair = votes.withColumn("fair", F.coalesce(fair, F.lit(0.0))).withColumn("parties", parties)
+    total = votes.groupBy(*group).agg(F.sum("votes").alias("total"), F.count(F.lit(1)).alias("parties"))
+
+    def with_sums(rows: DataFrame, sums: DataFrame) -> DataFrame:
+        if group:
+            return rows.join(stored(sums, "sums"), group)
+        (one,) = sums.collect()  # a single group, a single row
+        return rows.withColumns({name: F.lit(one[name]) for name in sums.columns})
+
+    known = with_sums(votes, total)
+    fair = F.coalesce(F.col("seats") * F.col("votes") / F.when(F.col("total") > 0, F.col("total")), F.lit(0.0))
+    share = F.ceil(F.col("parties") * F.col("votes") / F.when(F.col("total") > 0, F.col("total"))) + 2
+    shared = known.withColumn("fair", fair).withColumn("margin", F.coalesce(share, F.lit(2)))
+    sure = F.least(F.greatest(F.floor("fair") - F.col("margin"), F.lit(0)), F.col("room")).cast("long")
     # what others cannot take for want of room is shared again, so a party may get more than its fair share
     spare = F.greatest(F.lit(0.0), F.col("fair") - F.col("room"))
-    with_spare = with_fair.withColumn("spare", F.sum(spare).over(within))
-    margin = F.ceil(F.col("parties") * F.col("votes") / F.when(total > 0, total)) + 2
-    listed = with_spare.withColumn("margin", F.coalesce(margin, F.lit(2)))
-    sure = F.least(F.greatest(F.floor("fair") - F.col("margin"), F.lit(0)), F.col("room"))
-    last = F.least(F.ceil(F.col("fair") + F.col("spare")) + F.col("margin"), F.col("room"))
-    bounded = listed.withColumn("sure", sure.cast("long")).withColumn("last", last.cast("long"))
-    contested = bounded.withColumn("open", F.col("seats") - F.sum("sure").over(within))
+    shared = shared.withColumns({"sure": sure, "over": spare})
+    sums = shared.groupBy(*group).agg(F.sum("sure").alias("given"), F.sum("over").alias("spare"))
+    last = F.least(F.ceil(F.col("fair") + F.col("spare")) + F.col("margin"), F.col("room")).cast("long")
+    bounded = with_sums(shared.drop("over"), sums).withColumn("last", last)
+    contested = bounded.withColumn("open", F.col("seats") - F.col("given"))
     quotients = F.when(F.col("last") > F.col("sure"), F.sequence(F.col("sure"), F.col("last") - 1))
     entries = contested.select(*group, party, "votes", "sure", "open", F.explode_outer(quotients).alias("j"))
     quotient = F.col("votes") / (2 * F.col("j") + 1)
-    order = Window.partitionBy(*group).orderBy(quotient.desc_nulls_last(), F.asc_nulls_last(party))
-    won = (F.col("j").isNotNull() & (F.row_number().over(order) <= F.col("open"))).cast("long")
-    return entries.withColumn("won", won).groupBy(*group, party, "sure").agg(F.sum("won").alias("won")).select(
+    placed = number_rows(entries, group, [quotient.desc_nulls_last(), F.asc_nulls_last(party), F.asc("j")], "place")
+    won = (F.col("j").isNotNull() & (F.col("place") <= F.col("open"))).cast("long")
+    return placed.withColumn("won", won).groupBy(*group, party, "sure").agg(F.sum("won").alias("won")).select(
         *group, party, (F.col("sure") + F.col("won")).alias("quota")
     )
 
@@ -91,6 +101,7 @@ def mix(
     shard: int = 1 << 20,
     seed: str = SEED,
     id_col: str = "doc_id",
+    row_col: str | None = None,
 ) -> DataFrame:
     """(id, size, source_size, target, taken) for each row of ``docs``: how many of its tokens the mix takes.
 
@@ -101,9 +112,12 @@ def mix(
     documents since their order is. No token is taken more than ``most`` times.
 
     Null and blank texts have size 0 and are never taken. Null is a source of its own, the last. Rows that share an id
-    count apart. An empty table gives no rows; sources without tokens have target 0.
+    count apart. Rows without an id are drawn by their text, so they are spread like others. ``row_col`` names a column
+    that comes in place of the id, to tell rows apart. An empty table gives no rows; sources without tokens have target 0.
     """
-    counted = docs.select(F.col(id_col).alias("id"), "source", token_count(F.col("text")).alias("size"))
+    name = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    own = F.col(row_col or id_col).alias("id")
+    counted = docs.select(own, name.alias("name"), "source", token_count(F.col("text")).alias("size"))
     sized = stored(counted, "sizes")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     aims = stored(targets(sizes, weights, share, most), "targets")
@@ -111,20 +125,20 @@ def mix(
     drawn = (
         sized.where("size > 0")
         .join(aims, sized.source.eqNullSafe(aims.source))
-        .select("id", "rank", "size", draw(seed, F.col("id")).alias("draw"), shards.alias("shards"))
-        .withColumn("shard", F.pmod(draw(seed + "-shard", F.col("id")), "shards"))
+        .select("id", "name", "rank", "size", draw(seed, F.col("name")).alias("draw"), shards.alias("shards"))
+        .withColumn("shard", F.pmod(draw(seed + "-shard", F.col("name")), "shards"))
     )
     piece = drawn.groupBy("rank", "shard").agg(F.sum("size").alias("shard_size"))
     pieces = stored(piece.withColumn("blocks", F.ceil(F.col("shard_size") / block)), "shards")
     room = pieces.groupBy("rank").agg((F.sum("blocks") * most).alias("room"))
     seats = F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long")
     bids = aims.join(room, "rank").withColumn("seats", seats).select("rank", F.col("target").alias("votes"), "room", "seats")
-    won = stored(apportion(bids, [], "rank"), "quotas")
+    won = stored(apportion(stored(bids, "bids"), [], "rank"), "quotas")
     inner = pieces.join(won, "rank").select(
         "rank", "shard", F.col("shard_size").cast("double").alias("votes"),
         (F.col("blocks") * most).alias("room"), F.col("quota").alias("seats"),
     )
-    quotas = apportion(inner, ["rank"], "shard").join(pieces, ["rank", "shard"])
+    quotas = apportion(stored(inner, "bids"), ["rank"], "shard").join(pieces, ["rank", "shard"])
     rounds = F.floor(F.col("quota") / F.col("blocks"))
     run = F.col("quota") - rounds * F.col("blocks")
     begin = F.pmod(draw(seed + "-start", F.col("rank"), F.col("shard")), "blocks")
@@ -135,12 +149,11 @@ def mix(
         ),
         "selection",
     )
-    order = Window.partitionBy("rank", "shard").orderBy("draw", "id", "size")
+    order = Window.partitionBy("rank", "shard").orderBy("draw", "name", "size", "id")
     laid = drawn.withColumn("stop", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     placed = laid.withColumn("start", F.col("stop") - F.col("size")).join(plan, ["rank", "shard"])
     extra = _overlap(F.col("low"), F.col("high")) + _overlap(F.lit(0), F.col("high") - F.col("span"))
     chosen = placed.select("id", "rank", "size", (F.col("rounds") * F.col("size") + extra).cast("long").alias("taken"))
     empty = sized.where("size = 0").join(aims, sized.source.eqNullSafe(aims.source))
     rows = chosen.union(empty.select("id", "rank", "size", F.lit(0).cast("long")))
-    out = rows.join(aims, "rank").select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
-    return out
+    return rows.join(aims, "rank").select(F.col("id").alias(row_col or id_col), "size", "source_size", "target", "taken")

@@ -64,8 +64,8 @@ def op3_licenses(t: Tables) -> DataFrame:
     "op4_mixing",
     r"""
     WITH sized AS (
-        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
-        FROM documents),
+        SELECT doc_id, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS name, source,
+               len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
     sources AS (
         SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
         FROM sized GROUP BY source),
@@ -83,8 +83,8 @@ def op3_licenses(t: Tables) -> DataFrame:
                least(cap::DOUBLE, (SELECT max(level) FROM levels WHERE level * weight <= cap) * weight) AS target
         FROM weighed),
     drawn AS (
-        SELECT doc_id, place, size, ('0x' || md5('mix-1|' || coalesce(doc_id::VARCHAR, ''))[1:15])::BIGINT AS draw,
-               ('0x' || md5('mix-1-shard|' || coalesce(doc_id::VARCHAR, ''))[1:15])::BIGINT
+        SELECT doc_id, name, place, size, ('0x' || md5('mix-1|' || name)[1:15])::BIGINT AS draw,
+               ('0x' || md5('mix-1-shard|' || name)[1:15])::BIGINT
                % greatest(1, ceil(source_size / 1048576.0)::BIGINT) AS shard
         FROM sized JOIN aims ON sized.source IS NOT DISTINCT FROM aims.source WHERE size > 0),
     pieces AS (
@@ -106,7 +106,7 @@ def op3_licenses(t: Tables) -> DataFrame:
                ('0x' || md5('mix-1-start|' || place || '|' || shard)[1:15])::BIGINT % any_value(blocks) AS start_block
         FROM shard_quotients JOIN pieces USING (place, shard) JOIN source_quotas USING (place) GROUP BY place, shard),
     laid AS (
-        SELECT *, sum(size) OVER (PARTITION BY place, shard ORDER BY draw, doc_id, size ROWS UNBOUNDED PRECEDING) AS stop
+        SELECT *, sum(size) OVER (PARTITION BY place, shard ORDER BY draw, name, size ROWS UNBOUNDED PRECEDING) AS stop
         FROM drawn),
     cut AS (
         SELECT doc_id, place, size, stop, stop - size AS start, quota // blocks AS rounds, 16 * start_block AS low,

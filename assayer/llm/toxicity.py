@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.text import held_out
+from assayer.llm.text import held_out, stored
 
 WORD = re.compile(r"[^\W_]+")
 LENGTH, STRIDE = 32, 16  # words of a window, and from one window to the next
@@ -207,20 +207,21 @@ def _calibrate(net: Network, logits: np.ndarray, labels: np.ndarray) -> None:
 
 
 def fit(
-    windows: list[list[str]], labels: list[int], owners: list[int], steps: int = 120, hard: int = 160, size: int = 256,
-    rate: float = 0.01,
+    windows: list[list[str]], labels: list[int], owners: list[int], steps: int = 120, hard: int = 60, size: int = 256,
+    rate: float = 0.01, vocabulary: int = VOCABULARY, net: Network | None = None,
 ) -> Network:
-    """Train by Adam on windows that carry the label of their document.
+    """Train by Adam on windows that carry the label of their document; go on with ``net`` where given.
 
     Most windows of a toxic document are harmless, so at least ``steps`` steps over all windows come first; in the
     ``hard`` steps after them each document is represented by the window that scores highest at the time, as it will be
     when it is scored.
     """
-    counts = Counter(w for window in windows for w in set(window))
-    known = sorted((w for w, n in counts.items() if n > 2), key=lambda w: (-counts[w], w))[:VOCABULARY]
     owner, target = np.array(owners, np.int64), np.array(labels, np.float32)
-    prior = float(target[np.unique(owner, return_index=True)[1]].mean()) if labels else 0.0
-    net = Network.fresh({w: i + 1 for i, w in enumerate(known)}, prior)
+    if net is None:
+        counts = Counter(w for window in windows for w in set(window))
+        known = sorted((w for w, n in counts.items() if n > 2), key=lambda w: (-counts[w], w))[:vocabulary]
+        prior = float(target[np.unique(owner, return_index=True)[1]].mean()) if labels else 0.0
+        net = Network.fresh({w: i + 1 for i, w in enumerate(known)}, prior)
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     draw, step = np.random.default_rng(1), 0
@@ -235,8 +236,6 @@ def fit(
                 second[k] += 0.01 * (d * d - second[k])
                 away = first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
                 net.p[k] -= np.float32(rate) * away
-    best, logits = _hardest(net, windows, owner)
-    _calibrate(net, logits, target[best])
     return net
 
 
@@ -262,71 +261,109 @@ class Scorer:
                 own[first:first + len(fresh)] = new
             self.index.update(zip(fresh, range(first, first + len(fresh))))
 
-    def score(self, texts: list[str]) -> np.ndarray:
-        """The highest probability over all windows of each text; the share of label 1 for a text without words."""
-        found = [tokens(t) for t in texts]
+    def windows(self, found: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Owner, start and logit of every window of the texts, given as lists of words."""
         flat = [w for words in found for w in words]
         if not flat or not self.net.p:
-            return np.full(len(texts), self.net.prior)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         self._learn(flat)
         ids = np.array(list(map(self.index.__getitem__, flat)), dtype=np.int64)
-        starts, owner, sizes, base = [], [], [], 0
+        starts, owner, sizes, base = [], [], [], []
         for i, words in enumerate(found):
             mine = window_starts(len(words))
-            starts.extend(base + s for s in mine)
+            starts.extend(mine)
             owner.extend([i] * len(mine))
             sizes.extend([min(LENGTH, len(words))] * len(mine))
-            base += len(words)
+            base.append(len(words))
         starts, owner, sizes = np.array(starts), np.array(owner), np.array(sizes)
-        best = np.full(len(texts), -np.inf)
+        places_of = (np.cumsum(base) - base)[owner] + starts
+        logits = np.empty(len(starts))
         for whole in (True, False):
             some = np.flatnonzero((sizes == LENGTH) == whole)
             for at in range(0, len(some), BLOCK):
                 part = some[at:at + BLOCK]
                 mask = np.arange(LENGTH) < sizes[part, None]
-                places = np.where(mask, starts[part, None] + np.arange(LENGTH), 0)
-                np.maximum.at(best, owner[part], self.net.logits(self.pre, ids[places], mask))
+                places = np.where(mask, places_of[part, None] + np.arange(LENGTH), 0)
+                logits[part] = self.net.logits(self.pre, ids[places], mask)
+        return owner, starts, logits
+
+    def score(self, texts: list[str]) -> np.ndarray:
+        """The highest probability over all windows of each text; the share of label 1 for a text without words."""
+        owner, _, logits = self.windows([tokens(t) for t in texts])
+        best = np.full(len(texts), -np.inf)
+        np.maximum.at(best, owner, logits)
         scores = 1.0 / (1.0 + np.exp(-np.clip(best.astype(float), -50, 50)))
         return np.where(np.isfinite(best), scores, self.net.prior)
 
 
-def _drawing(most: int):
-    """At most ``most`` windows of each text, drawn with the document's id as the seed."""
+WINDOW = "id long, label int, start int, words string, logit double"
+
+
+def _windows(most: int, net: Network | None):
+    """At most ``most`` windows of each text: drawn with the document's id as the seed, or, given a network, those of all
+    its windows that score highest, the highest first."""
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(net) if net else None
         for batch in batches:
             rows = []
             for ident, label, text in zip(*[c.to_pylist() for c in batch.columns]):
                 words = tokens(text)
                 starts = list(window_starts(len(words)))
-                for s in sorted(random.Random(ident).sample(starts, min(most, len(starts)))):
-                    rows.append((ident, label, s, " ".join(words[s:s + LENGTH])))
-            columns = list(zip(*rows)) or [[]] * 4
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "label", "start", "words"])
+                if scorer:
+                    _, places, logits = scorer.windows([words])
+                    chosen = [(int(places[i]), float(logits[i])) for i in np.lexsort((places, -logits))[:most]]
+                else:
+                    chosen = [(s, 0.0) for s in sorted(random.Random(ident).sample(starts, min(most, len(starts))))]
+                rows.extend((ident, label, s, " ".join(words[s:s + LENGTH]), logit) for s, logit in chosen)
+            columns = list(zip(*rows)) or [[]] * len(kinds)
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "label", "start", "words", "logit"])
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, positive: int = 1500, negative: int = 3000, windows: int = 16) -> Network:
-    """Learn from at most so many labelled documents of each kind, chosen by hash, and so many windows of each.
+def _taught(rows: list, **options) -> Network:
+    ordered = sorted(rows)
+    words = [list(map(sys.intern, r.words.split(" "))) for r in ordered]
+    return fit(words, [r.label for r in ordered], [r.id for r in ordered], **options)
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, positive: int = 1500, negative: int = 3000, windows: int = 16, vocabulary: int = VOCABULARY
+) -> Network:
+    """Learn from at most so many labelled documents of each kind, chosen by hash.
+
+    Only rows that are not held out teach. Training begins with ``windows`` drawn windows of each document, which all
+    carry its label. The network then scores every window of the whole texts, on the executors; it goes on with the
+    ``windows`` that score highest in each, and at last scale and shift are fitted to the highest window of all of each
+    document, which is what a score is. So texts of any length count whole, and the driver gets a bounded number of words.
 
-    Only rows that are not held out teach. Each window carries the label of its document. Windows are cut on the
-    executors, so the driver gets a bounded number of words. Without labelled rows the network has no weights and gives
+    A text of a sampled id counts once, the first by order where rows share the id. Null texts, ids without a text and
+    other columns, whatever their names, are not looked at. Without labelled rows the network has no weights and gives
     every text the score 0.
     """
+    texts = docs.select("doc_id", "text").where("text is not null")
     usable = labels.where(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("label")).distinct()
-    known = usable.join(docs.where("text is not null").select("doc_id").distinct(), "doc_id", "left_semi")
+    known = usable.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = known.where("label = 1").orderBy(*order).limit(positive).union(
         known.where("label = 0").orderBy(*order).limit(negative)
     )
-    rows = docs.where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("label").cast("int"), "text")
-    cut = rows.mapInArrow(_drawing(windows), "id long, label int, start int, words string").distinct().collect()
-    ordered = sorted(cut)
-    if not ordered:
+    met = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    sample = stored(met.select("doc_id", F.col("label").cast("int").alias("label"), "text"), "labelled")
+
+    def cut(most: int, net: Network | None) -> list:
+        return sample.mapInArrow(_windows(most, net), WINDOW).collect()
+
+    drawn = cut(windows, None)
+    if not drawn:
         return Network({})
-    return fit([list(map(sys.intern, r.words.split(" "))) for r in ordered], [r.label for r in ordered], [r.id for r in ordered])
+    net = _taught(drawn, vocabulary=vocabulary)
+    net = _taught(cut(windows, net), steps=0, hard=100, rate=0.005, net=net)
+    highest = sorted((r.id, r.label, r.logit) for r in cut(1, net))
+    _calibrate(net, np.array([r[2] for r in highest]), np.array([r[1] for r in highest], np.float32))
+    return net
 
 
 SCHEMA = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])

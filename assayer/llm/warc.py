@@ -21,6 +21,9 @@ PROFILE = "http://netpreservefoundation.org/warc/1.1/revisit/identical-payload-d
 GZIP = 31  # zlib's window bits for a gzip member
 PAD = "\u0000"  # gzip readers skip zero bytes between members
 CHUNK = 1 << 16
+BATCH = 8 << 20  # bytes that are handed on at once
+#: Packed bytes of an archive, which is read back as one value and so has to stay below 2 GB.
+ARCHIVE = 64 << 20
 RECORD = pa.schema([
     ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
     ("record_type", pa.string()), ("refers_to", pa.int64()), ("verified", pa.bool_()), ("payload", pa.binary()),
@@ -105,15 +108,43 @@ def parse(content: bytes) -> dict:
     }
 
 
-def _packing(date: str):
+def _packing(date: str, most: int):
+    """Members row by row, so that a batch of long pages is never held packed and unpacked at once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [record(*row, date) for row in zip(*[c.to_pylist() for c in batch.columns])]
+            packed, held = [], 0
+            for i in range(batch.num_rows):
+                packed.append(record(*[c[i].as_py() for c in batch.columns], date))
+                held += len(packed[-1])
+                if len(packed[-1]) > most:
+                    raise ValueError(f"a record of {len(packed[-1])} bytes is larger than an archive may be ({most})")
+                if held > BATCH:
+                    yield pa.record_batch([pa.array(packed, pa.binary())], names=["member"])
+                    packed, held = [], 0
             yield pa.record_batch([pa.array(packed, pa.binary())], names=["member"])
 
     return run
 
 
+def _numbering(size: int):
+    """(archive, value): members in their order, with a number that rises where an archive would exceed ``size`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive, held = 0, 0
+        for batch in batches:
+            numbers = []
+            for i in range(batch.num_rows):
+                length = len(batch.column(0)[i].as_buffer())
+                if held and held + length > size:
+                    archive, held = archive + 1, 0
+                held += length
+                numbers.append(archive)
+            yield pa.record_batch([pa.array(numbers, pa.int32()), batch.column(0)], names=["archive", "value"])
+
+    return run
+
+
 def _reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
@@ -121,14 +152,14 @@ def _reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for content in members(batch.column(0)[i].as_py()):
                 rows.append(parse(content))
                 held += len(content)
-                if held > 8 << 20:
+                if held > BATCH:
                     yield pa.RecordBatch.from_pylist(rows, schema=RECORD)
                     rows, held = [], 0
             yield pa.RecordBatch.from_pylist(rows, schema=RECORD)
 
 
 def write_archives(
-    pages: DataFrame, path: str, least: int = 1000, date: str = "1970-01-01T00:00:00Z", records: int = 5000
+    pages: DataFrame, path: str, least: int = 1000, date: str = "1970-01-01T00:00:00Z", records: int = 5000, size: int = ARCHIVE
 ) -> None:
     """Write one record per row of ``pages`` (page_id, url, html) to gzip archives in the folder ``path``.
 
@@ -137,8 +168,13 @@ def write_archives(
     no id at all. A null url becomes the page's own name; a null page_id stays null. An empty table writes no record.
 
     Spark's text writer commits the files, so failed and repeated tasks leave nothing behind and any file system that
-    Spark writes will do; the byte it puts after each line is the zero with which gzip members may be padded. An archive
-    has at most ``records`` records and never more than a partition of ``pages``.
+    Spark writes will do; the byte it puts after each line is the zero with which gzip members may be padded.
+
+    Archives are bounded in two ways. Each task of the writer packs its pages in order and opens a new archive where
+    the next record would bring the present one over ``size`` bytes: the number of the archive is the folder a record goes
+    to, and the writer holds one open file at a time, since these numbers only rise within a task. Within a folder a file
+    has at most ``records`` records. A record that is larger than ``size`` has an archive of its own; one over 2 GB, which
+    no reader could take as one value, is an error.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     sealed = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("digest"))
@@ -149,9 +185,11 @@ def write_archives(
     # null-safe: a page without an id revisits the original as well
     own = F.col("page_id").eqNullSafe(F.col("original"))
     typed = sealed.join(originals, "digest", "left").withColumn("original", F.when(~own, F.col("original")))
-    packed = typed.select("page_id", "url", "payload", "original").mapInArrow(_packing(date), "member binary")
-    lines = packed.select(F.col("member").cast("string").alias("value"))
-    lines.write.option("lineSep", PAD).option("maxRecordsPerFile", records).text(path)
+    packed = typed.select("page_id", "url", "payload", "original").mapInArrow(_packing(date, (1 << 31) - 1), "member binary")
+    numbered = packed.mapInArrow(_numbering(size), "archive int, value binary")
+    lines = numbered.select("archive", F.col("value").cast("string").alias("value"))
+    writer = lines.write.partitionBy("archive").option("lineSep", PAD).option("maxRecordsPerFile", records)
+    writer.text(path)
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -160,7 +198,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     Each archive is read from start to end: gzip members one after the other, each unpacked piece by piece and framed by
     its content length. A file that is cut short, or a record that is not framed as stated, is an error.
     """
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     rows = files.mapInArrow(_reading, FIELDS)
     return rows if payloads else rows.drop("payload")
 

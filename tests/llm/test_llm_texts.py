@@ -221,6 +221,72 @@ def test_toxicity_learns_whole_texts(spark):
     assert {r.score for r in toxicity.score(docs.where("doc_id < 9"), nothing).collect()} == {0.0}
 
 
+def plain_score(net, text):
+    """The network word by word, window by window, as its equations say."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    words, units, p = toxicity.tokens(text), toxicity.UNITS, {k: v.astype(float) for k, v in net.p.items()}
+
+    def inputs(word):
+        flat, sizes = toxicity.trigrams([word])
+        return np.concatenate([p["words"][net.vocabulary.get(word, 0)], p["chars"][flat].sum(0) / sizes[0]])
+
+    logits = []
+    for start in toxicity.window_starts(len(words)):
+        window = [inputs(w) for w in words[start:start + toxicity.LENGTH]]
+        ways = []
+        for way, listed in (("f", window), ("b", window[::-1])):
+            h, states = np.zeros(units), []
+            for x in listed:
+                pre = x @ p[f"in_{way}"] + p[f"bias_{way}"]
+                z, r = np.split(sigmoid(pre[:2 * units] + h @ p[f"gate_{way}"]), 2)
+                c = np.tanh(pre[2 * units:] + (r * h) @ p[f"cand_{way}"])
+                h = (1 - z) * h + z * c
+                states.append(h)
+            ways.append(states if way == "f" else states[::-1])
+        states = [np.concatenate(pair) for pair in zip(*ways)]
+        weights = np.exp([s @ p["attend"] for s in states])
+        pooled = sum(w * s for w, s in zip(weights, states)) / weights.sum()
+        logits.append(pooled @ p["out"] + p["bias"][0])
+    return sigmoid(max(logits)) if logits else net.prior
+
+
+def test_scores_equal_the_plain_network():
+    rng = random.Random(7)
+    vocabulary = ["ab", "cde", "fgh", "é", "word"]
+    net = toxicity.Network.fresh({w: i + 1 for i, w in enumerate(vocabulary)}, 0.25)
+    texts = [" ".join(rng.choices([*vocabulary, "new", "other"], k=n)) for n in (0, 1, 5, 31, 32, 33, 48, 49, 200)]
+    assert toxicity.Scorer(net).score(texts) == pytest.approx([plain_score(net, t) for t in texts], abs=1e-5)
+
+
+def test_training_ignores_other_columns_and_repeated_ids(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices(["a", "b", "c"], k=20) + (["vile"] if i % 2 else [])), 5, "x", 1.0) for i in range(80)]
+    rows += [(1, f"vile {i}", 5, "x", 1.0) for i in range(200)] + [(3, None, 5, "x", 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int, words string, logit double")
+    net = toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id long, toxic int"), vocabulary=3)
+    assert len(net.vocabulary) == 3
+    got = toxicity.score(docs, net).where("doc_id >= 4").collect()
+    assert np.mean([r.predicted == r.doc_id % 2 for r in got]) > 0.95
+
+
+def test_long_clean_texts_are_not_toxic_for_their_length(spark):
+    """A score is the highest of all windows, so its scale must be fitted to the highest of all."""
+    rng = random.Random(5)
+    rows, labels = [], []
+    for i in range(240):
+        long, bad = i % 3 == 0, i % 2 == 0
+        ws = rng.choices([f"w{j}" for j in range(300)], k=6000 if long else 60)
+        if bad:
+            ws[rng.randrange(len(ws))] = "vile"
+        rows.append((i, " ".join(ws)))
+        labels.append((i, int(bad)))
+    docs = table(spark, rows)
+    got = toxicity.score(docs, toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))).collect()
+    for long in (True, False):
+        out = [r for r in got if r.held_out and (r.doc_id % 3 == 0) == long]
+        assert len(out) > 10 and np.mean([r.predicted == dict(labels)[r.doc_id] for r in out]) > 0.9
+
+
 # 7: language
 
 
@@ -347,6 +413,21 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.archived(pages.where("page_id > 99")).count() == 0
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(i, "u", "".join(rng.choices("abcdefghij", k=rng.choice([10, 3000, 40_000])))) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    path = tmp_path / "warc"
+    warc.write_archives(pages, str(path), size=30_000)
+    files = [f.read_bytes() for f in path.rglob("part-*")]
+    assert len(files) > 10
+    for data in files:
+        packed = [len(m) + 1 for m in data.split(b"\x1f\x8b\x08")[1:]]
+        assert len(data) <= 30_000 + len(packed) or len(list(warc.members(data))) == 1
+    got = warc.read_archives(spark, str(path)).collect()
+    assert {r.page_id: r.payload.decode() for r in got} == {i: html for i, _, html in rows} and all(r.verified for r in got)
+
+
 def test_reader_refuses_what_is_not_as_stated():
     whole = warc.record(1, "u", b"payload", None, "2020-01-01T00:00:00Z")
     assert [warc.parse(c)["payload"] for c in warc.members(whole + b"\0\0" + whole)] == [b"payload"] * 2
@@ -440,3 +521,19 @@ def test_stages_drop_rows_and_not_ids(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns
         assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(kept)
+
+
+def test_mixture_takes_rows_and_not_ids(spark):
+    rng = random.Random(3)
+    rows = [(i % 7 if i % 3 else None, " ".join(rng.choices(["a", "b", "c", "d"], k=rng.randrange(60))), "s" if i % 2 else None) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"row_no": lit(5), "Taken": lit("x")}).repartition(3)
+    out = corpus_pipeline.mixture(spark, docs, SF)
+    assert out.columns == ["doc_id", "text", "source", "row_no", "size", "source_size", "target", "taken"]
+    got = out.collect()
+    alone = mixing.mix(docs).where("taken > 0").collect()
+    assert Counter((r.doc_id, r.size, r.taken) for r in got) == Counter((r.doc_id, r.size, r.taken) for r in alone)
+    assert all(r.size == len(r.text.split()) for r in got) and sum(r.doc_id is None for r in got) > 10
+    words = Counter()
+    for r in got:
+        words[r.source] += r.taken
+    assert all(abs(words[r.source] - r.target) <= 64 for r in got)
