@@ -16,60 +16,64 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those that are ``und``, without text or letters, go."""
+    """Documents whose language can be told; those that are ``und``, without text or letters, go.
+
+    A null lang teaches nothing, rows that share an id are judged apart, and an empty table stays empty.
+    """
     configure(spark)
     return langid.keep_known(docs, langid.train(docs))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each text, the one with the largest doc_id."""
+    """One row of each text, the one with the largest doc_id; null counts as the empty text, and rows without an id stay
+    only where no row of their text has one. Of rows that repeat text and id, one stays."""
     configure(spark)
     return exact_dedup.drop_copies(docs, keep="largest")
 
 
-ROW = "_pipeline_row"
-
-
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with the number of each row in ``ROW``. Stored, because rows are read twice and their partitions, off which
-    numbers are read, change with the executors at hand."""
-    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with the number of each row in a column of a new name, and that name. Stored, because rows are read twice
+    and their partitions, off which numbers are read, change with the executors at hand."""
+    row, taken = "row_no", {name.lower() for name in docs.columns}
+    while row in taken:
+        row += "_"
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
-def _without(numbered: DataFrame, dropped: DataFrame) -> DataFrame:
+def _without(numbered: DataFrame, dropped: DataFrame, row: str) -> DataFrame:
     """``numbered`` without the rows whose numbers ``dropped`` has. The numbers are stored first, so Spark knows their size
     when it plans the join: it moves no text where they are few, and partitions both sides where they are not."""
-    return numbered.join(stored(dropped.select(ROW).distinct(), "dropped"), ROW, "left_anti").drop(ROW)
+    return numbered.join(stored(dropped.select(row).distinct(), "dropped"), row, "left_anti").drop(row)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates, the one with the smallest doc_id and of these the first; a row without
     an id is kept only if none of its group has one."""
     configure(spark)
-    numbered = _numbered(docs)
-    key = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", ROW)
+    numbered, row = _numbered(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", row)
     near = simhash.near_duplicates(numbered.select(key.alias("key"), "text"), id_col="key")
-    return _without(numbered, near.where("key <> component_id").select(f"key.{ROW}"))
+    return _without(numbered, near.where("key <> component_id").select(f"key.{row}"), row)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a passage of the benchmark, whatever their doc_id."""
-    numbered = _numbered(docs)
+    numbered, row = _numbered(docs)
     benchmark = Tables(configure(spark), sf_dir).benchmark
-    return _without(numbered, decontamination.contaminated(numbered.select(ROW, "text"), benchmark, id_col=ROW))
+    return _without(numbered, decontamination.contaminated(numbered.select(row, "text"), benchmark, id_col=row), row)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which the mix takes words, with ``size``, ``source_size``, ``target`` and ``taken``.
+    """Rows of which the mix takes words, with ``size``, ``source_size``, ``target`` and ``taken``, each row its own.
 
-    Columns of these names are replaced. Rows that share a doc_id get the largest share among them; rows without one go.
+    Columns of these names are replaced. Rows that share a doc_id or have none keep what the mix takes of each.
     """
     configure(spark)
-    figures = ("taken", "size", "source_size", "target")
-    mixed = mixing.mix(docs).where("taken > 0")
-    shares = mixed.groupBy("doc_id").agg(F.max(F.struct(*figures)).alias("share")).select("doc_id", "share.*")
+    figures = ("size", "source_size", "target", "taken")
+    numbered, row = _numbered(docs)
+    mixed = mixing.mix(numbered.select(row, "doc_id", "source", "text"), row_col=row).where("taken > 0")
     own = [name for name in docs.columns if name.lower() not in figures]
-    return docs.select(*own).join(shares, "doc_id")
+    return numbered.select(row, *own).join(mixed.select(row, *figures), row).drop(row)
 
 
 STAGES: list[tuple[str, Stage]] = [
