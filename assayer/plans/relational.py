@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.draws import draw, sql_ticket
 from assayer.functions.numeric import day, mean, revenue, share, total, year
+from assayer.operators import sketches
 from assayer.operators.sessions import micros, session_slots, sessions, slot_of
 from assayer.operators.trees import top_ancestors
 from assayer.registry import query
@@ -317,11 +318,10 @@ def j_cross(t):
         .groupBy("n_regionkey")
         .agg(F.sum("k").alias("customers"))
     )
-    # the return flags are three by definition: their counts are three columns, unfolded beside each region
-    names = ["A", "N", "R"]
-    counts = t.lineitem.agg(*[F.count_if(c("l_returnflag") == n).alias(n) for n in names])
-    per_flag = counts.select(F.array(*[F.struct(F.lit(n).alias("l_returnflag"), c(n).alias("lines")) for n in names]))
-    return regions.select("n_regionkey", "customers", F.inline(per_flag.scalar())).where(c("lines") > 0)
+    # an entry for each flag that occurs, few by nature: one list, unfolded beside each region
+    counts = t.lineitem.groupBy("l_returnflag").agg(F.count("*").alias("lines"))
+    per_flag = counts.agg(F.collect_list(F.struct("l_returnflag", "lines")))
+    return regions.select("n_regionkey", "customers", F.inline(per_flag.scalar()))
 
 
 @query(
@@ -449,6 +449,27 @@ def a_count_distinct_approx(t):
     return counted.select("l_returnflag", "suppliers", "parts", within.alias("within"))
 
 
+@query(
+    "a_count_distinct_periods",
+    """
+SELECT l_returnflag, CAST(year(l_shipdate) AS INTEGER) AS yr, CAST(quarter(l_shipdate) AS INTEGER) AS qtr,
+  count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_partkey) AS parts, true AS within
+FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, year(l_shipdate), quarter(l_shipdate)), (l_returnflag, year(l_shipdate)), (l_returnflag))""",
+)
+def a_count_distinct_periods(t):
+    counted = ["l_suppkey", "l_partkey"]
+    lines = t.lineitem.withColumn("day", c("l_shipdate").cast("date"))
+    daily = sketches.daily(lines, ["l_returnflag"], "day", counted)
+    merged = sketches.merged(daily.withColumns({"yr": F.year("day"), "qtr": F.quarter("day")}), ["l_returnflag"], ["yr", "qtr"], counted)
+    dated = lines.withColumns({"yr": F.year("day"), "qtr": F.quarter("day")})
+    exact = dated.groupingSets([["l_returnflag", "yr", "qtr"], ["l_returnflag", "yr"], ["l_returnflag"]], "l_returnflag", "yr", "qtr").agg(
+        F.count_distinct("l_suppkey").alias("suppliers"), F.count_distinct("l_partkey").alias("parts")
+    )
+    same = [exact[k].eqNullSafe(merged[k]) for k in ("l_returnflag", "yr", "qtr")]
+    within = sketches.near("l_suppkey", "suppliers") & sketches.near("l_partkey", "parts")
+    return exact.join(merged, same).select(exact["l_returnflag"], exact["yr"], exact["qtr"], "suppliers", "parts", within.alias("within"))
+
+
 @query(
     "a_having",
     """

@@ -13,6 +13,7 @@ from assayer.sources.tables import SCHEMAS
 from assayer.streaming import jobs
 
 c = F.col
+DELAY = "1 day"  # fixed value: how long rows are waited for
 
 
 def event_stream(t):
@@ -78,10 +79,31 @@ def st_dedup_resume(t):
     for part in ("first", "again"):
         rows.write.parquet(f"{log}/part={part}")
     stream = jobs.file_stream(t.spark, log, "event_id BIGINT, ts TIMESTAMP_NTZ, event_type STRING")
-    once = jobs.resent_once(stream, ["event_id"], "ts", "40 days")
+    once = jobs.resent_once(stream, ["event_id"], "ts", DELAY)
     return jobs.appended(once).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+@query(
+    "st_late_rows",
+    """
+WITH m AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY AS mark FROM events WHERE event_id % 3 = 0)
+SELECT count(*) AS read, count(*) FILTER (event_id % 3 < 2 OR ts > mark) AS kept, count(*) FILTER (event_id % 3 = 2 AND ts <= mark) AS late
+FROM events, m""",
+)
+def st_late_rows(t):
+    # three batches: rows are held against the mark of the batch before the last, so the third is the first to lose any
+    log = fresh_path(t.spark, "thirds")
+    for third in range(3):
+        rows = t.events.where(c("event_id") % 3 == third).select("event_id", "ts", "event_type")
+        rows.coalesce(1).write.mode("append").parquet(log)
+    stream = jobs.file_stream(t.spark, log, "event_id BIGINT, ts TIMESTAMP_NTZ, event_type STRING", files_per_batch=1)
+    once = jobs.resent_once(stream, ["event_id"], "ts", DELAY)
+    folder = jobs.run_available(once, "append")
+    counts = jobs.row_counts(t.spark, folder).agg(F.sum("read").alias("read"), F.sum("late").alias("late"))
+    kept = jobs.written(t.spark, folder, once).agg(F.count("*")).scalar()
+    return counts.select("read", kept.alias("kept"), "late")
+
+
 @query(
     "st_rest_state",
     f"""WITH {group_sql("task", "quarter_no")}, i AS (SELECT *, sum(CASE WHEN flat THEN 0 ELSE 1 END)

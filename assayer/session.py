@@ -19,8 +19,8 @@ RUNTIME = {
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    # texts can be long: a batch that is read, or handed to a Python worker, stays small whatever they are
-    "spark.sql.parquet.columnarReaderBatchSize": "512",
+    "spark.sql.parquet.columnarReaderBatchSize": "4096",
+    # a batch that is handed to a Python worker stays small whatever its rows are
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.draws import ticket
@@ -62,16 +62,23 @@ def latest_per_step(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(last.alias("_r")).select(*keys, *[c(f"_r.{x}").alias(x) for x in rest])
 
 
+RANK_LIMIT = 1000  # Spark applies a limit on row numbers before the shuffle up to here
+
+
 def bounded(rows: DataFrame, keys: list[str], order: list, cap: int, cut: bool) -> DataFrame:
     """Results with at most ``cap`` rows, and ``overflow`` on those that had more.
 
     With ``cut`` an oversized result keeps its first ``cap`` rows, otherwise it is an error and keeps one row
-    without values. The flag is never lost. Rows are numbered in stretches, so that a huge result does not meet
-    one task, whatever the cap.
+    without values. The flag is never lost. Sizes are counted apart. A task keeps the first rows of a result before
+    the shuffle, where the cap is small; under a large cap rows are numbered in stretches, so that a huge result does
+    not meet one task.
     """
-    placed = number_rows(rows, keys, order, "_n")
-    first = placed.where(c("_n") <= cap)
-    sizes = placed.groupBy(*keys).agg((F.max("_n") > cap).alias("overflow"))
+    if cap <= RANK_LIMIT:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        first = rows.withColumn("_n", place).where(c("_n") <= cap)
+    else:
+        first = number_rows(rows, keys, order, "_n").where(c("_n") <= cap)
+    sizes = rows.groupBy(*keys).agg((F.count("*") > cap).alias("overflow"))
     flagged = first.join(sizes, keys)
     if not cut:
         values = [x for x in rows.columns if x not in keys]

@@ -17,16 +17,17 @@ from assayer.session import fresh_path
 c = F.col
 
 
-def file_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
-    """The files in the folder ``path``, or under all that it matches."""
-    return spark.readStream.schema(schema).format(fmt).load(path)
+def file_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
+    """The files in the folder ``path``, or under all that it matches; the oldest first where a batch is bounded."""
+    reader = spark.readStream.schema(schema).format(fmt)
+    return (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).load(path)
 
 
 def run_available(stream: DataFrame, mode: str, folder: str | None = None) -> str:
     """Process all input there is; batches land under ``folder`` with their number in ``batch``.
 
     A batch is written in overwrite mode under its own number, so one that is replayed after a lost executor
-    or a restart replaces itself.
+    or a restart replaces itself. So do the counts of each batch beside it, see ``row_counts``.
     """
     spark = stream.sparkSession
     folder = folder or fresh_path(spark, "stream")
@@ -44,9 +45,28 @@ def run_available(stream: DataFrame, mode: str, folder: str | None = None) -> st
         .start()
     )
     query.awaitTermination()
+    counts = {p["batchId"]: _counted(p) for p in query.recentProgress}
+    for number, (read, late) in counts.items():
+        spark.createDataFrame([(read, late)], COUNTS).write.mode("overwrite").parquet(f"{folder}/counts/batch={number}")
     return folder
 
 
+COUNTS = "read BIGINT, late BIGINT"
+
+
+def _counted(progress) -> tuple[int, int]:
+    """Rows that a batch read, and rows that stateful steps dropped because they lay behind the watermark."""
+    return progress["numInputRows"], sum(s["numRowsDroppedByWatermark"] for s in progress["stateOperators"])
+
+
+def row_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """(batch, read, late) of the batches under ``folder``, of the last hundred of each run.
+
+    Rows that are aggregated before the shuffle count as late once for each group they form there.
+    """
+    return spark.read.schema(f"{COUNTS}, batch INT").parquet(f"{folder}/counts")
+
+
 def written(spark: SparkSession, folder: str, schema: DataFrame) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.schema.fields)
     return spark.read.schema(f"{fields}, batch INT").parquet(f"{folder}/out")

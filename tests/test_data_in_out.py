@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.operators import answers as q
+from assayer.operators import sketches
 from assayer.plans import streams
 from assayer.session import configure, shared_dir
 from assayer.sources import files, generators, sinks
@@ -159,3 +160,39 @@ def test_rest_state_is_carried_between_batches(spark, tmp_path):
         jobs.run_available(stream, "append", out)
     got = {(r.task, r.step): r.streak for r in jobs.written(spark, out, stream).collect()}
     assert [got[(0, s)] for s in range(6)] == [1, 2, 0, 1, 2, 3] and [got[(1, s)] for s in range(6)] == [1, 2, 3, 4, 5, 6]
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    log = str(tmp_path / "log")
+    batches = [[(1, "2026-01-10 00:00:00")], [(2, "2026-01-01 00:00:00")],
+               [(3, "2026-01-01 00:00:00"), (4, "2026-01-08 23:59:59"), (5, "2026-01-09 00:00:01"), (1, "2026-01-10 00:00:00")]]
+    for rows in batches:
+        frame = spark.createDataFrame(rows, "event_id BIGINT, ts STRING").selectExpr("event_id", "CAST(ts AS TIMESTAMP_NTZ) AS ts")
+        frame.coalesce(1).write.mode("append").parquet(log)
+    stream = jobs.file_stream(spark, log, "event_id BIGINT, ts TIMESTAMP_NTZ", files_per_batch=1)
+    once = jobs.resent_once(stream, ["event_id"], "ts", "1 day")
+    folder = jobs.run_available(once, "append", str(tmp_path / "out"))
+    counts = {r.batch: (r.read, r.late) for r in jobs.row_counts(spark, folder).collect() if r.read}
+    assert counts == {0: (1, 0), 1: (1, 0), 2: (4, 2)}
+    assert sorted(r.event_id for r in jobs.written(spark, folder, once).collect()) == [1, 2, 5]
+
+
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_bounded_results_by_rank_and_by_stretches(spark, monkeypatch, limit):
+    monkeypatch.setattr(sinks, "RANK_LIMIT", limit)
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 3), (2, 4), (3, 50)) for i in range(n)], "k INT, v INT")
+    cut = sorted((r.k, r.v, r.overflow) for r in sinks.bounded(rows, ["k"], [F.col("v").desc()], 4, True).collect())
+    assert cut == [(1, v, False) for v in range(3)] + [(2, v, False) for v in range(4)] + [(3, v, True) for v in range(46, 50)]
+    error = [(r.k, r.v, r.overflow) for r in sinks.bounded(rows, ["k"], [F.col("v").desc()], 4, False).where("k = 3").collect()]
+    assert error == [(3, None, True)]
+
+
+def test_sketches_of_days_merge_for_any_period(spark):
+    rows = spark.range(60_000).selectExpr("id % 3 AS k", "id % 20 AS day", "id % 2 AS half", "id * 7919 % 30000 AS v")
+    days = sketches.daily(rows, ["k"], "day", ["v"])
+    assert days.count() == 60
+    merged = sketches.merged(days.selectExpr("*", "day % 2 AS half"), ["k"], ["half"], ["v"]).collect()
+    exact = {(r.k, r.half): r.n for r in rows.cube("k", "half").agg(F.count_distinct("v").alias("n")).collect()}
+    assert len(merged) == 9
+    for r in merged:
+        assert abs(r.v - exact[r.k, r.half]) <= 4 * sketches.ERROR * exact[r.k, r.half] + 1
