@@ -62,11 +62,23 @@ class Templates:
         self.names = [name for name, _ in listed]
         self.kinds = [[i for i, n in enumerate(self.names) if (n == RESERVED) == reserved] for reserved in (False, True)]
         self.postings: dict[str, list[tuple[int, float]]] = {}
+        self.sizes = [sum(counts.values()) for _, counts in listed]
+        self.offsets: dict[str, list[tuple[int, int]]] = {}
+        for i, (_, text) in enumerate(templates):
+            for offset, t in enumerate(terms(text)):
+                self.offsets.setdefault(t, []).append((i, offset))
         for i, (_, counts) in enumerate(listed):
             length = math.sqrt(sum((n * self.weight[t]) ** 2 for t, n in counts.items()))
             for t, n in counts.items():
                 self.postings.setdefault(t, []).append((i, n * self.weight[t] / length))
 
+    def places(self, found: list[str]) -> list[tuple[int, int]]:
+        """(start, end) of the stretches of a template's size where at least half of its terms stand as in it, and three
+        at least: each term that a template has says where the template would begin, and these votes are counted."""
+        votes = Counter((i, at - offset) for at, t in enumerate(found) for i, offset in self.offsets.get(t, ()))
+        enough = [max(min(3, size), -(-size // 2)) for size in self.sizes]
+        return sorted({(max(0, start), start + self.sizes[i]) for (i, start), n in votes.items() if n >= enough[i]})
+
     def best(self, found: list[str]) -> tuple[float, str | None]:
         """Highest cosine over the templates and its licence, the first listed of equal ones."""
         return max(self.split(found), key=lambda m: m[0])
@@ -103,8 +115,9 @@ Match = tuple[float, str | None]
 
 
 def scan(text: str, templates: Templates, full: Templates) -> tuple[Match, Match, Match, Match, Match]:
-    """Best match of the text as a whole with a whole licence text; then with a notice, and of any of its lines or runs
-    of lines between blank ones, each time first without and then of ``RESERVED`` alone."""
+    """Best match of the text as a whole with a whole licence text; then with a notice, and of any of its lines, runs of
+    lines between blank ones, or stretches of a notice's size where its terms stand in order, wherever lines break; each
+    time first without and then of ``RESERVED`` alone."""
     whole, lines, block = [], [], []
     for line in [*text.split("\n"), ""]:
         found = terms(line)
@@ -116,6 +129,8 @@ def scan(text: str, templates: Templates, full: Templates) -> tuple[Match, Match
             if block and len(lines) > 1:
                 lines.append(templates.split(block))
             block = []
+    if not templates.postings.keys().isdisjoint(whole):
+        lines.extend(templates.split(whole[start:end]) for start, end in templates.places(whole))
     headers = [max((pair[i] for pair in lines), key=lambda m: m[0], default=(0.0, None)) for i in range(2)]
     return full.best(whole), *templates.split(whole), *headers
 
@@ -151,7 +166,8 @@ def licences(files: DataFrame, similar: float = 0.6, id_col: str = "doc_id") ->
 
     A file is a licence file if its whole text has cosine ``similar`` or more with a whole licence text or a notice, or
     half of that with a notice where its name says so; it licenses itself and its directory. Any other file has the
-    licence of the best of its headers (a line, or a run of lines between blank ones) at ``similar`` or more. That all
+    licence of the best of its headers (a line, a run of lines between blank ones, or a stretch of a notice's size inside
+    longer ones) at ``similar`` or more. That all
     rights are reserved counts only in files where nothing else fits. Files with neither take that of the nearest
     directory above them that has a licence file; ``inherited_from`` names it, "" being the root. Of several licence
     files in a directory the one with the highest score counts, then the first path.

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "spelled_email", "login", "iban", "account")
+KINDS = (*BASE, "spelled_email", "login", "iban", "account", "secret")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # what may follow an anchor, matched at that place only
@@ -26,9 +26,13 @@ SPELLED = re.compile(r"\x20?([A-Za-z0-9-]+)(?:\x20?(?:\(dot\)|\[dot\]|\.)\x20?[A
 LOGIN = re.compile(r"[^\s/?#@:]+:[^\s/?#@]+@[A-Za-z0-9.-]+")
 IBAN = re.compile(r"[\s:#]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})")
 ACCOUNT = re.compile(r"(?:\x20?(?:no|nr|number)\b)?[.\s:#]{1,4}([0-9](?:[\x20-]?[0-9]){5,16})(?![0-9])", re.IGNORECASE)
+SECRET = re.compile(r"[\"']?[\x20\t]{0,3}[:=][\x20\t]{0,3}[\"']?([A-Za-z0-9_+/=.~-]{8,256})(?![A-Za-z0-9_+/=.~-])")
 CUES = {"(at)": "spelled", "[at]": "spelled", "://": "scheme"} | {
     form: cue
-    for word, cue in {"iban": "iban", "account": "account", "acct": "account", "konto": "account"}.items()
+    for word, cue in {
+        "iban": "iban", "account": "account", "acct": "account", "konto": "account",
+        "token": "secret", "key": "secret", "secret": "secret", "password": "secret", "passwd": "secret",
+    }.items()
     for form in (word, word.capitalize(), word.upper())
 }
 
@@ -106,6 +110,9 @@ def find(text: str) -> list[tuple[str, int, int]]:
         elif cue == "iban":
             if m := IBAN.match(text, after):
                 _longest_iban(m, keep)
+        elif cue == "secret":
+            if (m := SECRET.match(text, after)) and m.start(1) >= done["secret"]:
+                keep("secret", m.start(1), m.end(1), not text[at - 1:at].isalnum() and any(c.isdigit() for c in m[1]))
         elif (m := ACCOUNT.match(text, after)) and m.start(1) >= done["account"]:
             keep("account", m.start(1), m.end(1), True)
     return [(kind, *span) for kind in KINDS for span in spans[kind]]
@@ -144,7 +151,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for each row of ``docs``.
 
     Counts and digest cover the base kinds; ``spans`` has all kinds as kind:start:end in code points, end exclusive.
-    Null is read as the empty text, which has no spans: counts 0, an empty list and its digest. Rows that share an id
+    A secret is the value, of 8 to 256 characters with a digit among them, that a word like token, key or password is
+    given by a colon or an equals sign. Null is read as the empty text, which has no spans: counts 0, an empty list and its digest. Rows that share an id
     are searched apart; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -150,6 +150,14 @@ def test_added_spans():
     assert not [s for s in pii.find("IBAN DE88 3704 0044 0532 0130 00, at home (at) last, account closed in 1999") if s[0] not in pii.BASE]
 
 
+def test_secrets_are_values_of_their_cues():
+    text = """token = "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567" api_key: AKIA0123456789 monkey=abc12345678 KEY='longer-than-8!' x"
+"password": "hunter2hunter2", key: something else, token=short1, Secret = """ + "z9" * 200
+    found = [text[a:b] for kind, a, b in pii.find(text) if kind == "secret"]
+    assert found == ["0a1b2c3d4e5f60718293a4b5c6d7e8f901234567", "AKIA0123456789", "longer-than-8", "hunter2hunter2"]
+    assert [s for s in pii.find(text) if s[0] in pii.BASE] == list(base_spans(text))
+
+
 def test_personal_data_rows(spark):
     long = "1" * 5_000 + "2 " * 100_000 + "@" * 50_000 + "." * 50_000 + " 1.1.1.1"
     rows = [(1, "a@b.c 1.1.1.1"), (2, None), (3, ""), (4, long), (5, "a@b.c"), (5, "a@b.c"), (None, "+1 555 234 5678")]
@@ -370,6 +378,21 @@ def test_licences_pass_down_the_tree(spark):
     assert [r.licence for r in bare] == [None] * 3
 
 
+def test_notices_inside_long_lines():
+    standard, full = licenses._standard(), licenses._full()
+    code = "var a=function(b){return b.length};" * 300
+    for name, notice in licenses.TEMPLATES:
+        wrapped = "\n".join(notice[i:i + 40] for i in range(0, len(notice), 40))
+        for text in (code + " " + notice + " " + code, "int f();\n" + notice + "\n" + "y = z + w;\n" * 60):
+            matches = dict(zip(licenses.MATCHES, licenses.scan(text, standard, full)))
+            score, found = matches["reserved_header" if name == licenses.RESERVED else "header"]
+            assert found == name and score >= 0.6, notice
+        assert licenses.scan(code + wrapped, standard, full)
+    assert licenses.scan(code, standard, full)[3] == (0.0, None)
+    odd = "licensed dogs and a version of apache dances; the public may use this file " + code
+    assert licenses.scan(odd, standard, full)[3][0] < 0.6
+
+
 def test_whole_licence_files(spark):
     names = ["MIT", "BSD-3-Clause", "Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL-2.1", "MPL-2.0", "Unlicense"]
     rows = []
