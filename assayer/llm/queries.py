@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from assayer.llm import (
     centroids, decontamination, exact_dedup, langid, licenses, mixing, perplexity, pii, simhash, toxicity, urls, warc, whitening,
 )
-from assayer.session import configure
+from assayer.llm.text import configure
 from assayer.sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayer import session
 from assayer.session import fresh_path
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -13,6 +14,13 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FOLDS = 5
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """The settings of the library, with batches of few rows from the reader, since texts can be long."""
+    session.configure(spark)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
+    return spark
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, all else kept; texts of ASCII alone take the faster function."""
     plain = F.octet_length(text) == F.length(text)
