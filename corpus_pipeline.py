@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import decontamination, exact_dedup, langid, mixing, simhash
-from assayer.llm.text import stored
-from assayer.session import configure
+from assayer.llm.text import configure, stored
 from assayer.sources.tables import Tables
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
