@@ -6,6 +6,8 @@ joined back to the attempts, so a group of any size is summed in parts and never
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,6 +115,9 @@ def _fold(drop_after: int, readmit_after: int) -> Column:
     return F.aggregate(history, F.struct("streak", "rested_at"), step)
 
 
+RESTS = "rested int, back int"
+
+
 def rest_pool(
     groups: DataFrame, drop_after: int = 2, readmit_after: int = 25, needed: int = 8
 ) -> tuple[DataFrame, list[int]]:
@@ -120,16 +125,47 @@ def rest_pool(
 
     A task rests after ``drop_after`` flat groups in a row and returns ``readmit_after`` steps later with
     streak 0. When fewer than ``needed`` tasks are active at a step, all return at once and keep their streaks.
-    That rule looks across tasks, so steps are taken in stretches of ``readmit_after``, each from the state of the
-    tasks at its first step: within one, a task drops once at most and a step's resting tasks are a count over
-    tasks. A stretch that breaks the rule is cut at the first such step and the next one starts there; only the
-    cut stretch is read twice. A history holds the groups of one task in one stretch.
     """
     spark = groups.sparkSession
     tidy = settle(groups.select("task", c("step").cast("int").alias("step"), "flat"))
     first, last, pool = tidy.agg(F.min("step"), F.max("step"), F.count_distinct("task")).first()
-    state = tidy.select("task").distinct().select("task", F.lit(0).alias("streak"), F.lit(None).cast("int").alias("rested_at"))
-    path, resets = fresh_path(spark, "rests"), []
+    path = fresh_path(spark, "rests")
+
+    def keep(rests: DataFrame) -> None:
+        rests.write.mode("append").parquet(path)
+
+    state, resets = fresh_state(tidy.select("task").distinct()), []
+    if first is not None:
+        state, resets = advance(tidy, state, first, last + 1, pool, keep, drop_after, readmit_after, needed)
+    keep(open_rests(state, readmit_after))
+    return spark.read.schema(f"task {tidy.schema['task'].dataType.simpleString()}, {RESTS}").parquet(path), resets
+
+
+def fresh_state(tasks: DataFrame) -> DataFrame:
+    """No streak and no rest for each of the distinct ``tasks``."""
+    return tasks.select("task", F.lit(0).alias("streak"), F.lit(None).cast("int").alias("rested_at"))
+
+
+def open_rests(state: DataFrame, readmit_after: int) -> DataFrame:
+    """The rests that have not ended, with the step at which they are due."""
+    return state.where("rested_at is not null").select(
+        "task", c("rested_at").alias("rested"), (c("rested_at") + readmit_after).cast("int").alias("back")
+    )
+
+
+def advance(
+    tidy: DataFrame, state: DataFrame, start: int, end: int, pool: int, keep: Callable[[DataFrame], None],
+    drop_after: int, readmit_after: int, needed: int,
+) -> tuple[DataFrame, list[int]]:
+    """The state before step ``end`` from that before ``start``, and the steps at which all of ``pool`` tasks came back;
+    ``keep`` gets the rests that ended on the way.
+
+    The rule that few are active looks across tasks, so steps are taken in stretches of ``readmit_after``, each from the
+    state of the tasks at its first step: within one, a task drops once at most and a step's resting tasks are a count
+    over tasks. A stretch that breaks the rule is cut at the first such step and the next one starts there; only
+    the cut stretch is read twice. A history holds the groups of one task in one stretch.
+    """
+    resets = []
     due, was_due = c("rested_at") + readmit_after, c("was") + readmit_after
 
     def folded(start: int, stop: int) -> DataFrame:
@@ -156,15 +192,11 @@ def rest_pool(
         short = (c("resting") > 0) & (F.lit(pool) - c("resting") < needed)
         return changes.withColumn("resting", resting).where(short & (c("step") < stop)).agg(F.min("step")).first()[0]
 
-    def keep(rests: DataFrame) -> None:
-        rests.write.mode("append").parquet(path)
-
     def rest(since: str, back: Column) -> list[Column]:
         return [c("task"), c(since).alias("rested"), back.cast("int").alias("back")]
 
-    start = first
-    while start is not None and start <= last:
-        stop = min(start + readmit_after, last + 1)
+    while start < end:
+        stop = min(start + readmit_after, end)
         now = folded(start, stop)
         broken = first_break(now, start, stop)
         if broken is not None:
@@ -183,8 +215,7 @@ def rest_pool(
             "task", F.when(waited, 0).otherwise(c("streak")).alias("streak"), F.when(stays, c("rested_at")).alias("rested_at")
         )
         start = stop
-    keep(state.where("rested_at is not null").select(*rest("rested_at", due)))
-    return spark.read.schema(f"task {tidy.schema['task'].dataType.simpleString()}, rested int, back int").parquet(path), resets
+    return state, resets
 
 
 def sample_active(tasks: DataFrame, n: int, salt: int, group: int) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from assayer.operators.metrics import rate
 from assayer.plans.evaluation import customer_groups
 from assayer.plans.views import EPISODES_SQL, episodes, group_sql
-from assayer.registry import query
-from assayer.session import fresh_path
+from assayer.registry import ORACLES, query
+from assayer.session import fresh_path, written
 from assayer.sources.tables import SCHEMAS
 from assayer.streaming import jobs
 
@@ -87,23 +87,41 @@ def st_dedup_resume(t):
     "st_late_rows",
     """
 WITH m AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY AS mark FROM events WHERE event_id % 3 = 0)
-SELECT count(*) AS read, count(*) FILTER (event_id % 3 < 2 OR ts > mark) AS kept, count(*) FILTER (event_id % 3 = 2 AND ts <= mark) AS late
+SELECT count(*) AS read, count(*) FILTER (event_id % 3 = 0 OR ts > mark) AS kept, count(*) FILTER (event_id % 3 <> 0 AND ts <= mark) AS late
 FROM events, m""",
 )
 def st_late_rows(t):
-    # three batches: rows are held against the mark of the batch before the last, so the third is the first to lose any
-    log = fresh_path(t.spark, "thirds")
-    for third in range(3):
-        rows = t.events.where(c("event_id") % 3 == third).select("event_id", "ts", "event_type")
-        rows.coalesce(1).write.mode("append").parquet(log)
-    stream = jobs.file_stream(t.spark, log, "event_id BIGINT, ts TIMESTAMP_NTZ, event_type STRING", files_per_batch=1)
-    once = jobs.resent_once(stream, ["event_id"], "ts", DELAY)
-    folder = jobs.run_available(once, "append")
+    # a third of the events comes first, then some from the day before its end, then all others: of these, what lies a
+    # day behind the first third is dropped, and counted
+    log = fresh_path(t.spark, "arrivals")
+    rows = t.events.select("event_id", "ts", "event_type")
+    (end,) = rows.where("event_id % 3 = 0").agg(F.max("ts")).first()
+    first = c("event_id") % 3 == 0
+    second = (c("event_id") % 3 == 1) & (c("ts") > F.lit(end) - F.expr("INTERVAL 1 DAY")) & (c("ts") <= F.lit(end))
+    folder = None
+    for part in (first, ~first & second, ~first & ~second):
+        rows.where(part).write.mode("append").parquet(log)
+        stream = jobs.file_stream(t.spark, log, "event_id BIGINT, ts TIMESTAMP_NTZ, event_type STRING")
+        once = jobs.resent_once(stream, ["event_id"], "ts", DELAY)
+        folder = jobs.run_available(once, "append", folder)
     counts = jobs.row_counts(t.spark, folder).agg(F.sum("read").alias("read"), F.sum("late").alias("late"))
     kept = jobs.written(t.spark, folder, once).agg(F.count("*")).scalar()
     return counts.select("read", kept.alias("kept"), "late")
 
 
+@query("st_rest_pool", ORACLES["rest_pool"])
+def st_rest_pool(t):
+    log, folder = fresh_path(t.spark, "groups"), fresh_path(t.spark, "pool")
+    groups = written(customer_groups(t).select("task", c("step").cast("int").alias("step"), "flat"))
+    tasks = groups.select("task").distinct()
+    pool = jobs.RestPool(tasks, folder, drop_after=2, readmit_after=8, needed=t.customer.count() // 2)
+    low, high = groups.agg(F.min("step"), F.max("step")).first()
+    for start in range(low, high + 1, 10):  # the stream stops and goes on
+        groups.where(c("step").between(start, start + 9)).write.mode("append").parquet(log)
+        pool.run_available(jobs.file_stream(t.spark, log, jobs.PENDING))
+    return pool.finish()
+
+
 @query(
     "st_rest_state",
     f"""WITH {group_sql("task", "quarter_no")}, i AS (SELECT *, sum(CASE WHEN flat THEN 0 ELSE 1 END)

@@ -7,12 +7,14 @@ batch to the shared folder and can be called again on the same folder to go on f
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.session import fresh_path
+from assayer.operators import groups as grp
+from assayer.session import fresh_path, settle
 
 c = F.col
 
@@ -160,3 +162,75 @@ def rest_streaks(groups: DataFrame) -> DataFrame:
     return groups.groupBy("task").transformWithStateInPandas(
         statefulProcessor=Streak(), outputStructType=REST_OUT, outputMode="append", timeMode="none"
     )
+
+
+# ---------------------------------------------------------------- the resting pool
+
+STATE, PENDING = "task BIGINT, streak INT, rested_at INT", "task BIGINT, step INT, flat BOOLEAN"
+
+
+class RestPool:
+    """``groups.rest_pool`` on a stream of (task, step, flat) whose steps arrive in order, cut anywhere.
+
+    ``tasks`` is the pool. Each batch reads the last version of the state before it and writes its own in overwrite mode, so
+    a batch that is replayed replaces itself. Groups of the newest step wait, since more of it may come; ``finish``
+    takes them too. A version has the state of all tasks, the waiting groups, the rests that ended, and where to go on.
+    """
+
+    def __init__(self, tasks: DataFrame, folder: str, drop_after: int = 2, readmit_after: int = 25, needed: int = 8):
+        self.spark, self.tasks, self.folder = tasks.sparkSession, tasks.select("task").distinct(), folder
+        self.rules, self.pool = (drop_after, readmit_after, needed), self.tasks.count()
+
+    def _path(self, table: str, version: int | None = None) -> str:
+        return f"{self.folder}/{table}" + ("" if version is None else f"/version={version}")
+
+    def _read(self, table: str, fields: str, version: int) -> DataFrame:
+        return self.spark.read.schema(fields).parquet(self._path(table, version))
+
+    def _versions(self) -> list[tuple[int, int]]:
+        """(version, next step) of all versions whose last table is written."""
+        jvm, path = self.spark._jvm, self._path("next")
+        found = jvm.org.apache.hadoop.fs.Path(path)
+        if not found.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(found):
+            return []
+        rows = self.spark.read.schema("next INT, version INT").parquet(path).collect()  # one for each batch
+        return sorted((r.version, r.next) for r in rows)
+
+    def take(self, batch: DataFrame, number: int, last: bool = False) -> None:
+        """Advance by the groups of a batch; what later versions say is not looked at."""
+        before = [v for v in self._versions() if v[0] < number]
+        waiting = batch.select("task", "step", "flat")
+        if before:
+            version, start = before[-1]
+            state = self._read("state", STATE, version)
+            waiting = waiting.unionByName(self._read("pending", PENDING, version))
+        else:
+            state, start = grp.fresh_state(self.tasks), None
+        waiting = settle(waiting)
+        low, high = waiting.agg(F.min("step"), F.max("step")).first()
+        start, ended = low if start is None else start, []
+        if high is not None:
+            end = high + 1 if last else high
+            if start is not None and end > start:
+                ready = waiting.where(c("step") < end)
+                state, _ = grp.advance(ready, state, start, end, self.pool, ended.append, *self.rules)
+                start, waiting = end, waiting.where(c("step") >= end)
+        none = self.spark.createDataFrame([], f"task BIGINT, {grp.RESTS}")
+        rests = reduce(DataFrame.unionByName, ended, none)
+        for table, rows in (("rests", rests), ("pending", waiting), ("state", state)):
+            rows.write.mode("overwrite").parquet(self._path(table, number))
+        self.spark.createDataFrame([(start,)], "next INT").write.mode("overwrite").parquet(self._path("next", number))
+
+    def run_available(self, stream: DataFrame) -> None:
+        """Process all input there is, from where the last run ended."""
+        stream.writeStream.option("checkpointLocation", f"{self.folder}/checkpoint").foreachBatch(self.take).trigger(
+            availableNow=True
+        ).start().awaitTermination()
+
+    def finish(self) -> DataFrame:
+        """(task, rested, back) of all rests, those that go on with the step at which they are due."""
+        versions = [v for v, _ in self._versions()]
+        number = versions[-1] + 1 if versions else 0
+        self.take(self.spark.createDataFrame([], PENDING), number, last=True)
+        done = self.spark.read.schema(f"task BIGINT, {grp.RESTS}").parquet(*[self._path("rests", v) for v in [*versions, number]])
+        return done.unionByName(grp.open_rests(self._read("state", STATE, number), self.rules[1]))

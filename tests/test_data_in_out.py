@@ -1,12 +1,14 @@
 """Readers, generators and streams on small files."""
 
 import json
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from assayer.operators import answers as q
+from assayer.operators import groups as grp
 from assayer.operators import sketches
 from assayer.plans import streams
 from assayer.session import configure, shared_dir
@@ -196,3 +198,35 @@ def test_sketches_of_days_merge_for_any_period(spark):
     assert len(merged) == 9
     for r in merged:
         assert abs(r.v - exact[r.k, r.half]) <= 4 * sketches.ERROR * exact[r.k, r.half] + 1
+
+
+@pytest.mark.parametrize("cuts", [(7,), (3, 4, 20)])
+def test_rest_pool_on_a_stream_equals_the_batch_form(spark, tmp_path, cuts):
+    rnd = random.Random(len(cuts))
+    rows = [(t, s, rnd.random() < 0.7) for s in range(40) for t in range(9) if rnd.random() < 0.8]
+    df = spark.createDataFrame(rows, "task BIGINT, step INT, flat BOOLEAN")
+    want = sorted(map(tuple, grp.rest_pool(df, 2, 5, 4)[0].collect()))
+    tasks = df.select("task").distinct()
+    pool = jobs.RestPool(tasks, str(tmp_path / "pool"), 2, 5, 4)
+    # slices cut steps in two as well
+    edges = [0, *sorted(len([r for r in rows if r[1] < cut]) + 2 for cut in cuts), len(rows)]
+    slices = [rows[a:b] for a, b in zip(edges, edges[1:]) if b > a]
+    for i, part in enumerate(slices):
+        frame = spark.createDataFrame(part, "task BIGINT, step INT, flat BOOLEAN")
+        pool.take(frame, i)
+        if i == 1:  # a batch that is replayed
+            pool.take(frame, i)
+    assert sorted(map(tuple, pool.finish().collect())) == want and len(want) > 10
+
+
+def test_rest_pool_reads_a_folder_and_an_empty_one(spark, tmp_path):
+    empty = jobs.RestPool(spark.range(3).withColumnRenamed("id", "task"), str(tmp_path / "none"))
+    assert empty.finish().count() == 0
+    rows = [(t, s, True) for s in range(6) for t in range(2)]
+    pool = jobs.RestPool(spark.range(2).withColumnRenamed("id", "task"), str(tmp_path / "p"), 2, 3, 0)
+    for a in (0, 4):
+        part = [r for r in rows if a <= r[1] < a + 4]
+        spark.createDataFrame(part, jobs.PENDING).write.mode("append").parquet(str(tmp_path / "in"))
+        pool.run_available(jobs.file_stream(spark, str(tmp_path / "in"), jobs.PENDING))
+    got = sorted(map(tuple, pool.finish().collect()))
+    assert got == sorted(map(tuple, grp.rest_pool(spark.createDataFrame(rows, jobs.PENDING), 2, 3, 0)[0].collect())) and got
