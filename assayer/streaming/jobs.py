@@ -17,6 +17,7 @@ from assayer.operators import groups as grp
 from assayer.session import fresh_path, settle
 
 c = F.col
+COUNTS = "read BIGINT, late BIGINT"
 
 
 def file_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -35,6 +36,7 @@ def run_available(stream: DataFrame, mode: str, folder: str | None = None) -> st
     folder = folder or fresh_path(spark, "stream")
     # so that there is a table also where no batch has come yet
     spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{folder}/out/batch=-1")
+    spark.createDataFrame([], COUNTS).write.mode("overwrite").parquet(f"{folder}/counts/batch=-1")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
@@ -53,9 +55,6 @@ def run_available(stream: DataFrame, mode: str, folder: str | None = None) -> st
     return folder
 
 
-COUNTS = "read BIGINT, late BIGINT"
-
-
 def _counted(progress) -> tuple[int, int]:
     """Rows that a batch read, and rows that stateful steps dropped because they lay behind the watermark."""
     return progress["numInputRows"], sum(s["numRowsDroppedByWatermark"] for s in progress["stateOperators"])
