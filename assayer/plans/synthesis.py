@@ -9,6 +9,7 @@ from assayer.operators import overlap
 from assayer.operators import selection as sel
 from assayer.operators import synthesis as syn
 from assayer.registry import query
+from assayer.session import spread
 
 c = F.col
 
@@ -51,7 +52,7 @@ def grid(t):
         *[F.struct(F.lit("by status").alias("template"), F.lit(f).alias("arg"),
                    F.create_map(name, key, F.lit("floor"), F.lit(f)).alias("params")) for f in ("1", "2")],
     )
-    customers = t.customer.select(c("c_custkey").alias("customer"), F.inline(cases)).select(
+    customers = spread(t.customer.select("c_custkey")).select(c("c_custkey").alias("customer"), F.inline(cases)).select(
         "template", "customer", "arg", "params"
     )
     return syn.param_grid(templates(t), priorities.unionByName(customers)).drop("params")

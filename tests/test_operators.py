@@ -529,3 +529,18 @@ def test_attempts_as_units_have_more_power_with_more_seeds(spark):
     steps = resample.binomial_steps(5, 0.3)
     assert [round(x, 9) for x in steps] == [0.16807, 0.52822, 0.83692, 0.96922, 0.99757]
     assert list(resample.binomial_steps(2, 0.0)) == [1.0, 1.0] and list(resample.binomial_steps(2, 1.0)) == [0.0, 0.0]
+
+
+def broadcasts(df):
+    """Lines of the plan under a broadcast, as planned from sizes alone."""
+    text = df._jdf.queryExecution().sparkPlan().toString()
+    return [line for line in text.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+
+
+def test_grid_sends_the_templates_around_and_not_the_parameters(spark):
+    templates = spark.createDataFrame([("a", "Count {x}.", "SELECT {x}")], "template STRING, question STRING, gold STRING")
+    params = spark.range(100).select(F.lit("a").alias("template"), F.create_map(F.lit("x"), F.col("id").cast("string")).alias("params"))
+    grid = syn.param_grid(templates, params)
+    found = broadcasts(grid)
+    assert len(found) == 1 and "BuildRight" in found[0]
+    assert sorted(r.gold for r in grid.collect()) == sorted(f"SELECT {i}" for i in range(100))
