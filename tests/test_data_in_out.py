@@ -1,5 +1,6 @@
 """Readers, generators and streams on small files."""
 
+import datetime as dt
 import json
 import random
 
@@ -7,13 +8,14 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from assayer import registry
 from assayer.operators import answers as q
 from assayer.operators import groups as grp
 from assayer.operators import sketches
 from assayer.plans import streams
 from assayer.session import configure, shared_dir
 from assayer.sources import files, generators, sinks
-from assayer.sources.tables import Tables
+from assayer.sources.tables import SCHEMAS, Tables
 from assayer.streaming import jobs
 
 
@@ -230,3 +232,27 @@ def test_rest_pool_reads_a_folder_and_an_empty_one(spark, tmp_path):
         pool.run_available(jobs.file_stream(spark, str(tmp_path / "in"), jobs.PENDING))
     got = sorted(map(tuple, pool.finish().collect()))
     assert got == sorted(map(tuple, grp.rest_pool(spark.createDataFrame(rows, jobs.PENDING), 2, 3, 0)[0].collect())) and got
+
+
+def given(spark, folder, **rows):
+    """Tables of the given rows; the others are empty."""
+    for name, schema in SCHEMAS.items():
+        spark.createDataFrame(rows.get(name, []), schema).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    return Tables(spark, str(folder))
+
+
+
+def test_distinct_counts_keep_no_sketch_beside_a_value(spark, tmp_path):
+    day = dt.datetime(1996, 5, 1)
+    lines = [(i, i % 7, i % 3, 1, 1.0, 1.0, 0.0, 0.0, ("A", "B", None)[i % 3 if i else 0], "O", day) for i in range(60)]
+    t = given(spark, tmp_path / "t", lineitem=lines + [(99, None, None, 1, 1.0, 1.0, 0.0, 0.0, "C", "O", None)])
+    expected = {}
+    for line in [*lines, (99, None, None, *[0] * 5, "C")]:
+        supp, part = expected.setdefault(line[8], (set(), set()))
+        supp.update({line[2]} - {None})
+        part.update({line[1]} - {None})
+    plan = registry.PLANS["a_count_distinct_approx"](t)
+    assert {r.l_returnflag: (r.suppliers, r.parts, r.within) for r in plan.collect()} == {
+        k: (len(s), len(p), True) for k, (s, p) in expected.items()
+    }
+    assert "Expand" not in plan._jdf.queryExecution().optimizedPlan().toString()
