@@ -469,10 +469,11 @@ def a_count_distinct_periods(t):
     lines = t.lineitem.withColumn("day", c("l_shipdate").cast("date"))
     daily = sketches.daily(lines, ["l_returnflag"], "day", counted)
     merged = sketches.merged(daily.withColumns({"yr": F.year("day"), "qtr": F.quarter("day")}), ["l_returnflag"], ["yr", "qtr"], counted)
-    dated = lines.withColumns({"yr": F.year("day"), "qtr": F.quarter("day")})
-    exact = dated.groupingSets([["l_returnflag", "yr", "qtr"], ["l_returnflag", "yr"], ["l_returnflag"]], "l_returnflag", "yr", "qtr").agg(
-        F.count_distinct("l_suppkey").alias("suppliers"), F.count_distinct("l_partkey").alias("parts")
-    )
+    suppliers = sketches.exact(lines, "l_returnflag", "day", "l_suppkey", "suppliers").alias("s")
+    parts = sketches.exact(lines, "l_returnflag", "day", "l_partkey", "parts").alias("p")
+    periods = ["level", "l_returnflag", "yr", "qtr"]
+    both = suppliers.join(parts, [c(f"s.{k}").eqNullSafe(c(f"p.{k}")) for k in periods])
+    exact = both.select("s.l_returnflag", "s.yr", "s.qtr", "suppliers", "parts")
     same = [exact[k].eqNullSafe(merged[k]) for k in ("l_returnflag", "yr", "qtr")]
     within = sketches.near("l_suppkey", "suppliers") & sketches.near("l_partkey", "parts")
     return exact.join(merged, same).select(exact["l_returnflag"], exact["yr"], exact["qtr"], "suppliers", "parts", within.alias("within"))

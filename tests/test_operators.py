@@ -14,7 +14,7 @@ from assayer.operators import ladder as lad
 from assayer.operators import metrics as m
 from assayer.operators import paired as ab
 from assayer.operators import ranking, resample
-from assayer.operators import sessions
+from assayer.operators import sessions, sketches
 from assayer.operators import transcripts as tx
 from assayer.operators import synthesis as syn
 from assayer.operators.synthesis import fill
@@ -544,3 +544,18 @@ def test_grid_sends_the_templates_around_and_not_the_parameters(spark):
     found = broadcasts(grid)
     assert len(found) == 1 and "BuildRight" in found[0]
     assert sorted(r.gold for r in grid.collect()) == sorted(f"SELECT {i}" for i in range(100))
+
+
+def test_exact_counts_by_period(spark):
+    rng = random.Random(5)
+    days = [None, "1996-01-31", "1996-02-01", "1996-05-01", "1997-12-31", "2031-07-01"]
+    rows = [(rng.choice(["A", "B", None]), rng.choice(days), rng.choice([None, 1, 2, 3, 4])) for _ in range(60)] + [("C", "1999-01-01", None)]
+    df = spark.createDataFrame(rows, "flag STRING, day STRING, v INT").withColumn("day", F.col("day").cast("date"))
+    expected = {}
+    for flag, day, v in rows:
+        yr = day and int(day[:4])
+        qtr = day and (int(day[5:7]) + 2) // 3
+        for key in ((2, flag, yr, qtr), (1, flag, yr, None), (0, flag, None, None)):
+            expected.setdefault(key, set()).update([] if v is None else [v])
+    found = [tuple(r) for r in sketches.exact(df, "flag", "day", "v", "n").collect()]
+    assert sorted(found, key=str) == sorted(((*k, len(v)) for k, v in expected.items()), key=str)
