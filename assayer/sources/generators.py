@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.draws import draw
 from assayer.functions.numeric import day
+from assayer.session import spread
 
 c = F.col
 
@@ -51,8 +52,9 @@ def upto(low: int, high: int, *keys) -> Column:
 
 
 def rows(df: DataFrame, name: str, n: Column) -> DataFrame:
-    """``n`` rows numbered from 1; none when ``n`` is 0."""
-    return df.withColumn(name, F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1))))).where(c(name) <= n)
+    """``n`` rows numbered from 1; none when ``n`` is 0. The number is drawn once, not for every row made."""
+    counted = df.withColumn("_n", n)
+    return counted.withColumn(name, F.explode(F.sequence(F.lit(1), F.greatest("_n", F.lit(1))))).where(c(name) <= c("_n")).drop("_n")
 
 
 def money(cents: Column, digits: int = 10) -> Column:
@@ -226,5 +228,8 @@ SCHEMAS = {"shop": shop, "hr": hr, "events": events}
 
 
 def generate(seeds: DataFrame, schema: str, scale: int = 1) -> dict[str, DataFrame]:
-    """The tables of ``schema`` for every snapshot in ``seeds``; ``scale`` multiplies the rows of a database."""
-    return SCHEMAS[schema](seeds, scale)
+    """The tables of ``schema`` for every snapshot in ``seeds``; ``scale`` multiplies the rows of a database.
+
+    Seeds are dealt out by snapshot, so that all cores make rows and what is grouped by snapshot stays where it is made.
+    """
+    return SCHEMAS[schema](spread(seeds, S), scale)

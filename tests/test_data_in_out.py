@@ -241,6 +241,16 @@ def given(spark, folder, **rows):
     return Tables(spark, str(folder))
 
 
+def test_databases_are_made_by_all_cores(spark):
+    seeds = spark.range(40).select(F.col("id").alias("snapshot")).coalesce(1)
+    db = generators.generate(seeds, "events")
+    assert db["users"].rdd.getNumPartitions() > 1
+    per = db["events"].groupBy("snapshot").agg(F.count("*").alias("n"))
+    plan = per._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # seeds are dealt out, events stay where they are made
+    assert per.count() == 40
+
+
 
 def test_distinct_counts_keep_no_sketch_beside_a_value(spark, tmp_path):
     day = dt.datetime(1996, 5, 1)
