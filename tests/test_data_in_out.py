@@ -12,8 +12,8 @@ from assayer import registry
 from assayer.operators import answers as q
 from assayer.operators import groups as grp
 from assayer.operators import sketches
-from assayer.plans import streams
-from assayer.session import configure, shared_dir
+from assayer.plans import databases, generation, streams
+from assayer.session import configure, settle, shared_dir
 from assayer.sources import files, generators, sinks
 from assayer.sources.tables import SCHEMAS, Tables
 from assayer.streaming import jobs
@@ -251,6 +251,31 @@ def test_databases_are_made_by_all_cores(spark):
     assert per.count() == 40
 
 
+def test_rows_in_every_snapshot_are_not_planned_as_read(spark, tmp_path):
+    customers = [(i, f"c{i}", i % 25, 1.0, "x") for i in range(1000)]
+    t = given(spark, tmp_path / "t", customer=customers)
+    size = lambda df: df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    every = databases.in_every_snapshot(t.customer.select("c_custkey"))
+    assert size(every) >= 4 * size(t.customer.select("c_custkey"))
+    assert {tuple(r) for r in every.collect()} == {(i, s) for i in range(1000) for s in databases.SNAPSHOTS}
+
+
+def test_templates_are_judged_one_plan_at_a_time(spark, tmp_path, monkeypatch):
+    day = dt.datetime(2024, 5, 1)
+    orders = [(i, i % 3, "O", 10.0, day, "1-URGENT") for i in range(40)]
+    t = given(spark, tmp_path / "t", customer=[(i, f"c{i}", i, 1.0, "x") for i in range(3)], orders=orders)
+    plans = []
+
+    def spy(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return settle(df)
+
+    monkeypatch.setattr(generation, "settle", spy)
+    monkeypatch.setattr(generation, "TEMPLATES", [x for x in generation.TEMPLATES if x.name in ("shop_1", "shop_5", "hr_1")])
+    found = {r.key.split("|")[0] for r in generation.verdicts(t).collect()}
+    assert found == {"shop_1", "shop_5", "hr_1"}
+    assert max(plan.count("parquet") for plan in plans) <= 1
+
 
 def test_distinct_counts_keep_no_sketch_beside_a_value(spark, tmp_path):
     day = dt.datetime(1996, 5, 1)
